@@ -28,4 +28,4 @@ def pivot_values(
 def null_profile(df: DataFrame) -> DataFrame:
     """(column, nulls) for every column, from one pass."""
     counts = df.agg(*[F.count_if(F.col(f"`{name}`").isNull()).alias(name) for name in df.columns])
-    return counts.unpivot([], df.columns, "column_name", "nulls")
+    return counts.unpivot([], [f"`{name}`" for name in df.columns], "column_name", "nulls")

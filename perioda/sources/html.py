@@ -44,8 +44,11 @@ def html_table(pages: DataFrame, ids: Sequence[str], html: str, columns: Mapping
         _all(F.regexp_extract(html, _LAST_TABLE, 1), _ROW, 1),
         lambda row: F.transform(_all(row, _CELL, 1), plain_text),
     )
-    split = pages.select(*ids, rows.alias("rows")).filter(F.size("rows") > 1)
-    split = split.select(*ids, F.col("rows")[0].alias("head"), F.explode(F.slice("rows", 2, F.size("rows"))).alias("cells"))
+    tables = pages.select(*ids, rows.alias("rows"))
+    # The headings are taken before the rows are spread, or each row would carry its whole table.
+    headed = tables.select(*ids, F.get("rows", 0).alias("head"), F.slice("rows", 2, F.size("rows")).alias("body"))
+    # An outer explode, since a plain one filters on the size and would parse the page twice.
+    split = headed.select(*ids, "head", F.explode_outer("body").alias("cells")).filter(F.col("cells").isNotNull())
     return split.select(
         *ids, *[named_cell(F.col("cells"), F.col("head"), title).alias(name) for title, name in columns.items()]
     )

@@ -46,11 +46,13 @@ def zone_columns(zones: Column) -> dict[str, Column]:
 
 def day_activities(documents: DataFrame) -> DataFrame:
     """One row per activity; documents without activities give none."""
-    payload = documents.select(
+    # Whether there are samples is settled before the rows are spread, so no row carries them along.
+    days = documents.select(
         F.col("subjectId").alias("subject_id"),
         (F.size("AllDayHR.payload.heartRateValues") > 0).alias("has_pulse"),
-        F.explode("ActivitiesForDay.payload").alias("a"),
+        F.col("ActivitiesForDay.payload").alias("payload"),
     )
+    payload = days.select("subject_id", "has_pulse", F.explode("payload").alias("a"))
     start = F.col("a.startTimeLocal").cast("timestamp_ntz")
     return payload.select(
         F.col("a.activityId").alias("activity_id"),

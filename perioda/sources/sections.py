@@ -46,19 +46,20 @@ def read_csv_sections(
 
 def parse_csv_sections(texts: DataFrame, ids: Sequence[str], text: str, *, on_error: str = "raise") -> DataFrame:
     """The same for texts held in a column: one pass, no shuffle."""
-    lines = F.split(F.col(text), r"\r?\n")
-    split = texts.select(*ids, lines.alias("lines"))
+    # No filters on the way: each would be pushed down and repeat the split below it.
+    lines = texts.select(*ids, F.split(F.col(text), r"\r?\n").alias("lines"))
     # Everything after the marker line and the one below it.
     marked = F.array_position(F.transform("lines", lambda line: line.contains(MARKER)), F.lit(True))
-    body = split.filter(marked > 0).select(*ids, F.slice("lines", (marked + 2).cast("int"), F.size("lines")).alias("body"))
+    rest = F.when(marked > 0, F.slice("lines", (marked + 2).cast("int"), F.size("lines")))
+    body = lines.select(*ids, rest.alias("body"))
     end = F.array_position(F.transform("body", _ends), F.lit(True))
     inside = F.when(end > 0, F.slice("body", 1, (end - 1).cast("int"))).otherwise(F.col("body"))
-    section = body.select(*ids, inside.alias("section")).filter(F.size("section") > 1)
-    rows = section.select(
-        *ids,
-        csv_cells(F.col("section")[0]).alias("head"),
-        F.explode(F.slice("section", 2, F.size("section"))).alias("line"),
+    section = body.select(*ids, inside.alias("section"))
+    # The heading is taken before the lines are spread, or each line would carry its whole section.
+    headed = section.select(
+        *ids, csv_cells(F.get("section", 0)).alias("head"), F.slice("section", 2, F.size("section")).alias("lines")
     )
+    rows = headed.select(*ids, "head", F.explode_outer("lines").alias("line")).filter(F.col("line").isNotNull())
     return _fields(rows, ids, on_error)
 
 

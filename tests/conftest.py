@@ -1,0 +1,48 @@
+import datetime as dt
+import logging
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from perioda import build_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = build_session(
+        "tests",
+        **{
+            "spark.master": "local[4]",
+            "spark.sql.shuffle.partitions": "4",
+            "spark.driver.memory": "4g",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+        },
+    )
+    session.sparkContext.setLogLevel("OFF")
+    logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def make(spark):
+    """Rows and a DDL schema -> DataFrame."""
+    return lambda rows, schema: spark.createDataFrame(rows, schema)
+
+
+def rows(df, *columns):
+    """Rows of ``df`` as a sorted list of tuples."""
+    chosen = df.select(*columns) if columns else df
+    return sorted((tuple(row) for row in chosen.collect()), key=repr)
+
+
+def day(text):
+    return dt.date.fromisoformat(text)
+
+
+def at(text):
+    return dt.datetime.fromisoformat(text)

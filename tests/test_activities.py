@@ -1,0 +1,185 @@
+"""Workouts: hand-computed values."""
+
+import datetime as dt
+
+import pytest
+from conftest import at, day, rows
+from pyspark.sql import functions as F
+
+from perioda.functions import keep_range
+from perioda.operators import date_spine, missing_days, secs_in_pulse_zones
+from perioda.plans import activities as acts
+from perioda.plans import coverage, ingest, strength
+from perioda.schemas import ACTIVITIES, HEART_ZONE_SECONDS
+
+NAMES = ACTIVITIES.fieldNames()
+
+
+def run(number, when, activity="running", **values):
+    known = dict(activity_id=number, subject_id=1, dt=at(when), activity=activity, **values)
+    return tuple(known.get(name) for name in NAMES)
+
+
+def workouts(spark, *items):
+    return spark.createDataFrame(list(items), ACTIVITIES)
+
+
+def test_distance_labels(spark):
+    km = [2.799, 2.8, 5.8, 9.999, 10.0, None]
+    df = workouts(spark, *[run(i, "2024-01-01", distance=None if k is None else k * 1000) for i, k in enumerate(km)])
+    assert rows(acts.distance_buckets(df, "running", "month"), "distance_range", "activity_count") == [
+        ("3-5km", 1), ("6-10km", 2), ("<3km", 1), (">10km", 2),
+    ]
+    apart = acts.distance_buckets(df, "running", "month", null_bucket=None)
+    assert (None, 1) in rows(apart, "distance_range", "activity_count")
+
+
+def test_counts_keep_unknown_activities(spark):
+    df = workouts(spark, run(1, "2024-01-01"), run(2, "2024-01-01", None), run(3, "2024-01-01", "yoga"))
+    assert rows(acts.activity_counts(df)) == [("running", 1), ("yoga", 1), (None, 1)]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"max_group_rows": 2, "block_rows": 2}])
+def test_zone_median_interpolates(spark, sizes):
+    df = workouts(spark, *[run(i, "2024-01-01", secs_zone1=float(s)) for i, s in enumerate((60, 120, 240, 540))])
+    assert rows(acts.zone_medians(df, "running", "month", **sizes), "median_zone1", "median_zone2") == [(3.0, None)]
+
+
+def test_pace(spark):
+    df = workouts(
+        spark, run(1, "2024-01-01", duration=1800.0, distance=6000.0), run(2, "2024-02-01", duration=1800.0, distance=0.0)
+    )
+    paces = acts.pace_by_period(df, "running", "month")
+    assert rows(paces) == [(day("2024-01-01"), 5.0), (day("2024-02-01"), None)]
+    assert rows(acts.pace_bounds(paces)) == [(4.5, 5.5)]
+
+
+def test_pace_text_cuts_and_sorts(spark):
+    minutes = [5.1, 6.0, 4.999]
+    df = workouts(spark, *[run(i, "2024-01-01", duration=m * 360.0, distance=6000.0) for i, m in enumerate(minutes)])
+    assert [r.pace for r in acts.pace_records(df, "running").collect()] == ["4:59", "5:05", "6:00"]
+
+
+def test_slice_ends_at_midnight(spark):
+    df = workouts(spark, run(1, "2024-01-05 00:00:00"), run(2, "2024-01-05 00:00:01"))
+    assert rows(keep_range(df, None, day("2024-01-05")), "activity_id") == [(1,)]
+    assert keep_range(df, None, day("2024-01-05"), end_inclusive_day=True).count() == 2
+    assert rows(strength.period_slice(df, 0, 1704412800000), "activity_id") == [(1,)]
+
+
+def test_active_days_count_a_day_once(spark, make):
+    df = workouts(spark, run(1, "2024-01-01 08:00"), run(2, "2024-01-01 18:00"), run(3, "2024-01-02 08:00"))
+    gym = make([(day("2024-01-09"), "x")], "dt date, exercise string")
+    assert rows(acts.active_days_by_kind(gym, df, "month"), "category", "count") == [("gym", 1), ("running", 2)]
+
+
+def test_walk_and_run(spark, make):
+    metrics = make(
+        [(day("2024-01-03"), "distancewalkingrunning", 1.5), (day("2024-01-03"), "distancewalkingrunning", 2.0),
+         (day("2024-01-04"), "distancewalkingrunning", 1.0), (day("2024-01-03"), "bodymass", 80.0)],
+        "dt date, metric string, value double",
+    )
+    df = workouts(spark, run(1, "2024-01-01", distance=5000.0), run(2, "2024-01-09", distance=3000.0))
+    assert rows(acts.walk_run_distance(metrics, df, "month"), "value", "type") == [(4.5, "walk"), (8.0, "run")]
+    daily = acts.walk_run_distance(metrics, df, "month", resum=False)
+    assert rows(daily, "value", "type") == [(1.0, "walk"), (3.5, "walk"), (8.0, "run")]
+
+
+def test_records(spark):
+    df = workouts(
+        spark,
+        run(1, "2024-01-01", distance=5800.0, duration=1799.0),
+        run(2, "2024-01-02", distance=6200.0, duration=1500.0),
+        run(3, "2024-01-03", distance=6201.0, duration=100.0),
+        run(4, "2024-01-04", distance=None, duration=100.5),
+        run(5, "2024-01-05", "yoga", distance=90000.0),
+    )
+    assert [tuple(r) for r in acts.fastest_in_band(df).collect()] == [(25.0, day("2024-01-02")), (30.0, day("2024-01-01"))]
+    top = acts.longest_runs(df, rows=2).collect()
+    assert [(r.km, r.duration) for r in top] == [(6.2, dt.timedelta(seconds=100)), (6.2, dt.timedelta(seconds=1500))]
+    assert [r.km for r in acts.longest_activities(df).collect()] == [None, 90.0, 6.0, 6.0, 6.0]
+    assert rows(acts.distance_histogram(df, "running")) == [(6.0, 3), (None, 1)]
+
+
+def test_zone_bounds(make):
+    bounds = acts.zone_bounds(make([(1977, 2025), (1977, 2025)], "birth_year bigint, year bigint"))
+    assert rows(bounds, "zone", "low", "high") == [
+        (0, 0, 86), (1, 86, 103), (2, 103, 120), (3, 120, 138), (4, 138, 155), (5, 155, 172),
+    ]
+
+
+PULSE = [(0, 100), (60, 110), (120, None), (180, 110), (240, 130)]
+
+
+def samples(make, points):
+    start = at("2025-03-01 10:00:00")
+    return make(
+        [(1, i, start + dt.timedelta(seconds=s), hr, 1977) for i, (s, hr) in enumerate(points)],
+        "subject_id bigint, sample_id bigint, ts timestamp_ntz, hr int, birth_year int",
+    )
+
+
+@pytest.mark.parametrize("plan", ["window", "blocked"])
+def test_pulse_seconds(spark, make, plan):
+    df = workouts(spark, run(1, "2025-03-01 10:00:30", duration=170.0), run(2, "2025-03-02 10:00:00", duration=60.0))
+    found = secs_in_pulse_zones(df, samples(make, PULSE), keys=["subject_id"], plan=plan, block_rows=2)
+    assert rows(found, "activity_id", *HEART_ZONE_SECONDS) == [(1, 0, 0, 120, 0, 0, 0), (2, 0, 0, 0, 0, 0, 0)]
+
+
+def test_pulse_bounds_are_half_open(spark, make):
+    df = workouts(spark, run(1, "2025-03-01 10:01:00", duration=120.0))
+    found = secs_in_pulse_zones(df, samples(make, PULSE), keys=["subject_id"])
+    assert rows(found, "secs_hr_zone2") == [(60,)]
+    top = secs_in_pulse_zones(df, samples(make, [(0, 100), (60, 172), (90, 171)]), keys=["subject_id"])
+    assert rows(top, *HEART_ZONE_SECONDS) == [(0, 0, 0, 0, 0, 30)]
+
+
+def test_spine_and_gaps(spark):
+    df = workouts(spark, run(1, "2024-01-01 09:00"), run(2, "2024-01-03 09:00"))
+    assert rows(date_spine(df, day("2024-01-04"))) == [(day(f"2024-01-0{n}"),) for n in (1, 2, 3)]
+    assert rows(missing_days(df, day("2024-01-04"), by=["subject_id"])) == [(1, day("2024-01-02"))]
+    assert date_spine(df, day("2023-12-31")).count() == 0
+    assert date_spine(df.limit(0), day("2024-01-04")).count() == 0
+
+
+def test_coverage(spark, make):
+    df = workouts(spark, run(1, "2022-05-01 09:00"), run(2, "2024-01-03 09:00"))
+    assert rows(coverage.source_coverage({"runs": df, "none": df.limit(0)})) == [
+        ("none", None, None, None, 0), ("runs", day("2022-05-01"), day("2024-01-03"), 2, 2),
+    ]
+    assert coverage.chosen_years(day("2024-01-01"), day("2024-12-31")) == 1
+
+
+def test_repair(spark):
+    df = workouts(
+        spark,
+        run(1, "2014-05-01", distance=50.0, duration=1800.0),
+        run(2, "2014-05-01", distance=500.0, duration=3000.0),
+        run(3, "2016-01-01", distance=500.0, duration=600.0),
+        run(4, "2016-01-01", distance=90.0, duration=600.0),
+        run(5, "2016-01-01", distance=5000.0, duration=None),
+        run(6, "2016-01-01", distance=5000.0, duration=0.0),
+    )
+    assert rows(ingest.quality_repair(df), "activity_id", "distance") == [(1, 5000.0), (3, 500.0)]
+
+
+def test_legacy_rows(make):
+    table = make(
+        [("Löpning", "30", "15", "5.2", "300", "r", "2014-09-30"), ("Simning", "1", "1", "1", "1", "r", "2014-01-01"),
+         ("Promenad", "1", "1", "1", "1", "r", "2014-10-02"), ("Promenad", "1", "1", "5,20", "1,300", "r", "2014-10-01")],
+        "form string, minutes string, seconds string, km string, kcal string, activity_name string, date string",
+    )
+    assert rows(ingest.legacy_activities(table), "activity", "duration", "distance", "calories") == [
+        ("running", 1815.0, 52.0, 300.0), ("walking", 61.0, 5200.0, 1300.0),
+    ]
+
+
+def test_zone_enrich(spark, make):
+    df = workouts(spark, run(1, "2024-01-01"), run(2, "2024-01-01")).select("activity_id", "dt")
+    zones = make(
+        [(1, [(1, 10.0), (3, 5.0)]), (1, [(1, 10.0), (3, 5.0)])],
+        "activity_id bigint, zones array<struct<zoneNumber:bigint,secsInZone:double>>",
+    )
+    assert rows(ingest.zone_enrich(df, zones), "activity_id", "secs_zone1", "secs_zone2", "secs_zone3") == [
+        (1, 10.0, None, 5.0), (2, None, None, None),
+    ]
