@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from perioda.functions.calendar import whole_seconds_between
 from perioda.functions.fitness import ZONE_SHARES, zone_limits
-from perioda.operators.ordered import MAX_GROUP_ROWS, arrange, carry_in
+from perioda.operators.ordered import MAX_GROUP_ROWS, arrange, carry_in, group_sizes
 from perioda.schemas import HEART_ZONE_SECONDS
 
 
@@ -38,7 +38,8 @@ def secs_in_pulse_zones(
 
     A sample counts the whole seconds since the sample before it on the same
     day, whether or not that one has a rate or lies in the activity; the
-    first one of a day counts nothing.
+    first one of a day counts nothing.  Copies of a sample or an activity change
+    nothing; an ``activity_id`` stands for one activity.
     """
     keys = list(keys)
     end = F.col("dt") + F.make_dt_interval(secs=F.col("duration").cast("decimal(18,6)"))
@@ -63,6 +64,11 @@ def secs_in_pulse_zones(
         ),
         allowMissingColumns=True,
     )
+    if plan == "auto":
+        plan = "blocked" if group_sizes(line, keys)[0] > max_group_rows else "window"
+    if plan == "blocked":
+        # Copies share one place in the order, so no range could split them.
+        line = line.distinct()
     arranged = arrange(
         line,
         keys,
@@ -94,6 +100,10 @@ def secs_in_pulse_zones(
         for name in in_zone
     }
     at_bounds = arranged.frame.withColumns(running).filter(F.col("kind") == 0)
+    at_start, at_end = F.col("sign") == -1, F.col("sign") == 1
     return at_bounds.groupBy(*keys, "activity_id").agg(
-        *[F.sum(F.col("sign") * F.col(name)).alias(name) for name in in_zone]
+        *[
+            (F.max(F.when(at_end, F.col(name))) - F.max(F.when(at_start, F.col(name)))).alias(name)
+            for name in in_zone
+        ]
     )

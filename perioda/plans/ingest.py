@@ -48,8 +48,6 @@ def flatten_days(documents: DataFrame, *, time_zone: str = "UTC", **sizes: int)
     samples = day_pulse_samples(documents, time_zone)
     keys = ["subject_id", "day"]
     known = activities.filter(F.col("dt").isNotNull() & F.col("duration").isNotNull())
-    # A document that landed twice must not count twice.
-    known = known.select(*keys, "activity_id", "dt", "duration").distinct()
     pulse = secs_in_pulse_zones(known, samples, keys=keys, **sizes)
     joined = activities.join(pulse, [*keys, "activity_id"], "left")
     shown = {name: F.when(F.col("has_pulse"), F.col(name)) for name in HEART_ZONE_SECONDS}

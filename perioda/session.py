@@ -14,7 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "static",
+    # Noting the Python line of every column costs more than planning a small report.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 YEAR = "year"
 
@@ -45,6 +45,11 @@ def _write(df: DataFrame, path: str, partition_by: Sequence[str], mode: str) ->
     even.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*partition_by).parquet(path)
 
 
+def _years(df: DataFrame, year: Column) -> list[int]:
+    """The years in ``df``: no more values than the calendar has."""
+    return [row[YEAR] for row in df.select(year.alias(YEAR)).distinct().collect()]
+
+
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace the table at ``path``, which ``df`` may itself read.
 
@@ -63,7 +68,7 @@ def recover_table(
     _write(staged, path, partition_by, mode)
     placed = read_table(spark, path, schema)
     if mode == "dynamic":
-        placed = placed.join(staged.select(*partition_by).distinct(), list(partition_by), "left_semi")
+        placed = placed.filter(F.col(YEAR).isin(_years(staged, F.col(YEAR))))
     expected, found = staged.count(), placed.count()
     if expected != found:
         raise RuntimeError(f"{path}: {found} rows in place, {expected} staged")
@@ -86,8 +91,7 @@ def merge_into_table(
     """
     with_year = T.StructType([*schema.fields, T.StructField(YEAR, T.IntegerType(), True)])
     year_of = F.coalesce(F.year(column), F.lit(0))
-    # As many rows as the calendar has years.
-    years = [row[YEAR] for row in batch.select(year_of.alias(YEAR)).distinct().collect()]
+    years = _years(batch, year_of)
     existing = load_or_empty(spark, path, with_year).filter(F.col(YEAR).isin(years)).drop(YEAR)
     merged = merge(existing, batch).select(*schema.fieldNames()).withColumn(YEAR, year_of)
     _write(merged, _staging(path), [YEAR], "static")

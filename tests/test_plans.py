@@ -72,3 +72,21 @@ def test_fill_reads_backwards(spark):
     rows = adapters.bills(spark, FOLDER)
     plan = plan_of(backfill(rows, ["grid_amt"], series=["series_id"], order="dt", tie="bill_id"))
     assert "unboundedpreceding$(), currentrow$()" in plan and "unboundedfollowing" not in plan
+
+
+def test_merge_reads_only_the_partitions_of_the_batch(spark, tmp_path):
+    from perioda.operators import diagonal_merge
+    from perioda.schemas import GYM
+    from perioda.sources import merge_into_table, tables
+
+    path, seen = str(tmp_path / "gym"), []
+    gym = adapters.gym(spark, FOLDER).select(*GYM.fieldNames())
+    merge_into_table(spark, path, gym, diagonal_merge, GYM)
+
+    def merge(existing, batch):
+        seen.append(plan_of(existing))
+        return diagonal_merge(existing, batch)
+
+    merge_into_table(spark, path, gym.filter("year(dt) = 1999"), merge, GYM)
+    assert "PartitionFilters: [isnotnull(year" in seen[0] and "= 1999)]" in seen[0]
+    assert tables.read_table(spark, path, GYM).count() == gym.distinct().count()

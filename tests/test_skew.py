@@ -126,3 +126,12 @@ def test_pulse_seconds_against_pairs(spark, keys):
         expected.append((*key, a["activity_id"], *secs))
     assert rows(plain) == sorted(expected, key=repr)
     assert any(any(r[-6:]) for r in expected)
+
+
+@pytest.mark.parametrize("plan", ["window", "blocked"])
+def test_copies_of_samples_and_activities_change_nothing(spark, plan):
+    workouts, samples = adapters.activities(spark, FOLDER), adapters.pulse_samples(spark, FOLDER)
+    once = secs_in_pulse_zones(workouts, samples, keys=["subject_id"], plan="window")
+    copied = samples.crossJoin(spark.range(3)).drop("id")
+    twice = secs_in_pulse_zones(workouts.union(workouts), copied, keys=["subject_id"], plan=plan, block_rows=200)
+    assert rows(twice) == rows(once)
