@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from perioda.operators.ordered import MAX_GROUP_ROWS, arrange, carry_in, group_sizes, null_safe_match, prefixed
+from perioda.operators.ordered import MAX_GROUP_ROWS, arrange, carry_in, group_sizes, split_hot
 
 
 def exact_median(
@@ -33,15 +34,11 @@ def exact_median(
     if largest <= max_group_rows:
         return _by_builtin(df, group, columns)
 
-    # At most total / max_group_rows groups are hot.
-    sizes = df.groupBy(*group).count()
-    hot = sizes.filter(F.col("count") > max_group_rows).select(*prefixed(group, "__h_"))
-    is_hot = null_safe_match(group, "__h_")
-    cold_rows = df.join(hot, is_hot, "left_anti")
-    hot_rows = df.join(hot, is_hot, "left_semi")
-    return _by_builtin(cold_rows, group, columns).unionByName(
-        _by_rank(hot_rows, group, columns, block_rows or max_group_rows)
-    )
+    by_rank = partial(_by_rank, group=group, columns=columns, block_rows=block_rows or max_group_rows)
+    if not group:
+        return by_rank(df)
+    hot_rows, cold_rows, _ = split_hot(df, group, max_group_rows)
+    return _by_builtin(cold_rows, group, columns).unionByName(by_rank(hot_rows))
 
 
 def _by_builtin(df: DataFrame, group: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
@@ -56,14 +53,12 @@ def _by_rank(df: DataFrame, group: Sequence[str], columns: Mapping[str, str], bl
     counted = long.groupBy(*series, "__value").agg(F.count("__value").alias("__rows"))
 
     arranged = arrange(counted, series, [F.col("__value").asc()], plan="blocked", block_rows=block_rows)
-    arranged = carry_in(arranged, {"__before": (F.sum("__rows"), F.sum)})
-    ranked = arranged.frame.withColumn(
-        "__last", F.coalesce("__before", F.lit(0)) + F.sum("__rows").over(arranged.up_to_here)
-    ).withColumn("__first", F.col("__last") - F.col("__rows"))
-
-    sizes = arranged.frame.groupBy(*series).agg(F.sum("__rows").alias("__n"))
-    sizes = sizes.select(*prefixed(series, "__s_"), "__n")
-    ranked = ranked.join(sizes, null_safe_match(series, "__s_"))
+    rows = (F.sum("__rows"), F.sum)
+    arranged = carry_in(arranged, {"__before": rows, "__all": rows}, whole_group=["__all"])
+    in_block = F.sum("__rows").over(Window.partitionBy(*arranged.keys))
+    last = F.coalesce("__before", F.lit(0)) + F.sum("__rows").over(arranged.up_to_here)
+    ranked = arranged.frame.withColumns({"__last": last, "__n": F.coalesce("__all", in_block)})
+    ranked = ranked.withColumn("__first", F.col("__last") - F.col("__rows"))
 
     # Zero-based ranks of the two middle rows.
     low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)

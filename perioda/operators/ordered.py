@@ -2,9 +2,10 @@
 
 A plain window puts a whole group into one task.  ``arrange`` first measures
 the largest group.  Up to ``MAX_GROUP_ROWS`` the plain window is kept: one
-shuffle.  Beyond it the rows are range partitioned by (group, order), so a
-hot group spreads over many even blocks; windows then run inside a block,
-and ``carry_in`` brings what they need from the blocks before.
+shuffle.  Beyond it the rows of the hot groups are range partitioned by
+(group, order), so a hot group spreads over many even blocks; windows then
+run inside a block, and ``carry_in`` brings what they need from the blocks
+before.  The rows of all other groups take no detour.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from perioda.session import written
 
 MAX_GROUP_ROWS = 2_000_000
+MAX_BROADCAST_KEYS = 1_000_000
 BLOCK = "__block"
 
 
@@ -27,6 +29,7 @@ class Arranged:
     group: tuple[str, ...]
     order: tuple[Column, ...]
     blocked: bool
+    blocks: int = 0
 
     @property
     def keys(self) -> list[str]:
@@ -52,6 +55,22 @@ def group_sizes(df: DataFrame, group: Sequence[str]) -> tuple[int, int]:
     return row["largest"] or 0, row["total"] or 0
 
 
+def split_hot(df: DataFrame, group: Sequence[str], max_group_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(rows of groups above the limit, all other rows, number of the former).
+
+    At most total / max_group_rows groups can be above it.  Their keys are
+    broadcast if there are few enough, so that rows are told apart without a
+    shuffle, which would bring a hot group together.
+    """
+    sizes = df.groupBy(*group).count().filter(F.col("count") > max_group_rows)
+    keys = written(sizes.select(*prefixed(group, "__h_"), F.col("count").alias("__rows")), "hot-groups")
+    found = keys.agg(F.count("*").alias("groups"), F.sum("__rows").alias("rows")).first()
+    if found["groups"] <= MAX_BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    is_hot = null_safe_match(group, "__h_")
+    return df.join(keys, is_hot, "left_semi"), df.join(keys, is_hot, "left_anti"), found["rows"] or 0
+
+
 def arrange(
     df: DataFrame,
     group: Sequence[str],
@@ -60,28 +79,36 @@ def arrange(
     plan: str = "auto",
     max_group_rows: int = MAX_GROUP_ROWS,
     block_rows: int | None = None,
+    drop_copies: bool = False,
 ) -> Arranged:
     """Prepare ``df`` for windows over ``group`` in ``order``.
 
     ``order`` must be total within a group (end it with a unique column), so
-    that every row has one place.  ``plan`` is ``auto``, ``window`` or
-    ``blocked``.
+    that every row has one place.  Where copies of a row mean nothing,
+    ``drop_copies`` removes them before a hot group is cut into blocks; no
+    cut could separate them.  ``plan`` is ``auto``, ``window`` (one task per
+    group) or ``blocked`` (all groups in blocks).
     """
     if plan not in ("auto", "window", "blocked"):
         raise ValueError(f"unknown plan {plan!r}")
-    total = 0
-    if plan != "window":
-        largest, total = group_sizes(df, group)
-        if plan == "auto":
-            plan = "blocked" if largest > max_group_rows else "window"
     if plan == "window":
         return Arranged(df, tuple(group), tuple(order), False)
+    largest, total = group_sizes(df, group)
+    if plan == "auto" and largest <= max_group_rows:
+        return Arranged(df, tuple(group), tuple(order), False)
 
-    blocks = max(1, math.ceil(total / (block_rows or max_group_rows)))
-    ranged = df.repartitionByRange(blocks, *[F.col(name) for name in group], *order)
+    hot, others, hot_rows = df, None, total
+    if plan == "auto" and group:
+        hot, others, hot_rows = split_hot(df, group, max_group_rows)
+    if drop_copies:
+        hot = hot.distinct()
+    blocks = max(1, math.ceil(hot_rows / (block_rows or max_group_rows)))
+    ranged = hot.repartitionByRange(blocks, *[F.col(name) for name in group], *order)
     # Written once: every later pass must see the same block numbers.
     frame = written(ranged.withColumn(BLOCK, F.spark_partition_id()), "blocks")
-    return Arranged(frame, tuple(group), tuple(order), True)
+    if others is not None:
+        frame = frame.unionByName(others.withColumn(BLOCK, F.lit(-1)))
+    return Arranged(frame, tuple(group), tuple(order), True, blocks)
 
 
 def null_safe_match(keys: Sequence[str], prefix: str) -> Column:
@@ -97,33 +124,41 @@ def prefixed(keys: Sequence[str], prefix: str) -> list[Column]:
 
 
 def carry_in(
-    arranged: Arranged, parts: Mapping[str, tuple[Column, Callable[[Column], Column]]]
+    arranged: Arranged,
+    parts: Mapping[str, tuple[Column, Callable[[Column], Column]]],
+    *,
+    whole_group: Sequence[str] = (),
 ) -> Arranged:
     """Add what the earlier blocks of the same group hold.
 
     ``parts`` maps a new column to (aggregate within a block, how to combine
     the blocks before).  The column is null in a group's first block, and
-    everywhere under the plain plan.
+    everywhere under the plain plan.  The columns named in ``whole_group``
+    combine all blocks of the group instead; null where a group has one block.
 
     Only groups that span blocks need a carry.  With n range blocks those
     have at most 2(n-1) (group, block) pairs, so the side joined back is
-    small however many groups there are.
+    small however many groups there are, and groups kept whole have none.
     """
-    if not parts:
-        return arranged
     if not arranged.blocked:
         empty = {name: F.lit(None) for name in parts}
         return replace(arranged, frame=arranged.frame.withColumns(empty))
 
     frame, keys = arranged.frame, arranged.keys
-    summary = frame.groupBy(*keys).agg(*[part.alias(name) for name, (part, _) in parts.items()])
+    in_blocks = frame.filter(F.col(BLOCK) >= 0)
+    summary = in_blocks.groupBy(*keys).agg(*[part.alias(name) for name, (part, _) in parts.items()])
     blocks_of_group = Window.partitionBy(*arranged.group)
     before = blocks_of_group.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.withColumn("__blocks", F.count("*").over(blocks_of_group)).filter("__blocks > 1")
     carried = summary.select(
-        *keys, *[combine(F.col(name)).over(before).alias(name) for name, (_, combine) in parts.items()]
+        *prefixed(keys, "__r_"),
+        *[
+            combine(F.col(name)).over(blocks_of_group if name in whole_group else before).alias(name)
+            for name, (_, combine) in parts.items()
+        ],
     )
-    carried = carried.select(*prefixed(keys, "__r_"), *parts)
+    if 2 * arranged.blocks <= MAX_BROADCAST_KEYS:
+        carried = F.broadcast(carried)
     joined = frame.join(carried, null_safe_match(keys, "__r_"), "left")
     joined = joined.drop(*[f"__r_{key}" for key in keys])
     return replace(arranged, frame=joined)

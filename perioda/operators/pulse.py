@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from perioda.functions.calendar import whole_seconds_between
 from perioda.functions.fitness import ZONE_SHARES, zone_limits
-from perioda.operators.ordered import MAX_GROUP_ROWS, arrange, carry_in, group_sizes
+from perioda.operators.ordered import MAX_GROUP_ROWS, arrange, carry_in
 from perioda.schemas import HEART_ZONE_SECONDS
 
 
@@ -64,11 +64,6 @@ def secs_in_pulse_zones(
         ),
         allowMissingColumns=True,
     )
-    if plan == "auto":
-        plan = "blocked" if group_sizes(line, keys)[0] > max_group_rows else "window"
-    if plan == "blocked":
-        # Copies share one place in the order, so no range could split them.
-        line = line.distinct()
     arranged = arrange(
         line,
         keys,
@@ -76,6 +71,7 @@ def secs_in_pulse_zones(
         plan=plan,
         max_group_rows=max_group_rows,
         block_rows=block_rows,
+        drop_copies=True,
     )
 
     sample_at = F.when(F.col("kind") == 1, F.col("at"))

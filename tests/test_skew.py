@@ -43,6 +43,8 @@ def test_blocked_backfill(sparse, block_rows):
     blocked = backfill(sparse, ["x", "y"], plan="blocked", block_rows=block_rows, **options)
     assert rows(blocked, "s", "id", "dt", "x", "y") == expected
     assert rows(backfill(sparse, ["x", "y"], plan="window", **options)) == expected
+    hot_only = backfill(sparse, ["x", "y"], max_group_rows=25, block_rows=block_rows, **options)
+    assert rows(hot_only, "s", "id", "dt", "x", "y") == expected
 
 
 def test_backfill_chooses_by_the_largest_group(sparse):
@@ -51,6 +53,9 @@ def test_backfill_chooses_by_the_largest_group(sparse):
     assert not arrange(sparse, ["s"], order, max_group_rows=1200).blocked
     spread = arrange(sparse, ["s"], order, max_group_rows=100)
     assert spread.blocked
+    # Only the hot series is cut.
+    cut = spread.frame.filter("__block >= 0").select("s").distinct()
+    assert [r.s for r in cut.collect()] == [1] and spread.frame.count() == 1200
     # No block is much larger than asked for, though one series and one date hold most rows.
     assert spread.frame.groupBy(*spread.keys).count().agg(F.max("count")).first()[0] < 300
 
@@ -86,6 +91,11 @@ def test_median_by_rank(spark, copies):
             assert got == (statistics.median(values) if values else None)
 
 
+def test_median_of_one_group_for_all_rows(spark):
+    df = spark.range(101).select(F.col("id").cast("double").alias("x"))
+    assert rows(exact_median(df, [], {"m": "x"}, max_group_rows=10)) == [(50.0,)]
+
+
 def test_approximate_median_has_the_same_shape(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("x"))
     found = exact_median(df, ["k"], {"m": "x"}, approx=True)
@@ -103,6 +113,8 @@ def test_pulse_seconds_against_pairs(spark, keys):
     plain = secs_in_pulse_zones(workouts, samples, keys=keys, plan="window")
     blocked = secs_in_pulse_zones(workouts, samples, keys=keys, plan="blocked", block_rows=150)
     assert rows(plain) == rows(blocked)
+    hot_only = secs_in_pulse_zones(workouts, samples, keys=keys, max_group_rows=300)
+    assert rows(hot_only) == rows(plain)
 
     # Pairs, in plain Python.
     acts = [r.asDict() for r in workouts.collect()]
@@ -128,10 +140,10 @@ def test_pulse_seconds_against_pairs(spark, keys):
     assert any(any(r[-6:]) for r in expected)
 
 
-@pytest.mark.parametrize("plan", ["window", "blocked"])
+@pytest.mark.parametrize("plan", ["window", "blocked", "auto"])
 def test_copies_of_samples_and_activities_change_nothing(spark, plan):
     workouts, samples = adapters.activities(spark, FOLDER), adapters.pulse_samples(spark, FOLDER)
     once = secs_in_pulse_zones(workouts, samples, keys=["subject_id"], plan="window")
     copied = samples.crossJoin(spark.range(3)).drop("id")
-    twice = secs_in_pulse_zones(workouts.union(workouts), copied, keys=["subject_id"], plan=plan, block_rows=200)
+    twice = secs_in_pulse_zones(workouts.union(workouts), copied, keys=["subject_id"], plan=plan, max_group_rows=200)
     assert rows(twice) == rows(once)
