@@ -31,8 +31,17 @@ EXERCISE_OF_PRIORITY = {
 }
 
 
+# Declared, so that no job has to look into the files first.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "pages": "page_id bigint, html string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _choose(column: str, labels: dict[str, str], other: str) -> Column:
@@ -42,72 +51,61 @@ def _choose(column: str, labels: dict[str, str], other: str) -> Column:
     return chosen.otherwise(F.lit(other))
 
 
-def _part(key: str, modulus: int, divisor: float = 1) -> Column:
-    return (F.col(key) % modulus).cast("double") / F.lit(float(divisor))
-
-
 def bills(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
-    cents = lambda name: F.sum(F.round(F.col(name) * 100).cast("bigint")).cast("double")
-    per_order = lines.groupBy("l_orderkey").agg(
-        cents("l_extendedprice").alias("grid"),
-        cents("l_tax").alias("trade"),
-        cents("l_discount").alias("heat"),
-        F.sum("l_quantity").alias("qty"),
+    per_order = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        *[
+            F.expr(f"cast(sum(cast(round({column} * 100) as bigint)) as double) as {name}")
+            for name, column in (("grid", "l_extendedprice"), ("trade", "l_tax"), ("heat", "l_discount"))
+        ],
+        F.expr("sum(l_quantity) as qty"),
     )
-    orders = table(spark, folder, "orders")
-    joined = orders.join(per_order, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    key = "o_orderkey"
-    return joined.select(
-        (F.col("o_custkey") % 50).alias("series_id"),
-        F.col(key).alias("bill_id"),
-        F.to_date("o_orderdate").alias("dt"),
-        F.when(F.col(key) % 7 != 0, F.col("grid")).alias("grid_amt"),
-        F.col("trade").alias("trade_amt"),
-        F.when(F.col(key) % 11 != 0, F.col("heat")).alias("heat_amt"),
-        _part(key, 140).alias("service_fee"),
-        F.col("qty").alias("usage_kwh"),
-        (F.col("qty") / 64).alias("usage_mwh"),
-        F.when(F.col(key) % 5 != 0, _part(key, 90, 4)).alias("spot_price"),
-        _part(key, 37, 8).alias("tax_price"),
-        _part(key, 41, 8).alias("transfer_price"),
-        _part(key, 29, 16).alias("variable_price"),
-        _part(key, 23, 16).alias("markup_price"),
-        _part(key, 800, 2).alias("heat_price"),
+    orders = table(spark, folder, "orders").selectExpr("o_orderkey as id", "o_custkey", "cast(o_orderdate as date) as dt")
+    return orders.join(per_order, F.col("l_orderkey") == F.col("id"), "left").selectExpr(
+        "o_custkey % 50 as series_id",
+        "id as bill_id",
+        "dt",
+        "if(id % 7 = 0, null, grid) as grid_amt",
+        "trade as trade_amt",
+        "if(id % 11 = 0, null, heat) as heat_amt",
+        "cast(id % 140 as double) as service_fee",
+        "qty as usage_kwh",
+        "qty / 64 as usage_mwh",
+        "if(id % 5 = 0, null, cast(id % 90 as double) / 4) as spot_price",
+        "cast(id % 37 as double) / 8 as tax_price",
+        "cast(id % 41 as double) / 8 as transfer_price",
+        "cast(id % 29 as double) / 16 as variable_price",
+        "cast(id % 23 as double) / 16 as markup_price",
+        "cast(id % 800 as double) / 2 as heat_price",
     )
 
 
 def activities(spark: SparkSession, folder: str) -> DataFrame:
-    key = "event_id"
-    return table(spark, folder, "events").select(
-        F.col(key).alias("activity_id"),
-        F.col("user_id").alias("subject_id"),
-        F.col("ts").alias("dt"),
-        F.col("event_type").alias("activity"),
-        F.when(F.col(key) % 97 != 0, F.col("value") * 100).alias("distance"),
-        ((F.col(key) * 37) % 5400 + 300).cast("double").alias("duration"),
-        *[((F.col(key) * 13 * n) % 900).cast("double").alias(f"secs_zone{n}") for n in range(1, 6)],
+    return table(spark, folder, "events").selectExpr(
+        "event_id as activity_id",
+        "user_id as subject_id",
+        "ts as dt",
+        "event_type as activity",
+        "if(event_id % 97 = 0, null, value * 100) as distance",
+        "cast(event_id * 37 % 5400 + 300 as double) as duration",
+        *[f"cast(event_id * {13 * n} % 900 as double) as secs_zone{n}" for n in range(1, 6)],
     )
 
 
 def timed_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics with the time of each sample and its unit."""
-    key = "event_id"
-    kind = F.col("event_type")
-    value = (
-        F.when(kind == "click", 60 + _part(key, 40))
-        .when(kind == "view", _part(key, 32, 64))
-        .when(kind == "error", 100 + _part(key, 60))
-        .when(kind == "signup", 60 + _part(key, 40))
-        .otherwise(_part(key, 50, 8))
-    )
-    metric = _choose("event_type", METRIC_OF_EVENT, OTHER_METRIC)
-    rows = table(spark, folder, "events").select(
-        (F.col("user_id") % 5).alias("subject_id"), "ts", metric.alias("metric"), value.alias("value")
+    value = """case event_type when 'click' then cast(60 + event_id % 40 as double)
+        when 'view' then cast(event_id % 32 as double) / 64
+        when 'error' then cast(100 + event_id % 60 as double)
+        when 'signup' then cast(60 + event_id % 40 as double)
+        else cast(event_id % 50 as double) / 8 end"""
+    units = {event: UNIT_OF_METRIC[metric] for event, metric in METRIC_OF_EVENT.items()}
+    return table(spark, folder, "events").select(
+        F.expr("user_id % 5 as subject_id"),
+        "ts",
+        _choose("event_type", METRIC_OF_EVENT, OTHER_METRIC).alias("metric"),
+        _choose("event_type", units, UNIT_OF_METRIC[OTHER_METRIC]).alias("unit"),
+        F.expr(value).alias("value"),
     )
-    units = dict(UNIT_OF_METRIC)
-    other = units.pop(OTHER_METRIC)
-    return rows.withColumn("unit", _choose("metric", units, other))
 
 
 def metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,11 +114,11 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def gym(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("o_orderkey")
-    sets = F.concat((key % 100).cast("string"), F.lit("x12,"), (key % 50).cast("string"), F.lit("x10"))
+    sets = F.expr("concat(o_orderkey % 100, 'x12,', o_orderkey % 50, 'x10')")
     return table(spark, folder, "orders").select(
         F.to_date("o_orderdate").alias("dt"),
         _choose("o_orderpriority", EXERCISE_OF_PRIORITY, "Other").alias("exercise"),
-        (_part("o_orderkey", 400, 4)).cast("float").alias("rep_max"),
+        F.expr("cast(cast(o_orderkey % 400 as double) / 4 as float) as rep_max"),
         F.split(sets, ",").alias("sets"),
         key.alias("row_id"),
     )
