@@ -39,6 +39,14 @@ def seconds(spark, name: str) -> float:
     return time.perf_counter() - begin
 
 
+def shuffled(spark) -> int:
+    """Bytes written to shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
 def main() -> None:
     spark = build_session(
         "bench",
@@ -52,15 +60,17 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("OFF")
     names = sys.argv[1:] or HEADLINES
-    times = {}
+    times, shuffle = {}, {}
     for name in names:
+        before = shuffled(spark)
         seconds(spark, name)
+        shuffle[name] = shuffled(spark) - before
         times[name] = round(statistics.median(seconds(spark, name) for _ in range(RUNS)), 3)
-        print(f"{name:28s} {times[name]:.3f}", file=sys.stderr)
+        print(f"{name:28s} {times[name]:.3f} s {shuffle[name] / 1e6:9.2f} MB shuffled", file=sys.stderr)
     spark.stop()
     total = round(sum(times.values()), 3)
     line = {"metric": "headline_queries_wall_time", "value": total, "unit": "sec", "queries": times,
-            "sf": os.path.basename(FOLDER.rstrip("/")).removeprefix("sf")}
+            "shuffle_bytes": shuffle, "sf": os.path.basename(FOLDER.rstrip("/")).removeprefix("sf")}
     print(json.dumps(line))
 
 

@@ -83,6 +83,20 @@ def test_sections_of_many_files_in_splits(spark, tmp_path):
     assert [r.exercise for r in whole.orderBy("exercise").collect()] == sorted(expected)
 
 
+def test_large_files_are_never_read_whole(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    (tmp_path / "large.csv").write_text("x\n" * 5000)
+    (tmp_path / "small.csv").write_text(EXPORT)
+    whole = spark.read.text(str(tmp_path), wholetext=True).filter(F.col("_metadata.file_size") <= 1000)
+    plan = whole.select(F.length("value"))._jdf.queryExecution().executedPlan()
+    assert len(plan.executeCollect()) == 1
+    scan = plan
+    while scan.children().size():
+        scan = scan.children().apply(0)
+    assert scan.metrics().get("filesSize").get().value() == len(EXPORT)
+
+
 def test_section_without_a_column_fails(spark, tmp_path):
     (tmp_path / "e.csv").write_text(EXPORT.replace("record", "weight"))
     with pytest.raises(Exception, match="no column 'record'"):
