@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from perioda.operators.merge import keep_first
+from perioda.operators.ordered import MAX_BROADCAST_KEYS
 from perioda.sources.html import named_cell
 
 # Section marker and the columns read from it.
@@ -30,18 +31,22 @@ def read_csv_sections(
     """(source, dt, exercise, rep_max, sets) of all export files under ``path``.
 
     Files up to ``max_text_bytes`` are each one row; larger ones are read
-    line by line in splits, so no file has to fit a task.
+    line by line in splits, so no file has to fit a task.  Which there are is
+    known from the listing, without reading any.
     """
     size = F.col("_metadata.file_size")
     source = F.col("_metadata.file_path").alias("source")
     whole = spark.read.text(path, wholetext=True).filter(size <= max_text_bytes)
     small = parse_csv_sections(whole.select(source, F.col("value").alias("text")), ["source"], "text", on_error=on_error)
 
+    large = spark.read.format("binaryFile").load(path).filter(F.col("length") > max_text_bytes).count()
+    if not large:
+        return small
     place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
     # The filter is on the file size, which prunes the listing before any line is numbered.
     lines = spark.read.text(path).filter(size > max_text_bytes)
     lines = lines.select(source, place.alias("place"), F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
-    return small.unionByName(_fields(_section_of_lines(lines), ["source"], on_error))
+    return small.unionByName(_fields(_section_of_lines(lines, large), ["source"], on_error))
 
 
 def parse_csv_sections(texts: DataFrame, ids: Sequence[str], text: str, *, on_error: str = "raise") -> DataFrame:
@@ -67,10 +72,15 @@ def _ends(line: Column) -> Column:
     return line.startswith("#") | (F.length(line) <= 1)
 
 
-def _section_of_lines(lines: DataFrame) -> DataFrame:
-    """(source, head, line) from (source, place, line); each step is a small table per source."""
+def _section_of_lines(lines: DataFrame, sources: int) -> DataFrame:
+    """(source, head, line) from (source, place, line).
+
+    Each step finds one place per source.  Those tables are broadcast unless
+    there are very many sources, so the lines of a file stay where they are.
+    """
+    few = F.broadcast if sources <= MAX_BROADCAST_KEYS else lambda bound: bound
     after = lambda rows, bound: rows.join(
-        bound, (F.col("source") == F.col("__b_source")) & (F.col("place") > F.col("__b_place"))
+        few(bound), (F.col("source") == F.col("__b_source")) & (F.col("place") > F.col("__b_place"))
     ).drop("__b_source", "__b_place")
     bound_of = lambda rows: rows.select(F.col("source").alias("__b_source"), F.col("place").alias("__b_place"))
 
@@ -83,7 +93,7 @@ def _section_of_lines(lines: DataFrame) -> DataFrame:
         .withColumnRenamed("source", "__e_source")
     )
     body = after(lines, bound_of(skipped))
-    body = body.join(end, F.col("source") == F.col("__e_source"), "left")
+    body = body.join(few(end), F.col("source") == F.col("__e_source"), "left")
     body = body.filter(F.col("__end").isNull() | (F.col("place") < F.col("__end"))).drop("__end", "__e_source")
     head = keep_first(body, ["source"], [F.col("place")], 1)
     head = head.select(
