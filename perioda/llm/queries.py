@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from perioda.llm import decision_lists, decontamination, pfair, sharding, simhash, token_counts, url_digests
+from perioda.llm import (
+    decision_lists,
+    decontamination,
+    line_chunks,
+    pfair,
+    quotations,
+    sharding,
+    simhash,
+    token_counts,
+    url_digests,
+    wavelet,
+)
 
 SHARDS = 16
 #: (host, path, verdict) of the url query.
@@ -49,6 +60,17 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "quality.*")
 
 
+def op5_quotations(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations have no quotes, so they are first laid out as mails that quote two messages each."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return quotations.link(quotations.with_quotes(turns), scope=["conv_id"], order="turn")
+
+
+def op6_wavelet_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return wavelet.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     return url_digests.judge_urls(pages, url_digests.rules_table(spark, URL_RULES)).drop("url")
@@ -59,6 +81,11 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))
 
 
+def op9_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_chunks.remove_repeated(docs)
+
+
 def op10_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source")
     return pfair.mix(docs, seed=42)
@@ -67,7 +94,7 @@ def op10_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_decontamination, op3_sharding, op4_quality_rules, op7_url_filters, op8_simhash,
-        op10_pfair_mixing,
+        op1_token_counts, op2_decontamination, op3_sharding, op4_quality_rules, op5_quotations, op6_wavelet_files,
+        op7_url_filters, op8_simhash, op9_line_chunks, op10_pfair_mixing,
     )
 }
