@@ -24,6 +24,9 @@ WINDOW = 10
 #: Text of test items that goes to the workers at once; more is done in blocks, a pass each.
 MAX_BLOCK_BYTES = 4 << 20
 
+#: Text that a worker scans at once, or one longer text.
+GROUP_BYTES = 4 << 20
+
 # On UTF-8 bytes: words are digits, letters and all that is not ASCII.
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _TO_WORDS = bytes(
@@ -182,7 +185,16 @@ def _scan_column(df: DataFrame, block: list[tuple[str | None, bytes]], window: i
 
     @arrow_function(f"n_words long, spans array<{SPANS}>, items array<string>")
     def scanned(texts: pa.Array) -> pa.Array:
-        return pa.array(scan(shared.value, texts.to_pylist()), _RESULT)
+        rows: list[dict] = []
+        group: list[bytes] = []
+        size = 0
+        for text in texts:
+            group.append(text.as_py())
+            size += len(group[-1])
+            if size > GROUP_BYTES:
+                rows += scan(shared.value, group)
+                group, size = [], 0
+        return pa.array(rows + scan(shared.value, group), _RESULT)
 
     return scanned(utf8(text))
 
