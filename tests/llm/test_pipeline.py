@@ -1,0 +1,55 @@
+"""Every stage against a plain version over its own input, and the whole run."""
+
+from collections import Counter
+
+import corpus_pipeline as cp
+from perioda.llm import decision_lists as dl, simhash as sh
+from plain_versions import brute_classes, brute_hits, signed_print
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns = docs.columns
+    after = []
+    for name, stage in cp.STAGES:
+        out = f"file://{tmp_path}/{name}"
+        stage(spark, docs, FOLDER).write.parquet(out)
+        before, docs = docs, spark.read.parquet(out)
+        after.append((name, before.collect(), docs.collect()))
+        assert docs.columns == columns or name == "shards"
+    (_, all_docs, good), (_, _, single), (_, _, clean), (_, _, mixed), (_, _, sharded) = after
+
+    rules = dl.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    judged = dl.judge(spark.createDataFrame(all_docs), rules).filter("quality.kept").collect()
+    assert {r["doc_id"] for r in good} == {r["doc_id"] for r in judged} and len(good) < len(all_docs)
+
+    prints = {r["doc_id"]: signed_print(r["text"]) for r in good}
+    classes = brute_classes(sorted(set(prints.values())))
+    lowest = {}
+    for doc, p in prints.items():
+        lowest[classes[p]] = min(doc, lowest.get(classes[p], doc))
+    assert sorted(r["doc_id"] for r in single) == sorted(lowest.values())
+
+    items = [r["text"] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    assert sorted(r["doc_id"] for r in clean) == sorted(r["doc_id"] for r in single if not brute_hits(r["text"], items))
+
+    rows = Counter(r["doc_id"] for r in mixed)
+    assert set(rows) == {r["doc_id"] for r in clean}
+    texts = {r["doc_id"]: r for r in clean}
+    assert all(texts[r["doc_id"]] == r for r in mixed)
+
+    assert Counter(tuple(r[c] for c in columns) for r in sharded) == Counter(map(tuple, mixed))
+    sizes = Counter(r["shard"] for r in sharded)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_run_and_empty_input(spark):
+    found = cp.run(spark, FOLDER)
+    assert found.count() > 0 and {"shard", "slot"} <= set(found.columns)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, FOLDER)
+    assert docs.count() == 0
+    assert sh.MAX_DIFFERENCE == 2
