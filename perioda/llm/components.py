@@ -20,7 +20,7 @@ def component_labels(links: DataFrame) -> DataFrame:
     links = written(links.filter("a <> b").select("a", "b"), "links")
     labels = None
     while not links.isEmpty():
-        ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
         parents = written(parents.select("node", F.least("node", "low").alias("label")), "parents")
         above = parents.select(F.col("node").alias("label"), F.col("label").alias("top"))
@@ -35,7 +35,7 @@ def component_labels(links: DataFrame) -> DataFrame:
             other = "b" if end == "a" else "a"
             step = jumped.select(F.col("node").alias(end), "label")
             links = links.join(step, end).select(F.col("label").alias(end), other)
-        links = written(links.filter("a <> b").distinct(), "links")
+        links = written(links.filter("a <> b").select("a", "b").distinct(), "links")
     if labels is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels

@@ -66,6 +66,8 @@ def parse(text: str) -> dict:
     """Own text, keys of the own passages, and keys of the quoted ones with level and rank."""
     found = blocks(text)
     own = [lines for level, lines in found if level == 0]
+    if len(found) > 1:
+        own = ["\n".join(lines).strip("\n").split("\n") for lines in own]
     every = [line for lines in own for line in lines]
     keys = [key for lines in own for key in keys_of(lines)] + (keys_of(every) if every else [])
     quotes = [

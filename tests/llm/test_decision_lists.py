@@ -53,7 +53,7 @@ def test_nothing_to_learn(poor):
 def test_held_out_precision(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{n}.parquet") for n in ("documents", "labels"))
     rules = dl.fit(docs, labels.filter("doc_id % 2 = 0"))
-    judged = dl.judge(docs, rules).join(labels.filter("doc_id % 2 = 1"), "doc_id").select("quality.kept", labels["quality"])
+    judged = dl.judge(docs, rules, out="q").join(labels.filter("doc_id % 2 = 1"), "doc_id").select("q.kept", "quality")
     rows = [tuple(r) for r in judged.collect()]
     good = [kept for kept, quality in rows if quality == 1]
     poor = [kept for kept, quality in rows if quality == 0]
