@@ -19,14 +19,14 @@ from perioda.llm.common import arrow_function, as_text, col, fresh
 SAMPLE_ROWS = 20_000
 #: A rule must reject at least this share of poor texts among those it meets, on rows it was not grown on.
 MIN_PRECISION = 0.95
-MIN_ROWS = 5
+MIN_ROWS = 3
 MAX_CONDITIONS = 4
 MAX_RULES = 16
 THRESHOLDS = 48
 REPEAT_WINDOW = 5
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_OTHERS = ("n_lines", "n_upper", "n_digits", "n_marks", "n_distinct")
+_OTHERS = ("n_lines", "n_upper", "n_digits", "n_marks", "n_distinct", "n_twins")
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -46,6 +46,7 @@ FEATURES = {
     "digit_share": "n_digits / word_chars",
     "mark_share": "n_marks / n_words",
     "distinct_share": "n_distinct / n_words",
+    "twin_share": "n_twins / n_words",
 }
 
 
@@ -91,6 +92,7 @@ def statistics_of(text: str) -> tuple[int, ...]:
         count(_DIGITS),
         count(_MARKS),
         len(number),
+        int(np.count_nonzero(numbers[1:] == numbers[:-1])),
     )
 
 
@@ -166,7 +168,10 @@ def _grow(values: dict[str, np.ndarray], poor: np.ndarray) -> list[Condition]:
                     gain = np.where(ps > 0, ps * (np.log2(ps / (ps + ns)) - before), 0)
                 if len(gain) and gain.max() > best_gain:
                     k = int(gain.argmax())
-                    best, best_gain = Condition(name, above, float(cuts[k])), gain.max()
+                    # Half way to the next value, so that a text close to the cut is on no edge.
+                    beyond = own[own > cuts[k]]
+                    edge = (cuts[k] + beyond.min()) / 2 if len(beyond) else cuts[k]
+                    best, best_gain = Condition(name, above, float(edge)), gain.max()
         if best is None:
             break
         rule.append(best)
