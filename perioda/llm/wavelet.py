@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,8 +30,8 @@ SHARD_TOKENS = 1 << 21
 #: Bits between two stored counts of ones.
 BLOCK = 512
 MAGIC = b"WVM1"
-#: White-space pieces remembered per Python worker, and the longest one that is.
-REMEMBERED_PIECES = 300_000
+#: Pieces a Python worker remembers in each of two generations, and the longest one that is.
+REMEMBERED_PIECES = 200_000
 REMEMBERED_BYTES = 64
 
 FILE_SCHEMA = T.StructType(
@@ -166,27 +167,61 @@ class WaveletMatrix:
         return order.astype(np.uint32)
 
 
+#: A word that ends in an ASCII letter, and ASCII marks other than an apostrophe behind it: between the two
+#: there is always a border.
+_WORD_AND_MARKS = re.compile(rb"(?s)([a-z\x80-\xff]*[a-z])([!-&(-/:-@\[-`{-~].*)")
+#: Letters below this are lower-cased alike in every library and have no other normal form; one is not.
+_PLAIN_LETTERS, _DOTTED_I = "ƀ", "İ"
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte -> the letter that stands for it in byte-level vocabularies: itself if it can be seen, else the next free one."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class PieceIds(dict):
-    """White-space piece of a text (UTF-8) -> its ids as little-endian 32-bit numbers.
+    """White-space piece of a text (UTF-8, A-Z lower-cased) -> its ids as little-endian 32-bit numbers.
 
     The tokenizer drops white space and lets no token cross it, and ASCII
     white space is white space to it, so a text's ids are those of its pieces.
+    Pieces seen lately are remembered in two generations: when the younger one
+    is full it takes the place of the older one.
     """
 
     def __init__(self, definition: str):
         super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_str(definition)
+        self.model, self.older, self.letters = self.tokenizer.model, {}, byte_letters()
 
     def __missing__(self, piece: bytes) -> bytes:
-        found = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-        packed = np.array(found, "<u4").tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            parts = _WORD_AND_MARKS.fullmatch(piece)
+            if parts and b"<|" not in piece:
+                packed = self[parts[1]] + self[parts[2]]
+            else:
+                ids = self.encoded(piece)
+                packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= REMEMBERED_BYTES:
             if len(self) >= REMEMBERED_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
 
+    def encoded(self, piece: bytes) -> list[int]:
+        """The library's ids; a word of plain letters is its own normal form and one word, so it goes to the model."""
+        text = piece.decode()
+        if text.isalpha() and max(text) < _PLAIN_LETTERS and _DOTTED_I not in text:
+            word = text.lower().encode().decode("latin-1").translate(self.letters)
+            return [token.id for token in self.model.tokenize(word)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def of_text(self, text: bytes) -> bytes:
+        if b"<|" not in text:  # special strings are found before letters are lower-cased
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.split()))
 
 
@@ -207,14 +242,19 @@ def crosses_no_white_space(definition: str) -> bool:
     words = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
     own = first.get("pattern", {}).get("Regex", "")
     plain = all(
-        not t["lstrip"] and not t["rstrip"] and not set(t["content"]) & set(" \t\n\r\x0b\x0c")
+        not t["lstrip"] and not t["rstrip"] and t["content"].startswith("<|") and not set(t["content"]) & set(" \t\n\r\x0b\x0c")
         for t in parts["added_tokens"]
     )
     return steps == known and words and own.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and plain
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): each text's ids and the end id, as little-endian 32-bit numbers in one binary."""
+    """(doc_id, ids): each text's ids and the end id, as little-endian 32-bit numbers in one binary.
+
+    Rows come in ranges ascending by doc_id, null first, and in order within
+    them; equal ids are ordered by a hash of their texts.  The ranges are made
+    of the texts, so that the sampling for their bounds encodes nothing.
+    """
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = file.read()
     by_piece, key = crosses_no_white_space(definition), hashlib.sha256(definition.encode()).hexdigest()
@@ -226,10 +266,15 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, *, doc_id: str = "
         if key not in _LOADED:
             _LOADED[key] = PieceIds(shared.value)
         pieces = _LOADED[key]
-        of_text = pieces.of_text if by_piece else pieces.__missing__
-        return pa.array([of_text(value.as_py()) + end for value in texts], pa.binary())
+        if by_piece:
+            return pa.array([pieces.of_text(value.as_py()) + end for value in texts], pa.binary())
+        whole = (pieces.tokenizer.encode(value.as_py().decode(), add_special_tokens=False).ids for value in texts)
+        return pa.array([struct.pack(f"<{len(ids)}I", *ids) + end for ids in whole], pa.binary())
 
-    return docs.select(col(doc_id).cast("long").alias("doc_id"), encoded(utf8(text)).alias("ids"))
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("text"))
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.select("doc_id", encoded(F.col("text")).alias("ids"))
 
 
 def _packed(batches: Iterator[pa.RecordBatch], shard_tokens: int) -> Iterator[pa.RecordBatch]:
@@ -263,18 +308,15 @@ def _packed(batches: Iterator[pa.RecordBatch], shard_tokens: int) -> Iterator[pa
 
 
 def write_files(encoded: DataFrame, path: str, *, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Write (doc_id, ids) as wavelet matrices, ascending by doc_id, null ids first.
+    """Write what ``encode`` gives as wavelet matrices.
 
-    Rows are range partitioned, and a task closes a matrix whenever it is
-    full, so no task or file grows with the table.  A file's row holds one
-    matrix with the ids and ends of its documents; Spark's committer puts
-    files in place, so a task that is run again leaves one copy.  Rows with
-    equal doc_id are ordered by a hash of their ids.
+    A task closes a matrix whenever it is full, so no task or file grows with
+    the table.  A file's row holds one matrix with the ids and ends of its
+    documents; Spark's committer puts files in place, so a task that is run
+    again leaves one copy.
     """
     ship_package(encoded.sparkSession)
-    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
-    ranged = encoded.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.mapInArrow(lambda batches: _packed(batches, shard_tokens), FILE_SCHEMA).write.parquet(path)
+    encoded.mapInArrow(lambda batches: _packed(batches, shard_tokens), FILE_SCHEMA).write.parquet(path)
 
 
 def file_starts(spark: SparkSession, path: str) -> DataFrame:
