@@ -258,8 +258,10 @@ def fit(
     # The sample has a fixed bound, so it may be sent to all.
     chosen = texts.join(F.broadcast(sample), "__id").select("__id", "__poor", text_statistics("__text").alias("s"))
     features = [own.alias(name) for name, own in features_of(F.col("s")).items()]
-    rows = chosen.filter(~base_failed(F.col("s"))).select("__id", "__poor", *features)
+    # Not filtered by the statistics here: that would be pushed below the join and take those of all texts.
+    rows = chosen.select("__id", "__poor", base_failed(F.col("s")).alias("__failed"), *features)
     rows = rows.orderBy(F.xxhash64("__id"), "__id", *FEATURES).limit(sample_rows).toPandas()
+    rows = rows[~rows["__failed"]]
     values = {name: rows[name].to_numpy(float) for name in FEATURES}
     return learn(values, rows["__poor"].to_numpy(bool))
 
