@@ -26,19 +26,19 @@ from perioda.session import new_shared_path
 from perioda.sources import (
     day_activities,
     html_items,
-    html_table,
     load_or_empty,
     merge_into_table,
     parse_csv_sections,
     read_csv_sections,
     read_day_documents,
     read_gym_json,
+    read_html_tables,
     read_metrics_xml,
     read_table,
     replace_table,
 )
 from perioda.sources.html import number
-from perioda.sources.xml import TYPE_PREFIX, KEPT_TYPES
+from perioda.sources.xml import EXPORT_MEMBER, KEPT_TYPES, TYPE_PREFIX, parse_archives
 from perioda.streaming import stream_into_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +68,8 @@ def _with_sets_text(df: DataFrame) -> DataFrame:
     return df.withColumns(text).drop("sets")
 
 
-def _normal(spark: SparkSession, folder: str) -> DataFrame:
-    return bills.normalize_bills(adapters.bills(spark, folder))
+def _normal(spark: SparkSession, folder: str, start: dt.date | None = None) -> DataFrame:
+    return bills.normalize_bills(adapters.bills(spark, folder), start=start)
 
 
 # --- bills -----------------------------------------------------------------
@@ -125,8 +125,12 @@ def distinct_years(spark, folder):
     return bills.distinct_years(_normal(spark, folder))
 
 
+YEARS = [1996, 1999, 2000]
+
+
 def _year_compare(measure: str) -> Query:
-    return lambda spark, folder: bills.year_compare(_normal(spark, folder), measure, [1996, 1999, 2000], by=SERIES)
+    start = bills.first_day_of(YEARS)
+    return lambda spark, folder: bills.year_compare(_normal(spark, folder, start), measure, YEARS, by=SERIES)
 
 
 QUERIES["year_compare_cost"] = _year_compare("total_cost")
@@ -136,7 +140,21 @@ QUERIES["year_compare_mwh"] = _year_compare("usage_mwh")
 
 @query
 def cost_share(spark, folder):
-    return bills.cost_share(_normal(spark, folder), AS_OF_BILLS)
+    return bills.cost_share(_normal(spark, folder, bills.first_day_shared(AS_OF_BILLS)), AS_OF_BILLS)
+
+
+@query
+def cost_by_period_range(spark, folder):
+    start, end = dt.date(1996, 2, 10), dt.date(1998, 7, 31)
+    return bills.cost_by_period(_normal(spark, folder), "quarter", by=SERIES, start=start, end=end)
+
+
+@query
+def from_invoices(spark, folder):
+    """Bills under the headings of the invoice export, dates as text, read back."""
+    headings = {new: old for old, new in schemas.INVOICE_COLUMNS.items() if new != "date"}
+    raw = adapters.bills(spark, folder).withColumn("date", F.col("dt").cast("string")).drop("dt")
+    return bills.from_invoices(raw.withColumnsRenamed(headings))
 
 
 @query
@@ -256,8 +274,15 @@ def zone_bounds(spark, folder):
     return acts.zone_bounds(samples.select("birth_year", F.year("ts").cast("bigint").alias("year")))
 
 
+def _with_odd_durations(workouts):
+    """Some activities without a duration, and some that end before they start."""
+    key = F.col("activity_id")
+    odd = F.when(key % 83 == 0, F.lit(None)).when(key % 89 == 0, -F.col("duration")).otherwise(F.col("duration"))
+    return workouts.withColumn("duration", odd)
+
+
 def _by_day(spark, folder):
-    workouts = adapters.activities(spark, folder).withColumn("day", F.to_date("dt"))
+    workouts = _with_odd_durations(adapters.activities(spark, folder)).withColumn("day", F.to_date("dt"))
     return workouts, adapters.pulse_samples(spark, folder).withColumn("day", F.to_date("ts"))
 
 
@@ -322,6 +347,14 @@ def date_range(spark, folder):
 # --- metrics ---------------------------------------------------------------
 
 
+@query
+def bp_by_period_range(spark, folder):
+    found = metrics.bp_by_period(
+        adapters.metrics(spark, folder), "week", by=SUBJECT, start=dt.date(2024, 1, 4), end=dt.date(2024, 1, 20)
+    )
+    return _round6(found, "systolic", "diastolic")
+
+
 @query
 def bp_by_period(spark, folder):
     return _round6(metrics.bp_by_period(adapters.metrics(spark, folder), "week", by=SUBJECT), "systolic", "diastolic")
@@ -502,20 +535,46 @@ def src_json_gym(spark, folder):
     return _with_sets_text(read_gym_json(spark, _gym_json(spark, folder), multi_line=False))
 
 
+ROWS_PER_ARRAY = 5000
+
+
+@query
+def src_json_gym_array(spark, folder):
+    """The export's own form: files that hold one array of records each, over several lines."""
+    raw = adapters.gym(spark, folder).select(
+        F.to_json(
+            F.struct(
+                F.col("dt").cast("string").alias("date"), F.col("exercise").alias("excercise"),
+                F.col("rep_max").cast("string").alias("rep_max"), "sets",
+            )
+        ).alias("record"),
+        F.floor(F.col("row_id") / ROWS_PER_ARRAY).alias("file"),
+    )
+    arrays = raw.groupBy("file").agg(F.array_join(F.collect_list("record"), ",\n").alias("records"))
+    path = new_shared_path(spark, "gym-arrays")
+    text = F.concat(F.lit("[\n"), "records", F.lit("\n]"))
+    arrays.select("file", text.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return _with_sets_text(read_gym_json(spark, f"{path}/*", multi_line=True))
+
+
 ROWS_PER_TEXT = 2000
 
 
 def _gym_exports(spark, folder):
     """Export texts of at most ROWS_PER_TEXT logs each, by ranges of the unique row id."""
+    # A column that is not read: a doubled quote in every row, and a cell of 100,000 characters in a few.
+    note = F.concat(F.lit('"a ""b"", '), F.when(F.col("row_id") % 4999 == 0, F.repeat(F.lit("x"), 100_000)).otherwise(""), F.lit('"'))
     line = F.concat_ws(
-        ",", F.lit("7"), F.col("dt").cast("string"), "exercise", F.col("rep_max").cast("string"),
+        ",", note, F.col("dt").cast("string"), "exercise", F.col("rep_max").cast("string"),
         F.concat(F.lit('"'), F.array_join("sets", ","), F.lit('"')),
     )
     export = F.floor(F.col("row_id") / ROWS_PER_TEXT).alias("export")
     logs = adapters.gym(spark, folder).groupBy(export).agg(F.sort_array(F.collect_list(line)).alias("lines"))
     head = "### PROFILE\nname,height\nx,180\n\n### EXERCISE LOGS\n-----\nrow,mydate,ename,record,logs\n"
     text = F.concat(F.lit(head), F.array_join("lines", "\n"), F.lit("\n\n### NOTES\nrow,note\n1,none"))
-    return logs.select("export", text.alias("text"))
+    # Each of the three line ends in some of the texts.
+    end = F.element_at(F.array(F.lit("\n"), F.lit("\r\n"), F.lit("\r")), (F.col("export") % 3 + 1).cast("int"))
+    return logs.select("export", F.replace(text, F.lit("\n"), end).alias("text"))
 
 
 @query
@@ -549,6 +608,7 @@ def _day_documents(spark, folder, start=None):
         "duration",
         F.struct(F.col("activity").alias("typeKey")).alias("activityType"),
         _zone_list().alias("zones"),
+        (F.col("activity_id") % 70).cast("int").alias("averageHR"),
     )
     epoch_ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
     sample = F.array(epoch_ms, F.col("hr").cast("bigint"))
@@ -565,7 +625,7 @@ def _day_documents(spark, folder, start=None):
     )
     path = new_shared_path(spark, "day-documents")
     days.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("value")).write.text(path)
-    return read_day_documents(spark, path)
+    return read_day_documents(spark, path, fields="averageHR int")
 
 
 ACTIVITY_COLUMNS = ["activity_id", "subject_id", "dt", "activity", "distance", "duration"]
@@ -573,7 +633,8 @@ ACTIVITY_COLUMNS = ["activity_id", "subject_id", "dt", "activity", "distance", "
 
 @query
 def src_json_activities(spark, folder):
-    return day_activities(_day_documents(spark, folder)).select(*ACTIVITY_COLUMNS, *schemas.ZONE_SECONDS)
+    found = day_activities(_day_documents(spark, folder))
+    return found.select(*ACTIVITY_COLUMNS, *schemas.ZONE_SECONDS, F.col("averageHR").alias("average_hr"))
 
 
 @query
@@ -583,13 +644,17 @@ def ingest_activities(spark, folder):
     return merged.select(*ACTIVITY_COLUMNS, "secs_zone1", "secs_zone5", *schemas.HEART_ZONE_SECONDS)
 
 
-def _metrics_xml(spark, folder):
-    """All health samples as XML records, in files with a root element."""
+def _metric_records(spark, folder):
     types = {name.lower(): TYPE_PREFIX + name for name in KEPT_TYPES}
-    rows = adapters.timed_metrics(spark, folder).select(
+    return adapters.timed_metrics(spark, folder).select(
         recode(F.col("metric"), types).alias("_type"), F.col("unit").alias("_unit"), F.col("value").alias("_value"),
         F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0100")).alias("_startDate"),
     )
+
+
+def _metrics_xml(spark, folder):
+    """All health samples as XML records, in files with a root element."""
+    rows = _metric_records(spark, folder)
     path = new_shared_path(spark, "metrics-xml")
     rows.write.format("xml").option("rootTag", "HealthData").option("rowTag", "Record").save(path)
     return path
@@ -600,6 +665,39 @@ def src_xml_metrics(spark, folder):
     return read_metrics_xml(spark, _metrics_xml(spark, folder)).drop("source")
 
 
+@query
+def src_xml_metrics_zip(spark, folder):
+    """All health samples in zipped exports, each with a long tail behind its last record."""
+
+    def packed(groups):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for table in groups:
+            for source, body in zip(table["source"], table["body"]):
+                target = io.BytesIO()
+                with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+                    text = f"<HealthData>\n{body}\n" + "<Workout a='<' />\n" * 50_000 + "</HealthData>"
+                    archive.writestr(EXPORT_MEMBER, text)
+                yield pd.DataFrame({"source": [source], "content": [target.getvalue()]})
+
+    attributes = {"type": "_type", "unit": "_unit", "value": "_value", "startDate": "_startDate"}
+    record = F.concat(
+        F.lit("<Record"),
+        *[F.concat(F.lit(f' {name}="'), F.col(column).cast("string"), F.lit('"')) for name, column in attributes.items()],
+        F.lit("/>"),
+    )
+    rows = _metric_records(spark, folder)
+    number_ = F.pmod(F.xxhash64(*rows.columns), F.lit(64))
+    bodies = rows.groupBy(number_.alias("source")).agg(F.array_join(F.collect_list(record), "\n").alias("body"))
+    archives = bodies.select(F.col("source").cast("string").alias("source"), "body").mapInPandas(
+        packed, "source string, content binary"
+    )
+    return parse_archives(archives).drop("source")
+
+
 @query
 def ingest_metrics(spark, folder):
     existing = _old(adapters.metrics(spark, folder), OLD_DAYS_END).drop("subject_id")
@@ -616,17 +714,28 @@ ROWS_PER_PAGE = 100
 
 @query
 def src_html_table(spark, folder):
-    """Legacy rows laid out as tables on pages of at most ROWS_PER_PAGE rows, then read back."""
+    """Legacy rows laid out as tables on page files of at most ROWS_PER_PAGE rows, then read back.
+
+    Every other page leaves out the closing tags, and writes umlauts as entities.
+    """
     titles = ["Nr", *ingest.LEGACY_COLUMNS]
     rows = _legacy_text(spark, folder)
     cells = ["row_id", *ingest.LEGACY_COLUMNS.values()]
-    markup = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.col(c), F.lit("</td>")) for c in cells], F.lit("</tr>\n"))
-    page = F.floor(F.col("row_id") / ROWS_PER_PAGE).alias("page")
-    pages = rows.groupBy(page).agg(F.array_join(F.collect_list(markup), "").alias("body"))
+    page = F.floor(F.col("row_id") / ROWS_PER_PAGE)
+    loose = page % 2 == 1
+    cell = lambda c: F.concat(F.lit("<td>"), F.col(c), F.when(loose, "\n").otherwise("</td>"))
+    markup = F.concat(F.lit("<tr>"), *map(cell, cells), F.when(loose, "").otherwise("</tr>\n"))
+    pages = rows.groupBy(page.alias("page")).agg(F.array_join(F.collect_list(markup), "").alias("body"))
     head = "<tr>" + "".join(f"<th>{title}</th>" for title in titles) + "</tr>"
     first = "<html><body><table><tr><td>meny</td></tr></table><table class='log'><tbody>"
     html = F.concat(F.lit(first + head), "body", F.lit("</tbody></table></body></html>"))
-    table = html_table(pages.select("page", html.alias("html")), ["page"], "html", {"Nr": "row_id", **ingest.LEGACY_COLUMNS})
+    escaped = html
+    for letter, entity in (("ä", "&auml;"), ("å", "&#229;"), ("ö", "&#xF6;")):
+        escaped = F.replace(escaped, F.lit(letter), F.lit(entity))
+    text = F.when(F.col("page") % 2 == 1, escaped).otherwise(html)
+    path = new_shared_path(spark, "pages")
+    pages.select("page", text.alias("value")).repartition("page").write.partitionBy("page").text(path)
+    table = read_html_tables(spark, f"{path}/*", {"Nr": "row_id", **ingest.LEGACY_COLUMNS})
     return table.select(
         F.col("row_id").cast("bigint").alias("row_id"), "form", F.col("minutes").cast("bigint").alias("minutes"),
         F.col("seconds").cast("bigint").alias("seconds"), number(F.col("km")).alias("km"),

@@ -183,6 +183,9 @@ FROM bills
 WINDOW ahead AS (PARTITION BY series_id ORDER BY dt, bill_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""),
     "normalize_bills": _with(NORMAL, "SELECT * FROM normal"),
     "cost_by_period": _with(NORMAL, period_cost("month"), "SELECT * FROM cost"),
+    "cost_by_period_range": _with(NORMAL, period_cost("quarter"),
+        "SELECT * FROM cost WHERE period BETWEEN DATE '1996-02-10' AND DATE '1998-07-31'"),
+    "from_invoices": _with(BILLS, "SELECT * FROM bills"),
     "consumption_by_period": _with(NORMAL, period_cost("year"),
         "SELECT series_id, period, usage_kwh, usage_mwh FROM cost"),
     "heat_price_by_period": _with(NORMAL, period_cost("quarter"), "SELECT series_id, period, heat_price FROM cost"),
@@ -262,8 +265,12 @@ ORDER BY round(duration / 60), dt, activity_id LIMIT 10"""),
             f" CAST(round_even(CAST({lo} AS DOUBLE) * (220 - (year - birth_year)), 0) AS BIGINT) AS low,"
             f" CAST(round_even(CAST({hi} AS DOUBLE) * (220 - (year - birth_year)), 0) AS BIGINT) AS high FROM people"
             for z, (lo, hi) in enumerate(zip(_LOW, _HIGH)))),
-    "hr_secs_in_zone": _with(ACTIVITIES, SAMPLES, zone_secs("activities", "samples", "AND s.day = CAST(a.dt AS DATE)"),
-        "SELECT * FROM pulse"),
+    "hr_secs_in_zone": _with(ACTIVITIES, SAMPLES, """odd AS (SELECT * REPLACE (CASE
+  WHEN activity_id % 83 = 0 THEN NULL WHEN activity_id % 89 = 0 THEN -duration ELSE duration END AS duration)
+  FROM activities)""", zone_secs("odd", "samples", "AND s.day = CAST(a.dt AS DATE)"),
+        "SELECT odd.subject_id, odd.activity_id, " + ", ".join(
+            f"CASE WHEN duration >= 0 THEN secs_hr_zone{z} END AS secs_hr_zone{z}" for z in range(6))
+        + " FROM odd JOIN pulse USING (activity_id)"),
     "hr_secs_in_zone_past_midnight": _with(ACTIVITIES, SAMPLES, zone_secs("activities", "samples", ""),
         "SELECT * FROM pulse"),
     "zone_enrich": _with(ACTIVITIES, """SELECT activity_id, subject_id, dt, activity, distance, duration, secs_zone1,
@@ -281,6 +288,9 @@ WHERE dt >= DATE '2024-01-05' AND dt <= DATE '2024-01-20'"""),
     # metrics
     "bp_by_period": _with(BP, f"""SELECT subject_id, CAST(date_trunc('week', dt) AS DATE) AS period,
   {r6('avg(systolic)', 'systolic')}, {r6('avg(diastolic)', 'diastolic')} FROM days GROUP BY 1, 2"""),
+    "bp_by_period_range": _with(BP, f"""SELECT subject_id, CAST(date_trunc('week', dt) AS DATE) AS period,
+  {r6('avg(systolic)', 'systolic')}, {r6('avg(diastolic)', 'diastolic')} FROM days
+  WHERE dt BETWEEN DATE '2024-01-04' AND DATE '2024-01-20' GROUP BY 1, 2"""),
     "bp_extremes": _with(BP_DAY, """SELECT * FROM (SELECT 'highest' AS kind, subject_id, period,
   round(systolic * 10) / 10 AS systolic, round(diastolic * 10) / 10 AS diastolic FROM pressure
   WHERE diastolic IS NOT NULL ORDER BY pressure.diastolic DESC, period, subject_id LIMIT 5)
@@ -338,11 +348,14 @@ WHERE dt >= TIMESTAMP '2024-01-10'"""),
 WHERE place = 1"""),
     # sources and sinks
     "src_json_gym": _with(GYM, "SELECT dt, exercise, rep_max, sets_text FROM gym"),
+    "src_json_gym_array": _with(GYM, "SELECT dt, exercise, rep_max, sets_text FROM gym"),
     "src_csv_section": _with(GYM, "SELECT dt, exercise, rep_max, sets_text FROM gym"),
     "src_csv_section_lines": _with(GYM, "SELECT dt, exercise, rep_max, sets_text FROM gym"),
     "src_json_activities": _with(ACTIVITIES, """SELECT activity_id, subject_id, dt, activity, distance, duration,
-  secs_zone1, secs_zone2, secs_zone3, secs_zone4, secs_zone5 FROM activities"""),
+  secs_zone1, secs_zone2, secs_zone3, secs_zone4, secs_zone5, CAST(activity_id % 70 AS INTEGER) AS average_hr
+  FROM activities"""),
     "src_xml_metrics": _with(METRICS, "SELECT dt, metric, unit, value FROM metrics"),
+    "src_xml_metrics_zip": _with(METRICS, "SELECT dt, metric, unit, value FROM metrics"),
     "src_html_rows": """SELECT page_id, CAST(item - 1 AS BIGINT) AS item, hrefs[item] AS href, labels[item] AS label FROM (
   SELECT page_id, hrefs, labels, unnest(range(1, len(hrefs) + 1)) AS item FROM (
     SELECT page_id, regexp_extract_all(html, '(?is)<li\\b[^>]*>\\s*<a\\b[^>]*?\\bhref="([^"]*)"[^>]*>(.*?)</a>', 1) AS hrefs,

@@ -3,71 +3,90 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import partial
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from perioda.operators.ordered import MAX_GROUP_ROWS, arrange, carry_in, group_sizes, split_hot
+from perioda.operators.ordered import null_safe_match, prefixed
 
+#: Parts a group's values are cut into; only the part that holds the middle is sorted.
+PARTS = 64
 
-def exact_median(
-    df: DataFrame,
-    group: Sequence[str],
-    columns: Mapping[str, str],
-    *,
-    approx: bool = False,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    block_rows: int | None = None,
-) -> DataFrame:
+
+def exact_median(df: DataFrame, group: Sequence[str], columns: Mapping[str, str], *, approx: bool = False) -> DataFrame:
     """Median per group of each column; ``columns`` maps output to input names.
 
-    The built-in median keeps a group's distinct values in one task.  Groups
-    with more than ``max_group_rows`` rows go another way, by rank in sorted
-    blocks, with the same result.  ``approx`` trades the exact value for a
-    sketch of fixed size.
+    Numbers give doubles, intervals stay intervals.  Equal values shrink to
+    one row each before they are moved.  A sketch of fixed size then cuts each
+    group's values into ``PARTS`` ranges; the counts of the ranges say which
+    of them hold the middle rows, and only those are sorted.  So no group has
+    to fit a task, and the plan is the same for every size.  ``approx`` stops
+    at the sketch's value.
     """
     if approx:
         return df.groupBy(*group).agg(
             *[F.percentile_approx(source, 0.5).alias(name) for name, source in columns.items()]
         )
-    largest, _ = group_sizes(df, group)
-    if largest <= max_group_rows:
-        return _by_builtin(df, group, columns)
-
-    by_rank = partial(_by_rank, group=group, columns=columns, block_rows=block_rows or max_group_rows)
-    if not group:
-        return by_rank(df)
-    hot_rows, cold_rows, _ = split_hot(df, group, max_group_rows)
-    return _by_builtin(cold_rows, group, columns).unionByName(by_rank(hot_rows))
+    kinds: dict[T.DataType, list[str]] = {}
+    for name, source in columns.items():
+        kind = df.schema[source].dataType
+        kinds.setdefault(T.DoubleType() if isinstance(kind, T.NumericType) else kind, []).append(name)
+    medians = [
+        _of_one_type(df.select(*group, *[F.col(columns[n]).cast(kind).alias(n) for n in names]), group, names)
+        for kind, names in kinds.items()
+    ]
+    together = reduce(lambda left, right: _beside(left, right, group), medians)
+    return together.select(*group, *columns)
 
 
-def _by_builtin(df: DataFrame, group: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
-    return df.groupBy(*group).agg(*[F.median(source).alias(name) for name, source in columns.items()])
+def _beside(left: DataFrame, right: DataFrame, group: Sequence[str]) -> DataFrame:
+    if not group:
+        return left.withColumn("__one", F.lit(1)).join(right.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    named = right.withColumnsRenamed({key: f"__m_{key}" for key in group})
+    return left.join(named, null_safe_match(group, "__m_")).drop(*[f"__m_{key}" for key in group])
 
 
-def _by_rank(df: DataFrame, group: Sequence[str], columns: Mapping[str, str], block_rows: int) -> DataFrame:
+def _of_one_type(df: DataFrame, group: Sequence[str], names: Sequence[str]) -> DataFrame:
     series = [*group, "__column"]
-    long = df.select(*group, *[F.col(source).cast("double").alias(name) for name, source in columns.items()])
-    long = long.unpivot(list(group), list(columns), "__column", "__value")
-    # Equal values shrink to one row each before anything is sorted.
+    long = df.unpivot(list(group), list(names), "__column", "__value")
     counted = long.groupBy(*series, "__value").agg(F.count("__value").alias("__rows"))
 
-    arranged = arrange(counted, series, [F.col("__value").asc()], plan="blocked", block_rows=block_rows)
-    rows = (F.sum("__rows"), F.sum)
-    arranged = carry_in(arranged, {"__before": rows, "__all": rows}, whole_group=["__all"])
-    in_block = F.sum("__rows").over(Window.partitionBy(*arranged.keys))
-    last = F.coalesce("__before", F.lit(0)) + F.sum("__rows").over(arranged.up_to_here)
-    ranked = arranged.frame.withColumns({"__last": last, "__n": F.coalesce("__all", in_block)})
-    ranked = ranked.withColumn("__first", F.col("__last") - F.col("__rows"))
+    shares = [i / PARTS for i in range(1, PARTS)]
+    cuts = counted.groupBy(*series).agg(
+        F.percentile_approx("__value", F.array(*map(F.lit, shares)), 1000).alias("__cuts"), F.sum("__rows").alias("__n")
+    )
+    cuts = cuts.select(*prefixed(series, "__c_"), "__cuts", "__n")
+    # A value's part depends on the value alone, so equal values stay together.
+    part = F.size(F.filter("__cuts", lambda cut: cut < F.col("__value")))
+    parted = counted.join(cuts, null_safe_match(series, "__c_")).withColumn("__part", part)
+    parted = parted.select(*series, "__value", "__rows", "__n", "__part")
 
     # Zero-based ranks of the two middle rows.
     low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    sums = parted.groupBy(*series, "__n", "__part").agg(F.sum("__rows").alias("__in"))
+    before = Window.partitionBy(*series).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0)))
+    middle = (F.col("__before") <= high) & (low < F.col("__before") + F.col("__in"))
+    sums = sums.filter(middle).select(*prefixed(series, "__s_"), F.col("__part").alias("__s___part"), "__before")
+
+    held = parted.join(sums, null_safe_match([*series, "__part"], "__s_"))
+    order = Window.partitionBy(*series, "__part").orderBy("__value")
+    up_to_here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.withColumn("__last", F.col("__before") + F.sum("__rows").over(up_to_here))
+    ranked = ranked.withColumn("__first", F.col("__last") - F.col("__rows"))
     holds = lambda rank: (F.col("__first") <= rank) & (rank < F.col("__last"))
-    middle = ranked.groupBy(*series).agg(
+    found = ranked.groupBy(*series).agg(
         F.max(F.when(holds(low), F.col("__value"))).alias("__low"),
         F.max(F.when(holds(high), F.col("__value"))).alias("__high"),
     )
-    median = (F.col("__low") + F.col("__high")) / 2
-    return middle.groupBy(*group).agg(
-        *[F.max(F.when(F.col("__column") == name, median)).alias(name) for name in columns]
+    # Halves before the sum, so that two large values don't overflow.
+    median = F.when(F.col("__low") == F.col("__high"), F.col("__low")).otherwise(
+        F.col("__low") * 0.5 + F.col("__high") * 0.5
+    )
+    values = found.select(*series, median.alias("__median"))
+    # Groups whose values are all null have no middle row, and still a place in the result.
+    shown = [F.max(F.when(F.col("__column") == name, F.col("__median"))).alias(name) for name in names]
+    empty = cuts.filter("__n = 0").select(
+        *[F.col(f"__c_{key}").alias(key) for key in series], F.lit(None).alias("__median")
     )
+    return values.unionByName(empty).groupBy(*group).agg(*shown)

@@ -14,12 +14,12 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from perioda.session import written
 
 MAX_GROUP_ROWS = 2_000_000
-MAX_BROADCAST_KEYS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 BLOCK = "__block"
 
 
@@ -55,17 +55,29 @@ def group_sizes(df: DataFrame, group: Sequence[str]) -> tuple[int, int]:
     return row["largest"] or 0, row["total"] or 0
 
 
+def width_of(df: DataFrame) -> Column:
+    """Bytes of a row, about: texts by their length, all else by 16 a column."""
+    size = lambda f: F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16
+    known = (T.StringType, T.BinaryType)
+    return sum((size(f) if isinstance(f.dataType, known) else F.lit(16) for f in df.schema), F.lit(16))
+
+
+def few(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True if the rows of ``df``, a written table, are small enough to be sent to all."""
+    return (df.agg(F.sum(width_of(df)).alias("bytes")).first()["bytes"] or 0) <= max_bytes
+
+
 def split_hot(df: DataFrame, group: Sequence[str], max_group_rows: int) -> tuple[DataFrame, DataFrame, int]:
     """(rows of groups above the limit, all other rows, number of the former).
 
     At most total / max_group_rows groups can be above it.  Their keys are
-    broadcast if there are few enough, so that rows are told apart without a
+    broadcast if they are small enough, so that rows are told apart without a
     shuffle, which would bring a hot group together.
     """
     sizes = df.groupBy(*group).count().filter(F.col("count") > max_group_rows)
     keys = written(sizes.select(*prefixed(group, "__h_"), F.col("count").alias("__rows")), "hot-groups")
-    found = keys.agg(F.count("*").alias("groups"), F.sum("__rows").alias("rows")).first()
-    if found["groups"] <= MAX_BROADCAST_KEYS:
+    found = keys.agg(F.sum(width_of(keys)).alias("bytes"), F.sum("__rows").alias("rows")).first()
+    if (found["bytes"] or 0) <= MAX_BROADCAST_BYTES:
         keys = F.broadcast(keys)
     is_hot = null_safe_match(group, "__h_")
     return df.join(keys, is_hot, "left_semi"), df.join(keys, is_hot, "left_anti"), found["rows"] or 0
@@ -97,6 +109,8 @@ def arrange(
     if plan == "auto" and largest <= max_group_rows:
         return Arranged(df, tuple(group), tuple(order), False)
 
+    # Read more than once from here on, so it is evaluated once and written.
+    df = written(df, "ordered")
     hot, others, hot_rows = df, None, total
     if plan == "auto" and group:
         hot, others, hot_rows = split_hot(df, group, max_group_rows)
@@ -157,7 +171,8 @@ def carry_in(
             for name, (_, combine) in parts.items()
         ],
     )
-    if 2 * arranged.blocks <= MAX_BROADCAST_KEYS:
+    carried = written(carried, "carried")
+    if few(carried):
         carried = F.broadcast(carried)
     joined = frame.join(carried, null_safe_match(keys, "__r_"), "left")
     joined = joined.drop(*[f"__r_{key}" for key in keys])

@@ -39,9 +39,13 @@ def secs_in_pulse_zones(
     A sample counts the whole seconds since the sample before it on the same
     day, whether or not that one has a rate or lies in the activity; the
     first one of a day counts nothing.  Copies of a sample or an activity change
-    nothing; an ``activity_id`` stands for one activity.
+    nothing; an ``activity_id`` stands for one activity.  An activity without
+    a start or a duration, or with a negative one, has null seconds.
     """
     keys = list(keys)
+    lasts = F.coalesce(F.col("dt").isNotNull() & (F.col("duration") >= 0), F.lit(False))
+    unknown = activities.filter(~lasts).select(*keys, "activity_id").distinct()
+    activities = activities.filter(lasts)
     end = F.col("dt") + F.make_dt_interval(secs=F.col("duration").cast("decimal(18,6)"))
     bounds = activities.select(
         *keys,
@@ -97,9 +101,10 @@ def secs_in_pulse_zones(
     }
     at_bounds = arranged.frame.withColumns(running).filter(F.col("kind") == 0)
     at_start, at_end = F.col("sign") == -1, F.col("sign") == 1
-    return at_bounds.groupBy(*keys, "activity_id").agg(
+    known = at_bounds.groupBy(*keys, "activity_id").agg(
         *[
             (F.max(F.when(at_end, F.col(name))) - F.max(F.when(at_start, F.col(name)))).alias(name)
             for name in in_zone
         ]
     )
+    return known.unionByName(unknown, allowMissingColumns=True)

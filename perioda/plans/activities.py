@@ -124,11 +124,11 @@ def pace_of(activities: DataFrame, activity: str, *keep: str) -> DataFrame:
 
 
 def pace_by_period(
-    activities: DataFrame, activity: str, grain: str, *, by: Sequence[str] = (), approx: bool = False, **sizes: int
+    activities: DataFrame, activity: str, grain: str, *, by: Sequence[str] = (), approx: bool = False
 ) -> DataFrame:
     """Median minutes per km."""
     paces = pace_of(activities, activity, *by).withColumn("period", period_of("dt", grain))
-    return exact_median(paces, [*by, "period"], {"median_mins_per_km": "mins_per_km"}, approx=approx, **sizes)
+    return exact_median(paces, [*by, "period"], {"median_mins_per_km": "mins_per_km"}, approx=approx)
 
 
 def pace_bounds(paces: DataFrame, *, by: Sequence[str] = (), pad: float = 0.5) -> DataFrame:
@@ -188,7 +188,6 @@ def zone_medians(
     start: dt.date | None = None,
     end: dt.date | None = None,
     approx: bool = False,
-    **sizes: int,
 ) -> DataFrame:
     """Median minutes per pulse zone, one column per zone."""
     chosen = keep_periods(activities.filter(F.col("activity") == activity), start, end, grain)
@@ -196,7 +195,7 @@ def zone_medians(
         *by, period_of("dt", grain).alias("period"), *[(F.col(name) / 60).alias(name) for name in ZONE_SECONDS]
     )
     columns = {f"median_zone{n}": name for n, name in enumerate(ZONE_SECONDS, start=1)}
-    return exact_median(minutes, [*by, "period"], columns, approx=approx, **sizes)
+    return exact_median(minutes, [*by, "period"], columns, approx=approx)
 
 
 def zone_medians_long(medians: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:

@@ -61,10 +61,18 @@ def dedup_bills(bills: DataFrame, *, series: Sequence[str] = SERIES, tie: str =
 
 
 def normalize_bills(
-    bills: DataFrame, *, series: Sequence[str] = SERIES, tie: str = "bill_id", recompute_total: bool = False
+    bills: DataFrame,
+    *,
+    series: Sequence[str] = SERIES,
+    tie: str = "bill_id",
+    recompute_total: bool = False,
+    start: dt.date | None = None,
 ) -> DataFrame:
     """Total, NaN to null, backward fill, one row per series and date.
 
+    Bills before ``start`` are left out.  The fill only looks ahead, so the
+    later ones come out the same, and the bound reaches the scan.
+
     The total is taken before the fill, so a missing one is filled from the
     next bill; ``recompute_total`` adds up the filled parts instead.
 
@@ -75,6 +83,8 @@ def normalize_bills(
     at most one row per calendar date, however many bills it had.
     """
     values = [name for name in (*BILL_VALUES, "total_cost") if name in (*bills.columns, "total_cost")]
+    if start is not None:
+        bills = bills.filter(F.col("dt") >= F.lit(start))
     frame = nan_to_null(bill_total(bills.withColumn("dt", F.to_date("dt"))), values)
     dates = frame.groupBy(*series, "dt").agg(
         F.min(tie).alias(tie),
@@ -123,8 +133,20 @@ def distinct_years(bills: DataFrame) -> DataFrame:
     return bills.select(calendar_year().alias("year")).distinct().orderBy("year")
 
 
+def first_day_of(years: Sequence[int]) -> dt.date | None:
+    return dt.date(min(years), 1, 1) if years else None
+
+
+def first_day_shared(as_of: dt.date) -> dt.date:
+    """The first day that ``cost_share`` counts."""
+    return dt.date(as_of.year - 1, 1, 1)
+
+
 def year_compare(bills: DataFrame, measure: str, years: Sequence[int], *, by: Sequence[str] = ()) -> DataFrame:
-    """Bills of the chosen years as points (year, month, value); no year gives no rows."""
+    """Bills of the chosen years as points (year, month, value); no year gives no rows.
+
+    Normalise them with ``start=first_day_of(years)``, so that no earlier ones are read.
+    """
     if measure not in MEASURES:
         raise ValueError(f"measure is one of {MEASURES}, not {measure!r}")
     # One range per year instead of year(dt), so the scan can skip files.
@@ -138,7 +160,10 @@ def year_compare(bills: DataFrame, measure: str, years: Sequence[int], *, by: Se
 
 
 def cost_share(bills: DataFrame, as_of: dt.date, *, by: Sequence[str] = ()) -> DataFrame:
-    """Last year's amounts by category, with their share of the sum in percent."""
+    """Last year's amounts by category, with their share of the sum in percent.
+
+    Normalise the bills with ``start=first_day_shared(as_of)``, so that no earlier ones are read.
+    """
     last = as_of.year - 1
     of_last_year = bills.filter(F.col("dt").between(F.lit(dt.date(last, 1, 1)), F.lit(dt.date(last, 12, 31))))
     sums = of_last_year.groupBy(*by).agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in AMOUNTS])

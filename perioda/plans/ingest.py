@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from perioda.functions import recode
 from perioda.operators import align_merge, diagonal_merge, keep_one, merge_keep_existing, secs_in_pulse_zones
 from perioda.schemas import HEART_ZONE_SECONDS, ZONE_SECONDS
+from perioda.session import written
 from perioda.sources.html import number
 from perioda.sources.json import day_activities, day_pulse_samples, zone_columns
 
@@ -42,13 +43,15 @@ def zone_enrich(activities: DataFrame, zones: DataFrame) -> DataFrame:
 def flatten_days(documents: DataFrame, *, time_zone: str = "UTC", **sizes: int) -> DataFrame:
     """Day documents -> activities with pulse zone seconds.
 
-    Activities of a day without samples have null seconds.
+    Activities of a day without samples have null seconds.  The documents are
+    parsed once and their typed rows written, since activities and samples
+    are both taken from them, by more than one pass.
     """
+    documents = written(documents, "day-documents")
     activities = day_activities(documents)
     samples = day_pulse_samples(documents, time_zone)
     keys = ["subject_id", "day"]
-    known = activities.filter(F.col("dt").isNotNull() & F.col("duration").isNotNull())
-    pulse = secs_in_pulse_zones(known, samples, keys=keys, **sizes)
+    pulse = secs_in_pulse_zones(activities, samples, keys=keys, **sizes)
     joined = activities.join(pulse, [*keys, "activity_id"], "left")
     shown = {name: F.when(F.col("has_pulse"), F.col(name)) for name in HEART_ZONE_SECONDS}
     return joined.withColumns(shown).drop("has_pulse", "day")

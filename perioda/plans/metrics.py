@@ -41,7 +41,9 @@ def bp_by_period(
 def bp_extremes(pressure: DataFrame, *, by: Sequence[str] = (), rows: int = 5) -> DataFrame:
     """The periods with the highest and the lowest diastolic pressure.
 
-    ``by`` columns are shown and break ties; they do not group.
+    ``by`` columns are shown and break ties; they do not group.  Each end is a
+    top-n that takes ``rows`` from every task; both read one shuffle of the
+    aggregate before them, so that is made once.
     """
     known = pressure.filter(F.col("diastolic").isNotNull())
     shown = [*by, "period", *[round_dp(F.col(c), 1).alias(c) for c in ("systolic", "diastolic")]]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,8 +47,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop objects of the session's JVM."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def new_shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new folder name in the shared folder; what is put there goes with the session."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    files, place = file_system(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = file_system(spark, path)
+    files.delete(place, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -58,3 +75,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def written_for_now(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``written``, removed again when the caller is done with it."""
+    path = new_shared_path(df.sparkSession, label)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove(df.sparkSession, path)

@@ -3,24 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_LAST_TABLE = r"(?is)^.*<table\b[^>]*>(.*?)</table\s*>"
-_ROW = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
-_CELL = r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]\s*>"
+# Closing tags may be left out: a row ends where the next one starts, and so does a cell.
+_TABLE = r"(?is)<table\b"
+_LAST_TABLE = r"(?is)^.*<table\b[^>]*>(.*?)(?:</table\b|\z)"
+_COMMENT = r"(?s)<!--.*?-->"
+_ROW_START = r"(?i)<tr\b[^>]*>"
+_CELL_START = r"(?i)<t[hd]\b[^>]*>"
+_CELL_END = r"(?is)</(?:t[hdr]|thead|tbody|tfoot)\b.*$"
 _ITEM = r'(?is)<li\b[^>]*>\s*<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
 
-# Entities that are resolved, the ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: Named entities as Python's standard library lists them.
+NAMED = {name: chr(code) for name, code in name2codepoint.items()}
+
+
+def _unescaped(piece: Column) -> Column:
+    """A piece that followed an ampersand, with the entity it starts with resolved."""
+    inside = F.substring_index(piece, ";", 1)
+    rest = F.substring(piece, F.length(inside) + 2, F.length(piece))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair]), inside)
+    decimal = F.regexp_extract(inside, "^#([0-9]{1,7})$", 1).try_cast("int")
+    hexadecimal = F.nullif(F.regexp_extract(inside, "^#[xX]([0-9a-fA-F]{1,6})$", 1), F.lit(""))
+    code = F.coalesce(decimal, F.conv(hexadecimal, 16, 10).try_cast("int"))
+    real = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    letter = F.coalesce(named, F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+    closed = F.contains(piece, F.lit(";"))
+    return F.when(closed & letter.isNotNull(), F.concat(letter, rest)).otherwise(F.concat(F.lit("&"), piece))
 
 
 def plain_text(markup: Column) -> Column:
-    """Text of a cell: tags dropped, entities resolved, ends trimmed."""
-    text = F.regexp_replace(markup, r"(?s)<[^>]*>", "")
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return F.trim(text)
+    """Text of a cell: tags dropped, entities resolved, white space as one space, ends trimmed."""
+    pieces = F.split(F.regexp_replace(markup, r"(?s)<[^>]*>", ""), "&")
+    resolved = F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(_unescaped(piece)))
+    return F.trim(F.regexp_replace(F.array_join(resolved, ""), r"[\s ]+", " "))
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
@@ -37,13 +55,20 @@ def read_html_tables(spark: SparkSession, path: str, columns: Mapping[str, str])
 def html_table(pages: DataFrame, ids: Sequence[str], html: str, columns: Mapping[str, str]) -> DataFrame:
     """Rows of the last table on each page, all columns as text.
 
-    The first row holds the headings.  A page without a table gives no rows;
-    a table without one of the headings raises.
+    The first row holds the headings; rows without a cell don't count.  A
+    page without a table, or with an empty one, gives no rows; a table that
+    shows something in which no row can be read, or without one of the
+    headings, raises.
     """
-    rows = F.transform(
-        _all(F.regexp_extract(html, _LAST_TABLE, 1), _ROW, 1),
-        lambda row: F.transform(_all(row, _CELL, 1), plain_text),
+    table = F.regexp_replace(F.regexp_extract(html, _LAST_TABLE, 1), _COMMENT, "")
+    behind_first = lambda parts: F.filter(parts, lambda _, i: i > 0)
+    cells_of = lambda row: F.transform(
+        behind_first(F.split(row, _CELL_START)), lambda cell: plain_text(F.regexp_replace(cell, _CELL_END, ""))
     )
+    found = F.filter(F.transform(F.split(table, _ROW_START), cells_of), lambda cells: F.size(cells) > 0)
+    shown = F.regexp_replace(table, r"(?s)<[^>]*>|\s", "") != ""
+    unread = F.col(html).rlike(_TABLE) & ~table.rlike(_CELL_START) & shown
+    rows = F.when(unread, F.raise_error(F.lit("a table in which no row can be read"))).otherwise(found)
     tables = pages.select(*ids, rows.alias("rows"))
     # The headings are taken before the rows are spread, or each row would carry its whole table.
     headed = tables.select(*ids, F.get("rows", 0).alias("head"), F.slice("rows", 2, F.size("rows")).alias("body"))

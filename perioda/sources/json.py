@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from perioda.schemas import RAW_DAY, RAW_GYM, ZONE_SECONDS
+from perioda.schemas import RAW_ACTIVITY, RAW_DAY, RAW_GYM, ZONE_SECONDS
 
 
 def _to(value: Column, kind: str, on_error: str) -> Column:
@@ -31,9 +31,32 @@ def gym_history(raw: DataFrame, *, on_error: str = "raise") -> DataFrame:
     )
 
 
-def read_day_documents(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
-    """Landed day payloads, one document per line or per file."""
-    return spark.read.schema(RAW_DAY).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+def read_day_documents(
+    spark: SparkSession, path: str, *, multi_line: bool = False, fields: T.StructType | str | None = None
+) -> DataFrame:
+    """Landed day payloads, one document per line or per file.
+
+    ``fields`` are further fields of an activity in the payload, as a schema
+    or in DDL; they stay with it as columns of their own name.
+    """
+    schema = day_schema(fields)
+    return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+
+
+def day_schema(fields: T.StructType | str | None = None) -> T.StructType:
+    """RAW_DAY with further payload fields."""
+    if fields is None:
+        return RAW_DAY
+    more = T.StructType.fromDDL(fields) if isinstance(fields, str) else fields
+    activity = T.StructType([*RAW_ACTIVITY.fields, *[f for f in more if f.name not in RAW_ACTIVITY.fieldNames()]])
+    payload = T.StructType([T.StructField("payload", T.ArrayType(activity))])
+    return T.StructType([T.StructField(f.name, payload) if f.name == "ActivitiesForDay" else f for f in RAW_DAY])
+
+
+def further_fields(documents: DataFrame) -> list[str]:
+    """Payload fields of ``documents`` beyond the declared ones."""
+    activity = documents.schema["ActivitiesForDay"].dataType["payload"].dataType.elementType
+    return [name for name in activity.fieldNames() if name not in RAW_ACTIVITY.fieldNames()]
 
 
 def zone_columns(zones: Column) -> dict[str, Column]:
@@ -45,7 +68,7 @@ def zone_columns(zones: Column) -> dict[str, Column]:
 
 
 def day_activities(documents: DataFrame) -> DataFrame:
-    """One row per activity; documents without activities give none."""
+    """One row per activity, with all its payload fields; documents without activities give none."""
     # Whether there are samples is settled before the rows are spread, so no row carries them along.
     days = documents.select(
         F.col("subjectId").alias("subject_id"),
@@ -66,6 +89,7 @@ def day_activities(documents: DataFrame) -> DataFrame:
         F.col("a.calories").alias("calories"),
         F.col("a.steps").alias("steps"),
         *[column.alias(name) for name, column in zone_columns(F.col("a.zones")).items()],
+        *[F.col("a")[name].alias(name) for name in further_fields(documents)],
         "has_pulse",
     )
 

@@ -11,8 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from perioda.operators.merge import keep_first
-from perioda.operators.ordered import MAX_BROADCAST_KEYS
+from perioda.operators.ordered import MAX_BROADCAST_BYTES
 from perioda.sources.html import named_cell
 
 # Section marker and the columns read from it.
@@ -20,9 +19,10 @@ MARKER = "EXERCISE LOGS"
 LOG_COLUMNS = {"mydate": "dt", "ename": "exercise", "record": "rep_max", "logs": "sets"}
 
 MAX_TEXT_BYTES = 64 << 20
-
-# A cell with the comma before it; a quoted cell doubles the quotes inside.
-_CSV_CELL = ',("(?:[^"]|"")*"|[^,]*)'
+# What the lines of a text end with; the line reader of large files ends them alike.
+_LINE_END = r"\r\n|\r|\n"
+# Stands for a comma between cells while the cells are cut; no text has it.
+_CUT = "\x00"
 
 
 def read_csv_sections(
@@ -32,27 +32,31 @@ def read_csv_sections(
 
     Files up to ``max_text_bytes`` are each one row; larger ones are read
     line by line in splits, so no file has to fit a task.  Which there are is
-    known from the listing, without reading any.
+    known from the listing, without reading any.  Both ways end lines alike,
+    and both refuse a cell whose quotes run over the end of its line.
     """
     size = F.col("_metadata.file_size")
     source = F.col("_metadata.file_path").alias("source")
     whole = spark.read.text(path, wholetext=True).filter(size <= max_text_bytes)
     small = parse_csv_sections(whole.select(source, F.col("value").alias("text")), ["source"], "text", on_error=on_error)
 
-    large = spark.read.format("binaryFile").load(path).filter(F.col("length") > max_text_bytes).count()
-    if not large:
+    large = spark.read.format("binaryFile").load(path).filter(F.col("length") > max_text_bytes)
+    # A bound of each file is sent to all: its path and a place.
+    found = large.agg(F.count("*").alias("files"), F.sum(F.octet_length("path") + 64).alias("bytes")).first()
+    if not found["files"]:
         return small
     place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
     # The filter is on the file size, which prunes the listing before any line is numbered.
     lines = spark.read.text(path).filter(size > max_text_bytes)
-    lines = lines.select(source, place.alias("place"), F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
-    return small.unionByName(_fields(_section_of_lines(lines, large), ["source"], on_error))
+    lines = lines.select(source, place.alias("place"), F.col("value").alias("line"))
+    section = _section_of_lines(lines, found["bytes"] <= MAX_BROADCAST_BYTES)
+    return small.unionByName(_fields(section, ["source"], on_error))
 
 
 def parse_csv_sections(texts: DataFrame, ids: Sequence[str], text: str, *, on_error: str = "raise") -> DataFrame:
     """The same for texts held in a column: one pass, no shuffle."""
     # No filters on the way: each would be pushed down and repeat the split below it.
-    lines = texts.select(*ids, F.split(F.col(text), r"\r?\n").alias("lines"))
+    lines = texts.select(*ids, F.split(F.col(text), _LINE_END).alias("lines"))
     # Everything after the marker line and the one below it.
     marked = F.array_position(F.transform("lines", lambda line: line.contains(MARKER)), F.lit(True))
     rest = F.when(marked > 0, F.slice("lines", (marked + 2).cast("int"), F.size("lines")))
@@ -72,41 +76,51 @@ def _ends(line: Column) -> Column:
     return line.startswith("#") | (F.length(line) <= 1)
 
 
-def _section_of_lines(lines: DataFrame, sources: int) -> DataFrame:
+def _section_of_lines(lines: DataFrame, few: bool) -> DataFrame:
     """(source, head, line) from (source, place, line).
 
-    Each step finds one place per source.  Those tables are broadcast unless
-    there are very many sources, so the lines of a file stay where they are.
+    One pass notes, per file, where its marker, the two lines after it and the
+    end are.  All of those lie at or behind the marker, so a file's first
+    marker is found first, then the three places behind it together.  With few
+    files the notes are broadcast, and the lines stay where they are.
     """
-    few = F.broadcast if sources <= MAX_BROADCAST_KEYS else lambda bound: bound
-    after = lambda rows, bound: rows.join(
-        few(bound), (F.col("source") == F.col("__b_source")) & (F.col("place") > F.col("__b_place"))
-    ).drop("__b_source", "__b_place")
-    bound_of = lambda rows: rows.select(F.col("source").alias("__b_source"), F.col("place").alias("__b_place"))
-
-    marker = lines.filter(F.col("line").contains(MARKER)).groupBy("source").agg(F.min("place").alias("place"))
-    skipped = after(lines, bound_of(marker)).groupBy("source").agg(F.min("place").alias("place"))
-    end = (
-        after(lines.filter(_ends(F.col("line"))), bound_of(skipped))
-        .groupBy("source")
-        .agg(F.min("place").alias("__end"))
-        .withColumnRenamed("source", "__e_source")
+    note = F.broadcast if few else lambda rows: rows
+    is_marker = F.col("line").contains(MARKER)
+    markers = lines.filter(is_marker).groupBy(F.col("source").alias("__m")).agg(F.min("place").alias("__marker"))
+    behind = lines.join(note(markers), F.col("source") == F.col("__m")).filter(F.col("place") > F.col("__marker"))
+    # The smallest two places: the line that is skipped and the heading, unless the section ends there.
+    firsts = behind.groupBy("source").agg(F.min("place").alias("__skipped"))
+    behind = behind.drop("__m", "__marker")
+    firsts = firsts.withColumnRenamed("source", "__f")
+    body = behind.join(note(firsts), F.col("source") == F.col("__f")).filter(F.col("place") > F.col("__skipped"))
+    marks = body.groupBy(F.col("source").alias("__b")).agg(
+        F.min_by("line", "place").alias("__head_line"),
+        F.min("place").alias("__head"),
+        F.min(F.when(_ends(F.col("line")), F.col("place"))).alias("__end"),
     )
-    body = after(lines, bound_of(skipped))
-    body = body.join(few(end), F.col("source") == F.col("__e_source"), "left")
-    body = body.filter(F.col("__end").isNull() | (F.col("place") < F.col("__end"))).drop("__end", "__e_source")
-    head = keep_first(body, ["source"], [F.col("place")], 1)
-    head = head.select(
-        F.col("source").alias("__b_source"), F.col("place").alias("__b_place"), csv_cells(F.col("line")).alias("head")
+    marks = marks.select("__b", csv_cells(F.col("__head_line")).alias("head"), "__head", "__end")
+    inside = body.drop("__f", "__skipped").join(note(marks), F.col("source") == F.col("__b"))
+    inside = inside.filter(
+        (F.col("place") > F.col("__head")) & (F.col("__end").isNull() | (F.col("place") < F.col("__end")))
     )
-    return after(body, head).select("source", "head", "line")
+    return inside.select("source", "head", "line")
 
 
 def csv_cells(line: Column) -> Column:
-    """Cells of a CSV line; quotes are resolved, an empty cell is null."""
-    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CSV_CELL), F.lit(1))
+    """Cells of a CSV line; quotes are resolved, an empty cell is null.
+
+    Between an even number of quotes a comma ends a cell.  A line with an odd
+    number of them has a cell that goes on in the next line; it raises.
+    """
+    parts = F.split(line, '"')
+    outside = lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit(","), F.lit(_CUT))).otherwise(part)
+    marked = F.array_join(F.transform(parts, outside), '"')
+    closed = F.when(F.size(parts) % 2 == 1, marked).otherwise(
+        F.raise_error(F.concat(F.lit("a quoted cell goes over the end of its line: "), F.left(line, F.lit(200))))
+    )
     inner = lambda cell: F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
-    return F.transform(cells, lambda cell: F.when(cell.startswith('"'), inner(cell)).otherwise(F.nullif(cell, F.lit(""))))
+    cell_of = lambda cell: F.when(cell.startswith('"'), inner(cell)).otherwise(F.nullif(cell, F.lit("")))
+    return F.transform(F.split(F.when(line.isNotNull(), closed), _CUT), cell_of)
 
 
 def _fields(rows: DataFrame, ids: Sequence[str], on_error: str) -> DataFrame:

@@ -7,6 +7,7 @@ splits by many tasks; only the start tag matters, children are ignored.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -28,9 +29,12 @@ EXPORT_MEMBER = "apple_health_export/export.xml"
 
 RECORD = "<Record"
 _ATTRIBUTES = "_type string, _unit string, _value string, _startDate string"
-# Attribute values may hold '>' as long as they are quoted.
-_START_TAG = r"""^(\s(?:[^"'>]|"[^"]*"|'[^']*')*?)/?>"""
+# Attribute values may hold '>' as long as they are quoted.  Runs are taken
+# whole and never given back, so a long tag needs no deep stack.
+_START_TAG = r"""^(\s(?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>"""
+_OPEN_TAG = re.compile(RECORD + r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
 _CHUNK_CHARS = 1 << 20
+MAX_TAG_CHARS = 16 << 20
 
 
 def read_metrics_xml(spark: SparkSession, path: str, *, keep_time: bool = False, on_error: str = "raise") -> DataFrame:
@@ -51,14 +55,22 @@ def read_metrics_zip(
     keep_time: bool = False,
     on_error: str = "raise",
 ) -> DataFrame:
-    """The same from zip archives that hold the export.
+    """The same from zip archives that hold the export."""
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    archives = archives.select(F.col("path").alias("source"), "content")
+    return parse_archives(archives, member=member, keep_time=keep_time, on_error=on_error)
+
+
+def parse_archives(
+    archives: DataFrame, *, member: str = EXPORT_MEMBER, keep_time: bool = False, on_error: str = "raise"
+) -> DataFrame:
+    """The same from a table (source, content) of archives.
 
     Unpacking streams each archive in one task, since a zip member cannot be
     split, and hands on pieces of about a megabyte; those are spread out
     before the records are parsed.
     """
-    archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    chunks = archives.select("path", "content").mapInPandas(
+    chunks = archives.select("source", "content").mapInPandas(
         lambda batches: _unpack(batches, member), "source string, chunk string"
     )
     pieces = chunks.hint("rebalance").select("source", F.explode(F.split("chunk", RECORD)).alias("piece"))
@@ -67,14 +79,19 @@ def read_metrics_zip(
 
 def _unpack(batches: Iterator[pd.DataFrame], member: str) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
+        for path, content in zip(batch["source"], batch["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as archive, archive.open(member) as packed:
                 for chunk in _whole_records(io.TextIOWrapper(packed, "utf-8")):
                     yield pd.DataFrame({"source": [path], "chunk": [chunk]})
 
 
 def _whole_records(text: io.TextIOBase) -> Iterator[str]:
-    """Pieces of the text, cut only in front of a record."""
+    """Pieces of the text, cut only in front of a record.
+
+    Once the last start tag of a piece is closed, what follows up to the next
+    record says nothing and is let go, so no more than a block and a tag are
+    held.
+    """
     held = ""
     while block := text.read(_CHUNK_CHARS):
         held += block
@@ -82,12 +99,19 @@ def _whole_records(text: io.TextIOBase) -> Iterator[str]:
         if cut > 0:
             yield held[:cut]
             held = held[cut:]
-    yield held
+        if tag := _OPEN_TAG.match(held):
+            yield tag[0]
+            held = held[tag.end() :]
+            cut = -1
+        if cut < 0:
+            held = held[-len(RECORD) + 1 :]
+        elif len(held) > MAX_TAG_CHARS:
+            raise ValueError(f"a start tag of more than {MAX_TAG_CHARS} characters")
 
 
 def parse_records(pieces: DataFrame, *, keep_time: bool = False, on_error: str = "raise") -> DataFrame:
     """``pieces``: (source, piece), each piece starting right after ``<Record``."""
-    tag = F.regexp_extract("piece", _START_TAG, 1)
+    tag = F.regexp_replace(F.regexp_extract("piece", _START_TAG, 1), "/$", "")
     kept = pieces.filter(F.col("piece").rlike(r"^\s") & F.col("piece").contains(TYPE_PREFIX))
     record = F.from_xml(F.concat(F.lit(RECORD), tag, F.lit("/>")), _ATTRIBUTES, {"mode": "FAILFAST"})
     names = [TYPE_PREFIX + name for name in KEPT_TYPES]

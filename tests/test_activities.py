@@ -39,10 +39,9 @@ def test_counts_keep_unknown_activities(spark):
     assert rows(acts.activity_counts(df)) == [("running", 1), ("yoga", 1), (None, 1)]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"max_group_rows": 2, "block_rows": 2}])
-def test_zone_median_interpolates(spark, sizes):
+def test_zone_median_interpolates(spark):
     df = workouts(spark, *[run(i, "2024-01-01", secs_zone1=float(s)) for i, s in enumerate((60, 120, 240, 540))])
-    assert rows(acts.zone_medians(df, "running", "month", **sizes), "median_zone1", "median_zone2") == [(3.0, None)]
+    assert rows(acts.zone_medians(df, "running", "month"), "median_zone1", "median_zone2") == [(3.0, None)]
 
 
 def test_pace(spark):
@@ -134,6 +133,15 @@ def test_pulse_bounds_are_half_open(spark, make):
     assert rows(top, *HEART_ZONE_SECONDS) == [(0, 0, 0, 0, 0, 30)]
 
 
+def test_unknown_or_negative_durations_have_null_seconds(make):
+    start = at("2024-01-01 00:00:00")
+    df = make([(1, 1, start, None), (1, 2, start, -3600.0), (1, 3, start, 0.0), (1, 4, None, 60.0), (1, 1, start, None)],
+              "subject_id long, activity_id long, dt timestamp_ntz, duration double")
+    found = {r["activity_id"]: r["secs_hr_zone2"] for r in
+             secs_in_pulse_zones(df, samples(make, PULSE), keys=["subject_id"]).collect()}
+    assert found == {1: None, 2: None, 3: 0, 4: None}
+
+
 def test_spine_and_gaps(spark):
     df = workouts(spark, run(1, "2024-01-01 09:00"), run(2, "2024-01-03 09:00"))
     assert rows(date_spine(df, day("2024-01-04"))) == [(day(f"2024-01-0{n}"),) for n in (1, 2, 3)]

@@ -88,18 +88,104 @@ def test_replace_a_table_by_itself(spark, make, tmp_path):
     assert read_table(spark, path, GYM).count() == 2
 
 
-def test_broken_replace_can_be_finished(spark, make, tmp_path, monkeypatch):
+class Lost(Exception):
+    pass
+
+
+def breaks_at(patch, step):
+    """Let a replace or merge break off before its ``step``-th rename, or (0) before the marker is set."""
+    moves, real = [], tables._move
+
+    def move(files, source, target):
+        moves.append(target)
+        if len(moves) == step:
+            raise Lost
+        real(files, source, target)
+
+    patch.setattr(tables, "_move", move)
+    if step == 0:
+        def unfinished(df, path, partition_by, marker):
+            df.limit(1).write.partitionBy(*partition_by).parquet(tables._beside(path, "staging"))
+            raise Lost
+        patch.setattr(tables, "_stage", unfinished)
+
+
+def left_beside(tmp_path):
+    return sorted(p.name for p in tmp_path.iterdir() if "__" in p.name)
+
+
+@pytest.mark.parametrize("step", [0, 1, 2])
+def test_a_replace_can_break_off_anywhere(spark, make, tmp_path, monkeypatch, step):
     path = str(tmp_path / "t")
     replace_table(make(GYM_ROWS[:1], GYM), path)
+    with monkeypatch.context() as patch, pytest.raises(Lost):
+        breaks_at(patch, step)
+        replace_table(make(GYM_ROWS, GYM), path)
+    tables.finish_swap(spark, path)
+    assert read_table(spark, path, GYM).count() == (1 if step == 0 else 2)
+    replace_table(read_table(spark, path, GYM).union(make(GYM_ROWS, GYM)).distinct(), path)
+    assert read_table(spark, path, GYM).count() == 2 and left_beside(tmp_path) == []
+
+
+MERGED = [(day("2023-05-01"), 50.0), (day("2024-05-01"), 55.0), (day("2024-06-01"), 60.0), (day("2025-01-01"), 61.0)]
+
+
+@pytest.mark.parametrize("step", range(7))
+def test_a_merge_can_break_off_anywhere(spark, make, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "gym")
+    merge_into_table(spark, path, make(GYM_ROWS, GYM), diagonal_merge, GYM)
+    batch = make([GYM_ROWS[0], (day("2024-06-01"), "squat", 60.0, []), (day("2025-01-01"), "squat", 61.0, [])], GYM)
     with monkeypatch.context() as patch:
-        patch.setattr(tables, "recover_table", lambda *_: (_ for _ in ()).throw(OSError("lost")))
-        with pytest.raises(OSError):
-            replace_table(make(GYM_ROWS, GYM), path)
-    assert read_table(spark, path, GYM).count() == 1
-    tables.recover_table(spark, path, GYM)
+        breaks_at(patch, step)
+        try:
+            merge_into_table(spark, path, batch, diagonal_merge, GYM)
+        except Lost:
+            pass
+        else:
+            assert step == 6  # three years: two renames for those that were there, one for the new one
+    for _ in range(2):
+        merge_into_table(spark, path, batch, diagonal_merge, GYM)
+        assert rows(read_table(spark, path, GYM), "dt", "rep_max") == sorted(MERGED, key=repr)
+    assert left_beside(tmp_path) == []
+
+
+def test_an_empty_batch_changes_nothing(spark, make, tmp_path):
+    path = str(tmp_path / "gym")
+    merge_into_table(spark, path, make([], GYM), diagonal_merge, GYM)
+    assert load_or_empty(spark, path, GYM).count() == 0
+    merge_into_table(spark, path, make(GYM_ROWS, GYM), diagonal_merge, GYM)
+    merge_into_table(spark, path, make([], GYM), diagonal_merge, GYM)
     assert read_table(spark, path, GYM).count() == 2
 
 
+def test_a_stream_that_broke_off_is_taken_up(spark, make, tmp_path, monkeypatch):
+    arrivals, path, log = (str(tmp_path / name) for name in ("in", "table", "log"))
+    start = lambda: stream_into_table(
+        spark.readStream.schema(GYM).parquet(arrivals), path, diagonal_merge, GYM, log
+    ).awaitTermination()
+    make(GYM_ROWS, GYM).write.parquet(arrivals)
+    start()
+    make([(day("2024-06-01"), "squat", 60.0, [])], GYM).write.mode("append").parquet(arrivals)
+    with monkeypatch.context() as patch, pytest.raises(Exception, match="Lost"):
+        breaks_at(patch, 2)
+        start()
+    start()
+    assert rows(read_table(spark, path, GYM), "dt", "rep_max") == sorted(MERGED[:3], key=repr)
+
+
+def test_the_batch_is_evaluated_once(spark, make, tmp_path):
+    counted = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            counted.add(len(batch))
+            yield batch
+
+    batch = make(GYM_ROWS, GYM).repartition(1).mapInPandas(seen, GYM)
+    merge_into_table(spark, str(tmp_path / "gym"), batch, diagonal_merge, GYM)
+    assert counted.value == len(GYM_ROWS)
+
+
 def test_merge_rewrites_only_the_years_of_the_batch(spark, make, tmp_path):
     path = str(tmp_path / "gym")
     merge_into_table(spark, path, make(GYM_ROWS + [(None, "squat", 1.0, [])], GYM), diagonal_merge, GYM)

@@ -16,6 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 WRITING = {
     "src_json_gym", "src_csv_section_lines", "src_json_activities", "src_xml_metrics", "sink_roundtrip",
     "sink_merge_years", "load_or_empty", "ingest_gym_json", "ingest_activities", "ingest_metrics", "stream_ingest",
+    "src_json_gym_array", "src_xml_metrics_zip", "src_html_table",
 }
 # Ends in a handful of rows: one total over all groups, or a sort of them.
 ONE_ROW = {"cost_share", "null_profile", "pace_bounds", "source_coverage", "bp_extremes", "longest_runs",
@@ -54,6 +55,19 @@ def test_year_comparison_filters_dates_before_the_points(spark):
     assert "PushedFilters: [Or(" in plan_of(bills.year_compare(df, "total_cost", [1996, 1999]))
 
 
+def test_the_first_day_reaches_the_scan_below_the_fill(spark):
+    for name in ("year_compare_cost", "cost_share"):
+        plan = plan_of(QUERIES[name](spark, FOLDER))
+        day_ = "1996-01-01" if name == "year_compare_cost" else "2000-01-01"
+        scans = [line for line in plan.split("\n") if "PushedFilters" in line and "orders" in line]
+        assert scans and all(f"GreaterThanOrEqual(o_orderdate,{day_}" in line for line in scans), scans
+
+
+def test_imported_days_are_parsed_once(spark):
+    plan = plan_of(QUERIES["ingest_activities"](spark, FOLDER))
+    assert plan.count("FileScan json") <= 1
+
+
 def test_normalised_bills_shrink_before_the_shuffle(spark):
     plan = plan_of(bills.normalize_bills(adapters.bills(spark, FOLDER)))
     assert "partial_min_by" in plan and "SortAggregate" not in plan

@@ -82,10 +82,9 @@ def test_median_by_rank(spark, copies):
         data.append((key, rng.choice([None, 1.5, rng.randrange(400) / copies]), float(rng.randrange(9))))
     data += [("d", None, 1.0), ("e", 2.0, None)]
     df = spark.createDataFrame(data, "k string, x double, y double")
-    found = exact_median(df, ["k"], {"mx": "x", "my": "y"}, max_group_rows=50, block_rows=60)
-    plain = exact_median(df, ["k"], {"mx": "x", "my": "y"})
-    assert rows(found) == rows(plain)
-    for key, mx, my in rows(plain):
+    found = rows(exact_median(df, ["k"], {"mx": "x", "my": "y"}))
+    assert {key for key, _, _ in found} == {r[0] for r in data}
+    for key, mx, my in found:
         for at_, got in ((1, mx), (2, my)):
             values = [r[at_] for r in data if r[0] == key and r[at_] is not None]
             assert got == (statistics.median(values) if values else None)
@@ -93,7 +92,29 @@ def test_median_by_rank(spark, copies):
 
 def test_median_of_one_group_for_all_rows(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("x"))
-    assert rows(exact_median(df, [], {"m": "x"}, max_group_rows=10)) == [(50.0,)]
+    assert rows(exact_median(df, [], {"m": "x"})) == [(50.0,)]
+
+
+def test_median_of_large_values_intervals_and_whole_numbers(spark):
+    df = spark.createDataFrame([(1, 1.7e308, 1), (1, 1.7e308, 2), (2, None, None), (3, 1e308, 5), (3, 1.7e308, 6)],
+                               "k int, x double, n int")
+    df = df.withColumn("t", F.make_dt_interval(secs=F.col("n")))
+    found = exact_median(df, ["k"], {"mx": "x", "mn": "n", "mt": "t"})
+    assert dict(found.dtypes)["mt"].startswith("interval")
+    got = {r["k"]: (r["mx"], r["mn"], r["mt"] and r["mt"].total_seconds()) for r in found.collect()}
+    assert got == {1: (1.7e308, 1.5, 1.5), 2: (None, None, None), 3: (1.35e308, 5.5, 5.5)}
+    assert exact_median(df.limit(0), ["k"], {"mx": "x"}).count() == 0
+
+
+def test_median_needs_no_job_before_the_action(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("x"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("median", "median")
+    try:
+        exact_median(df, ["k"], {"m": "x"})
+        assert list(tracker.getJobIdsForGroup("median")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_approximate_median_has_the_same_shape(spark):

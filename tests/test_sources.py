@@ -38,6 +38,13 @@ FIELDS = ("dt", "exercise", "rep_max", "sets")
 SECTIONS = {
     "plain": (EXPORT, ROWS),
     "windows": (EXPORT.replace("\n", "\r\n"), ROWS),
+    "old_mac": (EXPORT.replace("\n", "\r"), ROWS),
+    # The second carriage return is an empty line, which ends the section.
+    "doubled_return": (EXPORT.replace(",x\n", ",x\r\r\n"), ROWS[:1]),
+    "return_in_a_cell": (EXPORT.replace("2,2024-01-02,Squat,,,", "2,2024-01-02,Squat,,,\r3,2024-01-03,Row,1,1x1,"),
+                         [*ROWS, (day("2024-01-03"), "Row", 1.0, ["1x1"])]),
+    "long_cell": (EXPORT.replace(",x\n", ',"' + "y" * 100_000 + '"\n'), ROWS),
+    "many_quotes": (EXPORT.replace(",x\n", ',"' + '""' * 20_000 + '"\n'), ROWS),
     "no_end": (EXPORT[: EXPORT.index("# end")].rstrip("\n"), ROWS),
     "short_line": (EXPORT.replace("# end", "-"), ROWS),
     "no_marker": (EXPORT.replace("EXERCISE LOGS", "SETS"), []),
@@ -242,7 +249,8 @@ def test_zipped_export(spark, tmp_path, chunk, monkeypatch):
 
     monkeypatch.setattr(xml_source, "_CHUNK_CHARS", chunk)
     pieces = list(xml_source._whole_records(io.StringIO(RECORDS)))
-    assert "".join(pieces) == RECORDS and all(p.startswith("<Record") for p in pieces[1:])
+    tags = lambda text: xml_source._OPEN_TAG.findall(text)
+    assert tags("".join(pieces)) == tags(RECORDS) == [tag for p in pieces for tag in tags(p)]
 
 
 PAGE = """<html><table><tr><th>Datum</th></tr><tr><td>menu</td></tr></table>
@@ -261,6 +269,64 @@ def test_html_table(spark, make, tmp_path):
     assert read_html_tables(spark, str(tmp_path), columns).count() == 2
 
 
+@pytest.mark.parametrize("error", ["raise", "null"])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_a_quoted_line_break_is_refused(spark, tmp_path, limit, error):
+    (tmp_path / "export.txt").write_text(EXPORT.replace('"Curl, ""EZ"""', '"Curl\n EZ"'))
+    with pytest.raises(Exception, match="goes over the end of its line"):
+        read_csv_sections(spark, str(tmp_path), max_text_bytes=limit, on_error=error).collect()
+
+
+def test_html_without_closing_tags_and_with_entities(make):
+    page = """<TABLE><thead><tr><th>Str&auml;cka (km)<th>Datum<tbody>
+<tr><td>1&#44;5 &#xE5;&aring;<!-- <td>no</td> --><td>2014-01-01
+<tr><td>&nope; &#0; & &amp;lt; &lt;b&gt;<br>x</td>
+<td> 2014&ndash;02&#8211;01 </td></tr></table>"""
+    found = html_table(make([(1, page), (2, "<table class=x>" + page[7:-8])], "id int, html string"), ["id"], "html",
+                       {"Sträcka (km)": "km", "Datum": "date"})
+    expected = [("1,5 åå", "2014-01-01"), ("&nope; &#0; & &lt; <b>x", "2014–02–01")]
+    assert rows(found, "km", "date") == sorted(expected * 2, key=repr)
+    with pytest.raises(Exception, match="no row can be read"):
+        html_table(make([(1, "<table><div>5 km</div></table>")], "id int, html string"), ["id"], "html", {"a": "a"}).collect()
+
+
+def test_further_payload_fields_are_kept(spark, tmp_path):
+    activity = {"activityId": 1, "startTimeLocal": "2024-01-01T10:00:00", "averageHR": 120, "device": {"name": "w"}}
+    document = {"subjectId": 1, "ActivitiesForDay": {"payload": [activity]}}
+    (tmp_path / "day.json").write_text(json.dumps(document))
+    found = day_activities(read_day_documents(spark, str(tmp_path), fields="averageHR int, device struct<name: string>"))
+    assert rows(found, "activity_id", "averageHR", "device.name") == [(1, 120, "w")]
+    assert "averageHR" in ingest.flatten_days(
+        read_day_documents(spark, str(tmp_path), fields="averageHR int")).columns
+
+
+def test_a_long_start_tag_and_a_long_tail(spark, tmp_path):
+    long_tag = RECORDS.replace("<Record ", "<Record " + "note='" + "n" * 50_000 + "' plain=" + "p" * 3000 + " ", 1).replace("plain=", 'plain="', 1)
+    long_tag = long_tag.replace("p" * 3000, "p" * 3000 + '"', 1)
+    (tmp_path / "export.xml").write_text(long_tag)
+    assert rows(read_metrics_xml(spark, str(tmp_path)), *COLUMNS) == sorted(METRICS, key=repr)
+
+
+def test_the_tail_behind_the_last_record_is_let_go(monkeypatch):
+    import io
+    import tracemalloc
+
+    monkeypatch.setattr(xml_source, "_CHUNK_CHARS", 1 << 16)
+
+    class Tail(io.TextIOBase):
+        left = 400
+
+        def read(self, size):
+            self.left -= 1
+            return '<Record type="a"/>' + "x" * size if self.left == 399 else "y" * size if self.left >= 0 else ""
+
+    tracemalloc.start()
+    pieces = list(xml_source._whole_records(Tail()))
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+    assert "".join(pieces).startswith('<Record type="a"/>') and sum(map(len, pieces)) < 1 << 18
+
+
 def test_html_items(make):
     page = '<ul><li><a href="/a">A</a></li><li class="x"> <a id="1" href="/b">B &amp; <i>c</i></a></li><li>no</li></ul>'
     assert rows(html_items(make([(1, page), (2, "")], "id int, html string"), ["id"], "html")) == [
