@@ -88,8 +88,8 @@ def keys_of(fp: str) -> Column:
     return keyed(col(fp))
 
 
-def bucket_links(members: np.ndarray, max_difference: int) -> list[dict[str, int]]:
-    """Links that join what belongs together in a bucket: one less than members of each class."""
+def bucket_links(members: np.ndarray, max_difference: int) -> np.ndarray:
+    """Pairs that join what belongs together in a bucket: one less than members of each class."""
     values = np.unique(members)
     unsigned, links = values.view(np.uint64), []
     open_ = np.ones(len(values), bool)
@@ -99,15 +99,21 @@ def bucket_links(members: np.ndarray, max_difference: int) -> list[dict[str, int
         open_[root], waiting = False, [root]
         while waiting:
             at = waiting.pop()
-            near = open_ & (np.bitwise_count(unsigned ^ unsigned[at]) <= max_difference)
-            for other in np.flatnonzero(near).tolist():
-                links.append({"a": int(values[at]), "b": int(values[other])})
-                waiting.append(other)
-            open_ &= ~near
-    return links
+            near = np.flatnonzero(open_ & (np.bitwise_count(unsigned ^ unsigned[at]) <= max_difference))
+            links.append(np.stack([np.full(len(near), values[at]), values[near]], axis=1))
+            open_[near] = False
+            waiting += near.tolist()
+    return np.concatenate(links) if links else np.zeros((0, 2), np.int64)
 
 
-_LINKS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+def links_of_buckets(buckets: pa.ListArray, max_difference: int) -> pa.ListArray:
+    """``bucket_links`` of every bucket, in arrays throughout: a batch can hold many large buckets."""
+    values, ends = buckets.values.to_numpy(), buckets.offsets.to_numpy()
+    found = [bucket_links(values[a:b], max_difference) for a, b in zip(ends, ends[1:])]
+    pairs = np.concatenate([*found, np.zeros((0, 2), np.int64)])
+    offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+    columns = [pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, ["a", "b"]))
 
 
 def links_between(prints: DataFrame, max_difference: int = MAX_DIFFERENCE, bucket: int = BUCKET) -> DataFrame:
@@ -132,8 +138,7 @@ def links_between(prints: DataFrame, max_difference: int = MAX_DIFFERENCE, bucke
 
     @arrow_function("array<struct<a: long, b: long>>")
     def linked(members: pa.Array) -> pa.Array:
-        found = [bucket_links(np.array(m.as_py(), np.int64), max_difference) for m in members]
-        return pa.array(found, _LINKS)
+        return links_of_buckets(members, max_difference)
 
     small = keyed.join(sizes.filter((F.col("n") > 2) & (F.col("n") <= bucket)).select("key"), "key")
     gathered = small.groupBy("key").agg(F.collect_list("fp").alias("members")).select(F.explode(linked("members")).alias("l"))
