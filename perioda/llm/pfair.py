@@ -23,7 +23,7 @@ from perioda.session import written
 PERIOD = 10_000
 BLOCK_ROWS = 64
 #: Rows that are numbered by one task at a time.
-BUCKET_ROWS = 16_384
+BUCKET_ROWS = 4_096
 #: Default weights are the sources' row counts to this power, so small sources gain a little.
 TEMPER = 0.9
 
