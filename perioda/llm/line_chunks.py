@@ -144,6 +144,8 @@ def remove_repeated(
     # Grouping by the bytes themselves compares them.
     firsts = found.groupBy("digest", "bytes").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.filter("first < last").select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "first")
+    # Written, so that the join is not bound to the grouping's partitions and a frequent chunk can be split.
+    firsts = written(firsts, "chunk-firsts")
     extra = found.join(firsts, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b"))).filter(place > F.col("first"))
     gone = extra.groupBy("doc", "print").agg(F.collect_set("at").alias(starts))
     gone = gone.withColumnsRenamed({"doc": g_doc, "print": g_print})
