@@ -143,7 +143,8 @@ def link(messages: DataFrame, *, scope: Sequence[str] = (), order: str, text: st
     rows = written(rows.select("node", "scope", "at", "p.own", "p.keys", "p.quotes"), "messages")
 
     index = rows.select("scope", "at", F.explode("keys").alias("key"))
-    index = index.groupBy("scope", "key").agg(F.min("at").alias("origin"))
+    # Written, so that the join is not bound to the grouping's partitions and a frequent passage can be split.
+    index = written(index.groupBy("scope", "key").agg(F.min("at").alias("origin")), "passages")
     asked = rows.select("node", "scope", "at", F.explode("quotes").alias("q"))
     asked = asked.select("node", "scope", "at", "q.level", "q.rank", "q.key")
     found = asked.join(index, ["scope", "key"]).filter(F.struct("origin.o") < F.struct("at.o"))
