@@ -18,20 +18,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from perioda.llm.common import arrow_function, col, ship_package, utf8
+from perioda.llm.common import as_text, col, ship_package
 from perioda.session import new_shared_path
 
-#: Tokens after which a shard is closed, at the end of the document.
+#: Tokens after which a shard is closed, at the end of a document.
 SHARD_TOKENS = 1 << 21
+#: Text that a worker encodes at once, or one longer text.
+SLICE_BYTES = 4 << 20
 #: Bits between two stored counts of ones.
 BLOCK = 512
 MAGIC = b"WVM1"
 #: Pieces a Python worker remembers in each of two generations, and the longest one that is.
-REMEMBERED_PIECES = 200_000
+REMEMBERED_PIECES = 400_000
 REMEMBERED_BYTES = 64
 
 FILE_SCHEMA = T.StructType(
@@ -219,10 +222,24 @@ class PieceIds(dict):
             return [token.id for token in self.model.tokenize(word)]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def of_text(self, text: bytes) -> bytes:
-        if b"<|" not in text:  # special strings are found before letters are lower-cased
-            text = text.lower()
-        return b"".join(map(self.__getitem__, text.split()))
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, places where each text ends).
+
+        Equal pieces are looked up once; their ids are then laid out in the order of the texts.
+        """
+        special = pc.match_substring(texts, "<|")  # such strings are found before letters are lower-cased
+        split = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        words = split.flatten().cast(pa.binary()).dictionary_encode()
+        packed = list(map(self.__getitem__, words.dictionary.to_pylist()))
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        order = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[order])])
+        places = np.repeat(starts[order] - ends[:-1], sizes[order])
+        places += np.arange(len(places))
+        borders = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return ids[places], ends[borders[1:]]
 
 
 _LOADED: dict[str, PieceIds] = {}
@@ -248,75 +265,95 @@ def crosses_no_white_space(definition: str) -> bool:
     return steps == known and words and own.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and plain
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): each text's ids and the end id, as little-endian 32-bit numbers in one binary.
+def _slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``limit`` bytes, or one longer text."""
+    total, start = 0, 0
+    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        total += size
+        if total >= limit:
+            yield start, i + 1
+            total, start = 0, i + 1
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _encoded(definition: str, by_piece: bool, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    key = hashlib.sha256(definition.encode()).hexdigest()
+    if key not in _LOADED:
+        _LOADED[key] = PieceIds(definition)
+    pieces = _LOADED[key]
+    if by_piece:
+        return pieces.of_texts(texts)
+    ids = [pieces.tokenizer.encode(text, add_special_tokens=False).ids for text in texts.to_pylist()]
+    return np.concatenate([np.zeros(0, np.uint32), *map(np.uint32, ids)]), np.cumsum([len(own) for own in ids])
+
+
+class _Shard:
+    """What has been gathered for the matrix that comes next."""
+
+    def __init__(self, task: int):
+        self.task, self.part, self.size = task, 0, 0
+        self.ids: list[np.ndarray] = []
+        self.ends: list[np.ndarray] = []
+        self.names: list[pa.Array] = []
+
+    def add(self, names: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.names.append(names)
+        self.ids.append(ids)
+        self.ends.append(ends + self.size)
+        self.size += len(ids)
+
+    def closed(self) -> pa.RecordBatch:
+        matrix = WaveletMatrix.build(np.concatenate(self.ids))
+        names, ends = pa.concat_arrays(self.names).to_pylist(), np.concatenate(self.ends).tolist()
+        row = [[self.task], [self.part], [self.size], [names], [ends], [matrix]]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+        columns = [pa.array(value, kind) for value, kind in zip(row, kinds)]
+        self.part, self.size, self.ids, self.ends, self.names = self.part + 1, 0, [], [], []
+        return pa.RecordBatch.from_arrays(columns, names=FILE_SCHEMA.fieldNames())
+
 
-    Rows come in ranges ascending by doc_id, null first, and in order within
-    them; equal ids are ordered by a hash of their texts.  The ranges are made
-    of the texts, so that the sampling for their bounds encodes nothing.
+def write_files(
+    docs: DataFrame,
+    tokenizer_path: str,
+    path: str,
+    *,
+    end_id: int = 1,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shard_tokens: int = SHARD_TOKENS,
+) -> None:
+    """Encode texts, an end id behind each, and write them as wavelet matrices ascending by doc_id, null first.
+
+    Rows are range partitioned; equal ids are ordered by a hash of their
+    texts.  A task closes a matrix whenever it is full, so no task or file
+    grows with the table.  A file's row holds one matrix with the ids and ends
+    of its documents; Spark's committer puts files in place, so a task that is
+    run again leaves one copy.
     """
+    ship_package(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as file:
         definition = file.read()
-    by_piece, key = crosses_no_white_space(definition), hashlib.sha256(definition.encode()).hexdigest()
+    by_piece = crosses_no_white_space(definition)
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    end = struct.pack("<I", end_id)
-
-    @arrow_function("binary")
-    def encoded(texts: pa.Array) -> pa.Array:
-        if key not in _LOADED:
-            _LOADED[key] = PieceIds(shared.value)
-        pieces = _LOADED[key]
-        if by_piece:
-            return pa.array([pieces.of_text(value.as_py()) + end for value in texts], pa.binary())
-        whole = (pieces.tokenizer.encode(value.as_py().decode(), add_special_tokens=False).ids for value in texts)
-        return pa.array([struct.pack(f"<{len(ids)}I", *ids) + end for ids in whole], pa.binary())
-
-    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("text"))
+    slice_bytes = min(SLICE_BYTES, 4 * shard_tokens)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = _Shard(TaskContext.get().partitionId())
+        for batch in batches:
+            for start, end in _slices(batch.column(1), slice_bytes):
+                ids, ends = _encoded(shared.value, by_piece, batch.column(1)[start:end])
+                ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                shard.add(batch.column(0)[start:end], ids, ends)
+                if shard.size >= shard_tokens:
+                    yield shard.closed()
+        if shard.size:
+            yield shard.closed()
+
+    rows = docs.select(col(doc_id).cast("long").alias("doc_id"), as_text(text).alias("text"))
     order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.select("doc_id", encoded(F.col("text")).alias("ids"))
-
-
-def _packed(batches: Iterator[pa.RecordBatch], shard_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Close a shard at the first document end at or beyond ``shard_tokens``."""
-    task = TaskContext.get().partitionId()
-    ids: list[bytes] = []
-    names: list[int | None] = []
-    ends: list[int] = []
-    part = 0
-
-    def closed() -> pa.RecordBatch:
-        nonlocal part
-        matrix = WaveletMatrix.build(np.frombuffer(b"".join(ids), "<u4"))
-        row = [[task], [part], [ends[-1]], [list(names)], [list(ends)], [matrix]]
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-        part += 1
-        for state in (ids, names, ends):
-            state.clear()
-        columns = [pa.array(value, kind) for value, kind in zip(row, kinds)]
-        return pa.RecordBatch.from_arrays(columns, names=FILE_SCHEMA.fieldNames())
-
-    for batch in batches:
-        for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids.append(value.as_py())
-            names.append(name)
-            ends.append((ends[-1] if ends else 0) + len(ids[-1]) // 4)
-            if ends[-1] >= shard_tokens:
-                yield closed()
-    if ends:
-        yield closed()
-
-
-def write_files(encoded: DataFrame, path: str, *, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Write what ``encode`` gives as wavelet matrices.
-
-    A task closes a matrix whenever it is full, so no task or file grows with
-    the table.  A file's row holds one matrix with the ids and ends of its
-    documents; Spark's committer puts files in place, so a task that is run
-    again leaves one copy.
-    """
-    ship_package(encoded.sparkSession)
-    encoded.mapInArrow(lambda batches: _packed(batches, shard_tokens), FILE_SCHEMA).write.parquet(path)
+    ranged.mapInArrow(packed, FILE_SCHEMA).write.parquet(path)
 
 
 def file_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -375,5 +412,5 @@ def round_trip(
     """
     spark = docs.sparkSession
     path = path or new_shared_path(spark, "wavelet")
-    write_files(encode(docs, tokenizer_path, end_id, doc_id=doc_id, text=text), path)
+    write_files(docs, tokenizer_path, path, end_id=end_id, doc_id=doc_id, text=text)
     return documents_in(spark, path)

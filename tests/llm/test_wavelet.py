@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 from hypothesis import given, settings, strategies as st
@@ -55,7 +56,9 @@ def test_pieces_make_the_whole_text(text):
     assert wv.crosses_no_white_space(definition)
     pieces = getattr(test_pieces_make_the_whole_text, "p", None) or wv.PieceIds(definition)
     test_pieces_make_the_whole_text.p = pieces
-    assert np.frombuffer(pieces.of_text(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    ids, ends = pieces.of_texts(pa.array([text, "", text]))
+    own = whole.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == own * 2 and ends.tolist() == [len(own), len(own), 2 * len(own)]
 
 
 def expected(rows, tokenizer):
@@ -71,7 +74,7 @@ def test_files_hold_all_rows_in_order(spark, make, tokenizer, tmp_path):
     rows = [(None, "no id"), (1, None), (2, ""), (3, "a<|endoftext|>b " * 400), (4, "x " * 20_000), (9, "same"), (9, "same")]
     docs = make([(i, t, "c") for i, t in reversed(rows)], "doc_id long, text string, ids string")
     path = f"file://{tmp_path}/ids"
-    wv.write_files(wv.encode(docs, PATH, 1), path, shard_tokens=500)
+    wv.write_files(docs, PATH, path, shard_tokens=500)
     found = sorted((tuple(r) for r in wv.documents_in(spark, path).collect()), key=lambda r: r[1])
     assert found == expected(rows, tokenizer)
     files = spark.read.parquet(path).collect()
