@@ -21,7 +21,7 @@ TABLES = (
 ).split()
 FAMILY = {"int": "whole", "bigint": "whole", "INTEGER": "whole", "BIGINT": "whole", "double": "real", "DOUBLE": "real",
           "string": "text", "VARCHAR": "text", "date": "date", "DATE": "date",
-          "timestamp_ntz": "time", "TIMESTAMP": "time"}
+          "timestamp_ntz": "time", "TIMESTAMP": "time", "boolean": "truth", "BOOLEAN": "truth"}
 
 
 def oracle_connection(folder: str) -> duckdb.DuckDBPyConnection:
