@@ -53,3 +53,26 @@ def test_run_and_empty_input(spark):
         docs = stage(spark, docs, FOLDER)
     assert docs.count() == 0
     assert sh.MAX_DIFFERENCE == 2
+
+
+def test_odd_rows_pass_every_stage(spark, make):
+    """Nulls in any column, repeated rows, empty and very long texts, and columns with names the stages use."""
+    good = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("lang = 'en'").orderBy("doc_id").limit(40).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], 1, "s", None) for r in good]
+    rows += rows[:3] * 2 + [(None, good[0]["text"], None, None, None, None, None, None)] * 2
+    rows += [(9001, None, "en", "src0", 0, None, "s", 1), (9002, "", "en", "src0", 0, 2, None, 1), (None, None, None, None, None, None, None, None)]
+    rows += [(9003, " ".join(f"w{i * 7919 % 30011}" for i in range(30_000)), None, "src1", None, 3, "t", 2)]
+    docs = make(rows, "doc_id long, text string, lang string, source string, n_chars long, shard int, slot string, __one int")
+    columns = docs.columns
+    counts = []
+    for name, stage in cp.STAGES:
+        docs = stage(spark, docs, FOLDER)
+        assert docs.columns[: len(columns)] == columns
+        docs = make([tuple(r) for r in docs.collect()], docs.schema)
+        counts.append((name, docs.count()))
+    assert docs.columns[len(columns) :] == ["shard_", "slot_"]
+    kept = {r["doc_id"] for r in docs.collect()}
+    assert 9003 in kept and 9001 not in kept and 9002 not in kept
+    single = dict(counts)["near_duplicates"]
+    assert 0 < single <= 42 and dict(counts)["benchmark"] <= single <= dict(counts)["quality"]
+    assert dict(counts)["mixing"] == dict(counts)["shards"] >= dict(counts)["benchmark"]
