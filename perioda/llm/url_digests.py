@@ -20,7 +20,7 @@ from perioda.llm.common import arrow_function, col, fresh
 ALLOW, BLOCK = "allow", "block"
 #: Rules up to this size, keys and digests, go to the workers as one array; above it they are joined.
 MAX_ARRAY_BYTES = 32 << 20
-#: Between host and path; no host or path of a rule may hold it.
+#: Between host and path; a rule that holds it itself is void.
 _BAR = "\x00"
 
 _JUDGED = pa.struct([("rule", pa.string()), ("blocked", pa.bool_())])
@@ -51,6 +51,7 @@ def rules_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> D
 def _clean(rules: DataFrame) -> DataFrame:
     """One row per key; where verdicts differ, block holds."""
     known = rules.filter("host is not null and host <> '' and path is not null and verdict is not null")
+    known = known.filter(~F.contains(F.concat("host", "path"), F.lit(_BAR)))
     key = F.concat("host", F.lit(_BAR), "path")
     grouped = known.groupBy("host", "path").agg(F.max(F.col("verdict") == BLOCK).alias("blocked"))
     return grouped.select(key.alias("key"), "host", "path", "blocked")
@@ -138,8 +139,8 @@ def judge_urls(
     path starts with the rule's.  The longest rule string wins, then the
     longer host; of one rule with both verdicts, block.  Without a rule the
     verdict is ``otherwise``.  A null url, or one without ``://``, has an
-    empty host and path and no rule.  Rules with an empty or null host, or a
-    null path or verdict, are void.  Rows and columns stay; a column that has
+    empty host and path and no rule.  Rules with an empty or null host, a null
+    path or verdict, or a null character are void.  Rows and columns stay; a column that has
     one of the new names keeps it, and the new one gets an underscore.
     """
     host, path, rule, verdict = fresh(pages.columns, "host", "path", "rule", "verdict")
