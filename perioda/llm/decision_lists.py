@@ -6,6 +6,7 @@ conditions over them.  Learning sees a bounded sample of labelled rows only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ MAX_RULES = 16
 THRESHOLDS = 48
 REPEAT_WINDOW = 5
 
+_HASHES = 1 << 30
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _OTHERS = ("n_lines", "n_upper", "n_digits", "n_marks", "n_distinct", "n_twins")
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -249,14 +252,17 @@ def fit(
 
     At most ``sample_rows`` labels are used, chosen by the hash of their id;
     they and their statistics are all that reaches the driver.  Rows without
-    an id or a label don't count.
+    an id or a label don't count; an id with both labels is poor.
     """
     known = labels.filter(col(doc_id).isNotNull() & col(label).isNotNull())
-    known = known.select(col(doc_id).alias("__id"), (col(label) == 0).alias("__poor")).dropDuplicates(["__id"])
-    sample = known.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
+    known = known.groupBy(col(doc_id).alias("__id")).agg(F.max(col(label) == 0).alias("__poor"))
+    known = known.withColumn("__hash", F.pmod(F.xxhash64("__id"), F.lit(_HASHES)))
+    # A cut that leaves a few more than the sample, so that tasks don't each send a full one to be sorted.
+    cut = math.ceil(_HASHES * min(1.0, (1.2 * sample_rows + 1000) / max(1, known.count())))
+    sample = known.filter(F.col("__hash") < cut).orderBy("__hash", "__id").limit(sample_rows)
     texts = docs.select(col(doc_id).alias("__id"), col(text).alias("__text"))
     # The sample has a fixed bound, so it may be sent to all.
-    chosen = texts.join(F.broadcast(sample), "__id").select("__id", "__poor", text_statistics("__text").alias("s"))
+    chosen = texts.join(F.broadcast(sample.drop("__hash")), "__id").select("__id", "__poor", text_statistics("__text").alias("s"))
     features = [own.alias(name) for name, own in features_of(F.col("s")).items()]
     # Not filtered by the statistics here: that would be pushed below the join and take those of all texts.
     rows = chosen.select("__id", "__poor", base_failed(F.col("s")).alias("__failed"), *features)
