@@ -4,7 +4,6 @@ import datetime as dt
 
 import pytest
 from conftest import at, day, rows
-from pyspark.sql import functions as F
 
 from perioda.functions import keep_range
 from perioda.operators import date_spine, missing_days, secs_in_pulse_zones
