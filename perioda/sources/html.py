@@ -16,15 +16,16 @@ _CELL_START = r"(?i)<t[hd]\b[^>]*>"
 _CELL_END = r"(?is)</(?:t[hdr]|thead|tbody|tfoot)\b.*$"
 _ITEM = r'(?is)<li\b[^>]*>\s*<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
 
-#: Named entities as Python's standard library lists them.
-NAMED = {name: chr(code) for name, code in name2codepoint.items()}
+# Named entities as Python's standard library lists them, in one literal: pairs end with one sign, names with another.
+_PAIR, _NAME = "\x01", "\x02"
+_NAMED = _PAIR.join(f"{name}{_NAME}{chr(code)}" for name, code in name2codepoint.items())
 
 
 def _unescaped(piece: Column) -> Column:
     """A piece that followed an ampersand, with the entity it starts with resolved."""
     inside = F.substring_index(piece, ";", 1)
     rest = F.substring(piece, F.length(inside) + 2, F.length(piece))
-    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair]), inside)
+    named = F.try_element_at(F.str_to_map(F.lit(_NAMED), F.lit(_PAIR), F.lit(_NAME)), inside)
     decimal = F.regexp_extract(inside, "^#([0-9]{1,7})$", 1).try_cast("int")
     hexadecimal = F.nullif(F.regexp_extract(inside, "^#[xX]([0-9a-fA-F]{1,6})$", 1), F.lit(""))
     code = F.coalesce(decimal, F.conv(hexadecimal, 16, 10).try_cast("int"))
@@ -36,9 +37,11 @@ def _unescaped(piece: Column) -> Column:
 
 def plain_text(markup: Column) -> Column:
     """Text of a cell: tags dropped, entities resolved, white space as one space, ends trimmed."""
-    pieces = F.split(F.regexp_replace(markup, r"(?s)<[^>]*>", ""), "&")
-    resolved = F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(_unescaped(piece)))
-    return F.trim(F.regexp_replace(F.array_join(resolved, ""), r"[\s ]+", " "))
+    bare = F.regexp_replace(markup, r"(?s)<[^>]*>", "")
+    pieces = F.transform(F.split(bare, "&"), lambda piece, i: F.when(i == 0, piece).otherwise(_unescaped(piece)))
+    # Most cells have no entity; those are not taken apart.
+    resolved = F.when(F.contains(bare, F.lit("&")), F.array_join(pieces, "")).otherwise(bare)
+    return F.trim(F.regexp_replace(resolved, r"[\s\xa0]+", " "))
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
