@@ -190,19 +190,30 @@ def classes(
     """
     rows = docs.select(col(doc_id).alias("doc_id"), fingerprints(text, shingle_words).alias("fp"))
     rows = written(rows, "simhash-fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    nodes = written(nodes, "simhash-nodes")
-    links = links_between(nodes.select("fp"), max_difference, bucket)
-    labels = component_labels(links)
-    # Fingerprints without a link are their own class.
-    named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select(
-        "fp", "low", F.coalesce("label", "fp").alias("label")
-    )
+    named = _labelled(rows, max_difference, bucket)
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     found = named.join(lowest, "label").select("fp", "component_id")
     return rows.join(found, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
+def _named(
+    docs: DataFrame, *, doc_id: str, text: str, shingle_words: int = SHINGLE_WORDS,
+    max_difference: int = MAX_DIFFERENCE, bucket: int = BUCKET,
+) -> DataFrame:
+    rows = docs.select(col(doc_id).alias("doc_id"), fingerprints(text, shingle_words).alias("fp"))
+    return written(_labelled(rows, max_difference, bucket), "simhash-labels")
+
+
+def _labelled(rows: DataFrame, max_difference: int, bucket: int) -> DataFrame:
+    """fp, its smallest doc_id ``low`` and the label of its class, for every distinct fingerprint."""
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    labels = component_labels(links_between(nodes.select("fp"), max_difference, bucket))
+    # Fingerprints without a link are their own class.
+    return nodes.join(labels, nodes["fp"] == labels["node"], "left").select(
+        "fp", "low", F.coalesce("label", "fp").alias("label")
+    )
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -210,20 +221,27 @@ def hex_digits(fp: Column) -> Column:
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest id; its columns stay.
 
-    Of several rows with that id, the one with the smallest text stays.  If all
-    ids of a class are null, one of its rows stays, chosen the same way.
+    Classes are told apart by their label, not by an id, so rows without an id
+    or with the same id but in different classes are not mixed up.  Of several
+    rows of a class with its smallest id (null last), the one with the smallest
+    text, then the smallest other columns, stays.
     """
-    (found_id, row) = fresh(docs.columns, "__class", "__row")
-    found = classes(docs, doc_id=doc_id, text=text, **options)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(found_id)).distinct()
-    same = col(doc_id).eqNullSafe(kept[found_id])
-    joined = docs.join(kept, same, "left_semi")
-    return _one_row_an_id(joined, doc_id, text, row)
-
-
-def _one_row_an_id(df: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
-    """The row of each id with the smallest text, then the smallest other columns."""
-    first = [col(text), *[col(c) for c in df.columns if c not in (text, doc_id)]]
-    whole = F.struct(*[part.alias(f"c{i}") for i, part in enumerate(first)], *[col(c).alias(f"o{i}") for i, c in enumerate(df.columns)])
-    picked = df.groupBy(col(doc_id)).agg(F.min(whole).alias(row))
-    return picked.select(*[col(row)[f"o{i}"].alias(c) for i, c in enumerate(df.columns)])
+    print_, label = fresh(docs.columns, "__print", "__label")
+    shingle_words = options.get("shingle_words", SHINGLE_WORDS)
+    named = _named(docs, doc_id=doc_id, text=text, **options).select(F.col("fp").alias("f"), F.col("label").alias(label))
+    marked = docs.withColumn(print_, fingerprints(text, shingle_words))
+    marked = marked.join(named, col(print_) == F.col("f")).select(*map(col, docs.columns), col(label))
+    return one_row_a_class(marked, label, doc_id=doc_id, text=text)
+
+
+def one_row_a_class(marked: DataFrame, label: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of each label with the smallest id (null last), text and other columns; the label goes."""
+    names = [c for c in marked.columns if c != label]
+    of, low, row = fresh(marked.columns, "__of", "__low", "__row")
+    lowest = marked.groupBy(col(label).alias(of)).agg(F.min(col(doc_id)).alias(low))
+    # Before texts are compared, so that few of them are moved; ids in the key spread a large class.
+    near = marked.join(lowest, (col(label) == col(of)) & col(doc_id).eqNullSafe(col(low)), "left_semi")
+    first = [col(text), *[col(c) for c in names if c not in (text, doc_id)]]
+    whole = F.struct(*[part.alias(f"c{i}") for i, part in enumerate(first)], *[col(c).alias(f"o{i}") for i, c in enumerate(names)])
+    picked = near.groupBy(col(label)).agg(F.min(whole).alias(row))
+    return picked.select(*[col(row)[f"o{i}"].alias(c) for i, c in enumerate(names)])
