@@ -3,32 +3,34 @@
 A source with weight w releases its block j at slot floor((j-1)/w) and has to
 place it before slot ceil(j/w).  Earliest deadline first among the released
 blocks then keeps every source within one block of its target at every slot.
-Weights are whole numbers that sum up to the period, so the schedule of one
-period, made once and independent of the data, repeats for ever.
+The windows come from the exact weights over the whole mix, so the gap to the
+asked shares does not grow with its length.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from perioda.llm.common import col, exploded, fresh
+from perioda.llm.common import col, exploded, fresh, ship_package
 from perioda.llm.sharding import add_offsets
 from perioda.session import written
 
-PERIOD = 10_000
 BLOCK_ROWS = 64
+#: Slots that are handed on at a time.
+SLOT_BATCH = 65_536
 #: Rows that are numbered by one task at a time.
 BUCKET_ROWS = 4_096
 #: Default weights are the sources' row counts to this power, so small sources gain a little.
 TEMPER = 0.9
 
 
-def whole_weights(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
+def whole_weights(weights: Mapping[str | None, float], period: int) -> dict[str | None, int]:
     """Weights as whole numbers of at least 1 that sum up to ``period``, by largest remainder."""
     names = sorted((n for n, w in weights.items() if w > 0), key=lambda n: (n is None, n))
     if len(names) > period:
@@ -65,33 +67,66 @@ def schedule(weights: Mapping[str | None, int]) -> list[tuple[str | None, int]]:
     return slots
 
 
-@dataclass(frozen=True)
-class Source:
-    name: str | None
-    rows: int
-    weight: int
-    slots: tuple[int, ...]
+def exact_weights(weights: Mapping[str | None, float]) -> dict[str | None, int]:
+    """Whole numbers in exactly the ratio of the positive weights."""
+    exact = {n: Fraction(w) for n, w in weights.items() if w > 0}
+    scale = math.lcm(*[w.denominator for w in exact.values()])
+    return {n: int(w * scale) for n, w in exact.items()}
 
-    def blocks(self, block_rows: int) -> int:
-        return -(-self.rows // block_rows)
 
-    def slot_of(self, block: int, period: int) -> int:
-        return block // self.weight * period + self.slots[block % self.weight]
+def slots_until(weights: Sequence[int], blocks: Sequence[int]) -> Iterator[tuple[int, int]]:
+    """For each slot the number of a source and its turn, from 0, until each source has had ``blocks`` turns."""
+    total, left = sum(weights), sum(blocks)
+    releases = [(0, k, 0) for k in range(len(weights))]
+    ready: list[tuple[int, int, int]] = []
+    slot = 0
+    while left:
+        while releases and releases[0][0] <= slot:
+            _, k, j = heapq.heappop(releases)
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[k]), k, j))
+        _, k, j = heapq.heappop(ready)
+        yield k, j
+        left -= j < blocks[k]
+        heapq.heappush(releases, ((j + 1) * total // weights[k], k, j + 1))
+        slot += 1
+
+
+def slots_table(spark: SparkSession, weights: Sequence[int], blocks: Sequence[int]) -> DataFrame:
+    """``slots_until`` as rows (k, turn, slot), made on an executor a batch at a time and written."""
+    ship_package(spark)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                yield from _slot_batches(weights, blocks)
+
+    return written(spark.range(1, numPartitions=1).mapInArrow(made, "k long, turn long, slot long"), "mix-slots")
+
+
+def _slot_batches(weights: Sequence[int], blocks: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    rows, first = [], 0
+    for row in slots_until(weights, blocks):
+        rows.append(row)
+        if len(rows) == SLOT_BATCH:
+            yield _slot_batch(rows, first)
+            rows, first = [], first + len(rows)
+    if rows:
+        yield _slot_batch(rows, first)
+
 
-    def placed(self, slots: int, period: int) -> int:
-        """Blocks in the first ``slots`` slots."""
-        return slots // period * self.weight + sum(s < slots % period for s in self.slots)
+def _slot_batch(rows: list[tuple[int, int]], first: int) -> pa.RecordBatch:
+    columns = [[k for k, _ in rows], [turn for _, turn in rows], range(first, first + len(rows))]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k", "turn", "slot"])
 
 
-def plan(counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None, period: int) -> list[Source]:
+def chosen_weights(
+    counts: Mapping[str | None, int], weights: Mapping[str | None, float] | None, period: int | None
+) -> dict[str | None, int]:
+    """Whole-number weights of the sources that have rows and a positive weight."""
     if weights is None:
         weights = {name: n**TEMPER for name, n in counts.items()}
     chosen = {name: w for name, w in weights.items() if counts.get(name)}
-    whole = whole_weights(chosen, period)
-    slots: dict[str | None, list[int]] = {name: [] for name in whole}
-    for slot, (name, _) in enumerate(schedule(whole)):
-        slots[name].append(slot)
-    return [Source(name, counts[name], whole[name], tuple(slots[name])) for name in whole]
+    return exact_weights(chosen) if period is None else whole_weights(chosen, period)
 
 
 def mix(
@@ -101,7 +136,7 @@ def mix(
     source: str = "source",
     seed: int = 0,
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
+    period: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """``docs`` mixed by blocks: source_block, epoch, slot and place behind its columns.
@@ -120,8 +155,10 @@ def mix(
     empty.  Equal rows are each placed; of a row repeated beyond a block's
     size the copies are numbered like different rows.
 
-    The names of the sources go through the driver; there may be as many as
-    ``period`` of them.
+    Shares are met exactly, however long the mix is and however many sources
+    there are.  With a ``period`` they are rounded to multiples of its inverse,
+    at least one each, and there may be as many sources as it has slots.  A
+    small weight makes a long mix.  The names of the sources go through the driver.
     """
     names = docs.columns
     block, epoch, slot, place = fresh(names, "source_block", "epoch", "slot", "place")
@@ -131,12 +168,13 @@ def mix(
     rows = marked.select(col(source).cast("string").alias("source"), col(one).alias("one"), col(two).alias("two"))
     rows = written(rows.groupBy("source", "one", "two").agg(F.count("*").alias("copies")), "mix-rows")
     totals = rows.groupBy("source").agg(F.sum("copies").alias("rows"))
-    found = totals.limit(period + 1).collect()
-    if len(found) > period:
+    found = (totals if period is None else totals.limit(period + 1)).collect()
+    if period is not None and len(found) > period:
         raise ValueError(f"more than {period} sources; a longer period is needed")
-    sources = plan({row["source"]: row["rows"] for row in found}, weights, period)
+    counts = {row["source"]: row["rows"] for row in found}
 
-    placed = place_rows(rows, sources, seed=seed, block_rows=block_rows, period=period, bucket_rows=bucket_rows)
+    weights = chosen_weights(counts, weights, period)
+    placed = place_rows(rows, counts, weights, seed=seed, block_rows=block_rows, bucket_rows=bucket_rows)
     placed = placed.select(
         F.col("one").alias(one), F.col("two").alias(two), F.col("block").alias(block),
         F.col("epoch").alias(epoch), F.col("slot").alias(slot), F.col("place").alias(place),
@@ -145,16 +183,17 @@ def mix(
 
 
 def place_rows(
-    rows: DataFrame, sources: list[Source], *, seed: int, block_rows: int, period: int, bucket_rows: int
+    rows: DataFrame, counts: Mapping[str | None, int], weights: Mapping[str | None, int], *, seed: int, block_rows: int, bucket_rows: int
 ) -> DataFrame:
     """Compact rows (source, one, two, copies) -> one row for each place in the mix."""
     spark = rows.sparkSession
-    length = max((s.slot_of(s.blocks(block_rows) - 1, period) + 1 for s in sources), default=0)
-    facts = [
-        (s.name, math.ceil(s.rows / bucket_rows), s.blocks(block_rows), s.placed(length, period), s.weight) for s in sources
-    ]
-    schema = "name string, buckets long, blocks long, wanted long, weight long"
-    facts = F.broadcast(spark.createDataFrame(facts, schema))
+    names = list(weights)
+    blocks = [-(-counts[name] // block_rows) for name in names]
+    slots = slots_table(spark, [weights[name] for name in names], blocks)
+    facts = [(k, name, math.ceil(counts[name] / bucket_rows), blocks[k]) for k, name in enumerate(names)]
+    facts = spark.createDataFrame(facts, "k long, name string, buckets long, blocks long")
+    wanted = slots.groupBy(F.col("k").alias("w")).agg(F.count("*").alias("wanted"))
+    facts = F.broadcast(written(facts.join(wanted, F.col("k") == F.col("w")).drop("w"), "mix-sources"))
     taken = exploded(rows, "copies", "copy").join(facts, F.col("source").eqNullSafe(F.col("name")))
 
     # Each source's rows in hashed buckets of a bounded size; numbers inside a
@@ -174,12 +213,9 @@ def place_rows(
     rounds = F.expr("(wanted - block + blocks - 1) div blocks")
     again = exploded(numbered.withColumn("rounds", rounds).filter("rounds > 0"), "rounds", "epoch")
     again = again.withColumn("turn", F.col("block") + F.col("epoch") * F.col("blocks"))
-    turns = [(s.name, j, slot) for s in sources for j, slot in enumerate(s.slots)]
-    turns = F.broadcast(spark.createDataFrame(turns, "t_name string, t_turn long, t_slot long"))
-    in_period = F.col("turn") % F.col("weight")
-    joined = again.join(turns, F.col("source").eqNullSafe(F.col("t_name")) & (in_period == F.col("t_turn")))
-    slot = F.expr(f"turn div weight * {period}") + F.col("t_slot")
-    return joined.select("source", "one", "two", "block", "epoch", slot.alias("slot"), "place")
+    again = again.withColumnRenamed("k", "a_k").withColumnRenamed("turn", "a_turn")
+    joined = again.join(slots, (F.col("a_k") == F.col("k")) & (F.col("a_turn") == F.col("turn")))
+    return joined.select("source", "one", "two", "block", "epoch", "slot", "place")
 
 
 def ordered(mixed: DataFrame, *, slot: str = "slot", place: str = "place") -> DataFrame:
