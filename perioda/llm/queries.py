@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from perioda.llm import (
     decision_lists,
     decontamination,
+    filter_audit,
+    jaccard_join,
     line_chunks,
     pfair,
     quotations,
     sharding,
     simhash,
+    target_resampling,
     token_counts,
     url_digests,
     wavelet,
@@ -91,10 +94,23 @@ def op10_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return pfair.mix(docs, seed=42)
 
 
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return target_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_decontamination, op3_sharding, op4_quality_rules, op5_quotations, op6_wavelet_files,
-        op7_url_filters, op8_simhash, op9_line_chunks, op10_pfair_mixing,
+        op7_url_filters, op8_simhash, op9_line_chunks, op10_pfair_mixing, op11_jaccard_join, op12_filter_audit,
+        op13_target_resampling,
     )
 }
