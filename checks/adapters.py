@@ -101,6 +101,7 @@ def timed_metrics(spark: SparkSession, folder: str) -> DataFrame:
     units = {event: UNIT_OF_METRIC[metric] for event, metric in METRIC_OF_EVENT.items()}
     return table(spark, folder, "events").select(
         F.expr("user_id % 5 as subject_id"),
+        F.col("event_id").alias("row_id"),
         "ts",
         _choose("event_type", METRIC_OF_EVENT, OTHER_METRIC).alias("metric"),
         _choose("event_type", units, UNIT_OF_METRIC[OTHER_METRIC]).alias("unit"),

@@ -28,14 +28,19 @@ from perioda.sources import (
     html_items,
     load_or_empty,
     merge_into_table,
+    merge_version,
     parse_csv_sections,
     read_csv_sections,
     read_day_documents,
     read_gym_json,
     read_html_tables,
     read_metrics_xml,
+    read_open_activities,
     read_table,
+    read_version,
+    remove_old_versions,
     replace_table,
+    replace_version,
 )
 from perioda.sources.html import number
 from perioda.sources.xml import EXPORT_MEMBER, KEPT_TYPES, TYPE_PREFIX, parse_archives
@@ -563,7 +568,9 @@ ROWS_PER_TEXT = 2000
 def _gym_exports(spark, folder):
     """Export texts of at most ROWS_PER_TEXT logs each, by ranges of the unique row id."""
     # A column that is not read: a doubled quote in every row, and a cell of 100,000 characters in a few.
-    note = F.concat(F.lit('"a ""b"", '), F.when(F.col("row_id") % 4999 == 0, F.repeat(F.lit("x"), 100_000)).otherwise(""), F.lit('"'))
+    # In some rows it goes on over one line end, in some over many.
+    lines = F.when(F.col("row_id") % 7 == 0, F.lit("c,\n,""d""\n")).when(F.col("row_id") % 997 == 0, F.repeat(F.lit("more,\n"), 500))
+    note = F.concat(F.lit('"a ""b"", '), F.coalesce(lines, F.lit("")), F.when(F.col("row_id") % 4999 == 0, F.repeat(F.lit("x"), 100_000)).otherwise(""), F.lit('"'))
     line = F.concat_ws(
         ",", note, F.col("dt").cast("string"), "exercise", F.col("rep_max").cast("string"),
         F.concat(F.lit('"'), F.array_join("sets", ","), F.lit('"')),
@@ -593,7 +600,7 @@ def src_csv_section_lines(spark, folder):
 ROWS_PER_DAY_DOCUMENT = 50
 
 
-def _day_documents(spark, folder, start=None):
+def _day_documents_path(spark, folder, start=None, more=(), nulls="true"):
     """Day payloads as JSON lines: one document per subject, day and range of the unique activity id."""
     workouts, samples = adapters.activities(spark, folder), adapters.pulse_samples(spark, folder)
     if start:
@@ -609,6 +616,7 @@ def _day_documents(spark, folder, start=None):
         F.struct(F.col("activity").alias("typeKey")).alias("activityType"),
         _zone_list().alias("zones"),
         (F.col("activity_id") % 70).cast("int").alias("averageHR"),
+        *more,
     )
     epoch_ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
     sample = F.array(epoch_ms, F.col("hr").cast("bigint"))
@@ -624,8 +632,13 @@ def _day_documents(spark, folder, start=None):
         F.struct(F.struct("heartRateValues").alias("payload")).alias("AllDayHR"),
     )
     path = new_shared_path(spark, "day-documents")
-    days.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("value")).write.text(path)
-    return read_day_documents(spark, path, fields="averageHR int")
+    ignored = {"ignoreNullFields": "false" if nulls == "true" else "true"}
+    days.select(F.to_json(document, ignored).alias("value")).write.text(path)
+    return path
+
+
+def _day_documents(spark, folder, start=None):
+    return read_day_documents(spark, _day_documents_path(spark, folder, start), fields="averageHR int")
 
 
 ACTIVITY_COLUMNS = ["activity_id", "subject_id", "dt", "activity", "distance", "duration"]
@@ -637,6 +650,20 @@ def src_json_activities(spark, folder):
     return found.select(*ACTIVITY_COLUMNS, *schemas.ZONE_SECONDS, F.col("averageHR").alias("average_hr"))
 
 
+@query
+def src_json_undeclared(spark, folder):
+    """Nested fields that no schema names; one of them is in few documents, and nulls are left out."""
+    id_ = F.col("activity_id")
+    weather = F.struct(F.struct((id_ % 13 / 2).alias("speed")).alias("wind"), F.concat(F.lit("sky "), id_ % 3).alias("sky"))
+    gear = F.when(id_ % 1000 < 3, F.struct(F.struct((id_ % 7).alias("number"), F.array(id_ % 5).alias("sizes")).alias("shoe")))
+    path = _day_documents_path(spark, folder, more=[weather.alias("weather"), gear.alias("gear")], nulls="false")
+    found = read_open_activities(spark, path)
+    return found.select(
+        *ACTIVITY_COLUMNS, F.col("`weather.wind.speed`").alias("wind"), F.col("`weather.sky`").alias("sky"),
+        F.col("`gear.shoe.number`").alias("shoe"), F.get("`gear.shoe.sizes`", F.lit(0)).alias("size"),
+    )
+
+
 @query
 def ingest_activities(spark, folder):
     existing = _old(adapters.activities(spark, folder), OLD_DAYS_END).select(*ACTIVITY_COLUMNS)
@@ -644,10 +671,10 @@ def ingest_activities(spark, folder):
     return merged.select(*ACTIVITY_COLUMNS, "secs_zone1", "secs_zone5", *schemas.HEART_ZONE_SECONDS)
 
 
-def _metric_records(spark, folder):
+def _metric_records(spark, folder, *more):
     types = {name.lower(): TYPE_PREFIX + name for name in KEPT_TYPES}
     return adapters.timed_metrics(spark, folder).select(
-        recode(F.col("metric"), types).alias("_type"), F.col("unit").alias("_unit"), F.col("value").alias("_value"),
+        recode(F.col("metric"), types).alias("_type"), F.col("unit").alias("_unit"), F.col("value").alias("_value"), *more,
         F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0100")).alias("_startDate"),
     )
 
@@ -665,6 +692,9 @@ def src_xml_metrics(spark, folder):
     return read_metrics_xml(spark, _metrics_xml(spark, folder)).drop("source")
 
 
+ROWS_PER_ARCHIVE = 2000
+
+
 @query
 def src_xml_metrics_zip(spark, folder):
     """All health samples in zipped exports, each with a long tail behind its last record."""
@@ -689,8 +719,9 @@ def src_xml_metrics_zip(spark, folder):
         *[F.concat(F.lit(f' {name}="'), F.col(column).cast("string"), F.lit('"')) for name, column in attributes.items()],
         F.lit("/>"),
     )
-    rows = _metric_records(spark, folder)
-    number_ = F.pmod(F.xxhash64(*rows.columns), F.lit(64))
+    rows = _metric_records(spark, folder, "row_id")
+    # As many archives as the rows ask for.
+    number_ = F.floor(F.col("row_id") / ROWS_PER_ARCHIVE)
     bodies = rows.groupBy(number_.alias("source")).agg(F.array_join(F.collect_list(record), "\n").alias("body"))
     archives = bodies.select(F.col("source").cast("string").alias("source"), "body").mapInPandas(
         packed, "source string, content binary"
@@ -717,18 +748,25 @@ def src_html_table(spark, folder):
     """Legacy rows laid out as tables on page files of at most ROWS_PER_PAGE rows, then read back.
 
     Every other page leaves out the closing tags, and writes umlauts as entities.
+    Every third one has a first column that spans all its rows, and a note that spans two columns.
     """
     titles = ["Nr", *ingest.LEGACY_COLUMNS]
+    spanned = F.col("page") % 3 == 0
     rows = _legacy_text(spark, folder)
     cells = ["row_id", *ingest.LEGACY_COLUMNS.values()]
     page = F.floor(F.col("row_id") / ROWS_PER_PAGE)
     loose = page % 2 == 1
     cell = lambda c: F.concat(F.lit("<td>"), F.col(c), F.when(loose, "\n").otherwise("</td>"))
-    markup = F.concat(F.lit("<tr>"), *map(cell, cells), F.when(loose, "").otherwise("</tr>\n"))
-    pages = rows.groupBy(page.alias("page")).agg(F.array_join(F.collect_list(markup), "").alias("body"))
-    head = "<tr>" + "".join(f"<th>{title}</th>" for title in titles) + "</tr>"
+    wide = F.when(page % 3 == 0, "<td class=note colspan='2'>x</td>").otherwise("")
+    markup = F.concat(F.lit("<tr>"), cell(cells[0]), wide, *map(cell, cells[1:]), F.when(loose, "").otherwise("</tr>\n"))
+    pages = rows.groupBy(page.alias("page")).agg(F.array_join(F.collect_list(markup), "").alias("body"), F.count("*").alias("n"))
+    heading = "".join(f"<th>{title}</th>" for title in titles)
+    first_row = F.concat(F.lit("<tr><td ROWSPAN="), F.col("n"), F.lit(">log"))
+    pages = pages.withColumn("body", F.when(spanned, F.concat(first_row, F.substring("body", F.lit(5), F.length("body")))).otherwise(F.col("body")))
+    notes = heading.replace("<th>Nr</th>", "<th>Log</th><th>Nr</th><th>Note</th><th>Note 2</th>")
+    head = F.concat(F.lit("<tr>"), F.when(spanned, notes).otherwise(heading), F.lit("</tr>"))
     first = "<html><body><table><tr><td>meny</td></tr></table><table class='log'><tbody>"
-    html = F.concat(F.lit(first + head), "body", F.lit("</tbody></table></body></html>"))
+    html = F.concat(F.lit(first), head, "body", F.lit("</tbody></table></body></html>"))
     escaped = html
     for letter, entity in (("ä", "&auml;"), ("å", "&#229;"), ("ö", "&#xF6;")):
         escaped = F.replace(escaped, F.lit(letter), F.lit(entity))
@@ -762,6 +800,21 @@ def sink_merge_years(spark, folder):
     return _with_sets_text(read_table(spark, path, schemas.GYM))
 
 
+@query
+def sink_versions(spark, folder):
+    """A reader that started before a merge keeps its version; the next one sees the merged one."""
+    path = new_shared_path(spark, "gym-versions")
+    rows = adapters.gym(spark, folder).drop("row_id")
+    replace_version(_old(rows, OLD_END), path, column="dt")
+    replace_version(read_version(spark, path, schemas.GYM), path, column="dt")
+    before = read_version(spark, path, schemas.GYM)
+    merge_version(spark, path, _new(rows, NEW_START), diagonal_merge, schemas.GYM)
+    remove_old_versions(spark, path, keep=2, grace_seconds=0)
+    after = read_version(spark, path, schemas.GYM)
+    both = before.withColumn("version", F.lit(1)).unionByName(after.withColumn("version", F.lit(2)))
+    return _with_sets_text(both)
+
+
 @query
 def load_or_empty_(spark, folder):
     """A table that is there stacked on one that is not."""

@@ -353,6 +353,11 @@ WHERE place = 1"""),
     "src_csv_section_lines": _with(GYM, "SELECT dt, exercise, rep_max, sets_text FROM gym"),
     "src_json_activities": _with(ACTIVITIES, """SELECT activity_id, subject_id, dt, activity, distance, duration,
   secs_zone1, secs_zone2, secs_zone3, secs_zone4, secs_zone5, CAST(activity_id % 70 AS INTEGER) AS average_hr
+  FROM activities"""),
+    "src_json_undeclared": _with(ACTIVITIES, """SELECT activity_id, subject_id, dt, activity, distance, duration,
+  CAST(activity_id % 13 AS DOUBLE) / 2 AS wind, 'sky ' || (activity_id % 3) AS sky,
+  CASE WHEN activity_id % 1000 < 3 THEN activity_id % 7 END AS shoe,
+  CASE WHEN activity_id % 1000 < 3 THEN activity_id % 5 END AS size
   FROM activities"""),
     "src_xml_metrics": _with(METRICS, "SELECT dt, metric, unit, value FROM metrics"),
     "src_xml_metrics_zip": _with(METRICS, "SELECT dt, metric, unit, value FROM metrics"),
@@ -366,6 +371,9 @@ FROM legacy"""),
     "sink_roundtrip": _with(ACTIVITIES, "SELECT activity_id, subject_id, dt, activity, distance FROM activities"),
     "sink_merge_years": _with(GYM, f"""SELECT DISTINCT dt, exercise, rep_max, sets_text FROM gym
 WHERE {OLD_GYM} OR {NEW_GYM}"""),
+    "sink_versions": _with(GYM, f"""SELECT 1 AS version, dt, exercise, rep_max, sets_text FROM gym WHERE {OLD_GYM}
+UNION ALL SELECT 2, dt, exercise, rep_max, sets_text FROM gym WHERE dt < DATE '1998-01-01'
+UNION ALL SELECT DISTINCT 2, dt, exercise, rep_max, sets_text FROM gym WHERE {NEW_GYM}"""),
     "load_or_empty": _with(GYM, "SELECT dt, exercise, rep_max, sets_text FROM gym"),
     "ingest_metrics": _with(METRICS, "SELECT DISTINCT dt, metric, unit, value FROM metrics"),
     "ingest_gym_json": _with(GYM, "SELECT DISTINCT dt, exercise, rep_max, sets_text FROM gym"),

@@ -1,7 +1,9 @@
 from perioda.sources.html import html_items, html_table, read_html_tables
 from perioda.sources.json import day_activities, day_pulse_samples, gym_history, read_day_documents, read_gym_json
+from perioda.sources.open_json import open_activities, read_open_activities
 from perioda.sources.sections import parse_csv_sections, read_csv_sections
 from perioda.sources.tables import load_or_empty, merge_into_table, read_table, replace_table
+from perioda.sources.versions import merge_version, read_version, remove_old_versions, replace_version
 from perioda.sources.xml import read_metrics_xml, read_metrics_zip
 
 __all__ = [
@@ -12,6 +14,8 @@ __all__ = [
     "html_table",
     "load_or_empty",
     "merge_into_table",
+    "merge_version",
+    "open_activities",
     "parse_csv_sections",
     "read_csv_sections",
     "read_day_documents",
@@ -19,6 +23,10 @@ __all__ = [
     "read_html_tables",
     "read_metrics_xml",
     "read_metrics_zip",
+    "read_open_activities",
     "read_table",
+    "read_version",
+    "remove_old_versions",
     "replace_table",
+    "replace_version",
 ]

@@ -13,6 +13,10 @@ _LAST_TABLE = r"(?is)^.*<table\b[^>]*>(.*?)(?:</table\b|\z)"
 _COMMENT = r"(?s)<!--.*?-->"
 _ROW_START = r"(?i)<tr\b[^>]*>"
 _CELL_START = r"(?i)<t[hd]\b[^>]*>"
+_CELL_TAG = r"(?i)<t[hd]\b"
+_SPANS = r"(?i)<t[hd]\b[^>]*\b(row|col)span"
+#: Standard limits of the two spans.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65_534
 _CELL_END = r"(?is)</(?:t[hdr]|thead|tbody|tfoot)\b.*$"
 _ITEM = r'(?is)<li\b[^>]*>\s*<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
 
@@ -55,10 +59,97 @@ def read_html_tables(spark: SparkSession, path: str, columns: Mapping[str, str])
     return html_table(pages, ["source"], "html", columns)
 
 
+def _span(attributes: Column, name: str, limit: int) -> Column:
+    """Value of a span attribute: 1 if there is none, if it is 0, or if it is no number."""
+    found = F.regexp_extract(attributes, rf"""(?i)(?:^|\s){name}\s*=\s*["']?\s*([0-9]+)""", 1)
+    value = F.coalesce(found.try_cast("int"), F.when(found != "", limit), F.lit(1))
+    return F.least(F.greatest(value, F.lit(1)), F.lit(limit))
+
+
+def _spanned_cells(row: Column) -> Column:
+    """(text, down, right) of a row's cells: how many rows and columns each covers."""
+
+    def cell(piece: Column) -> Column:
+        attributes = F.substring_index(piece, ">", 1)
+        body = F.substring(piece, F.length(attributes) + 2, F.length(piece))
+        return F.struct(
+            plain_text(F.regexp_replace(body, _CELL_END, "")).alias("text"),
+            _span(attributes, "rowspan", MAX_ROWSPAN).alias("down"),
+            _span(attributes, "colspan", MAX_COLSPAN).alias("right"),
+        )
+
+    return F.transform(F.filter(F.split(row, _CELL_TAG), lambda _, i: i > 0), cell)
+
+
+_HELD = "array<struct<at: int, text: string, left: int>>"
+
+
+def _laid_out(rows: Column) -> Column:
+    """Rows of cells with spans -> rows of texts, every cell repeated wherever it reaches.
+
+    A fold over the rows.  Its state is the list of cells that reach further
+    down, by column; a row takes from it what belongs before each of its own
+    cells, and the rest at its end.  What reaches beyond the last row makes
+    rows of its own.
+    """
+    none = F.array().cast(_HELD)
+
+    def take(line: Column, cell: Column | None) -> Column:
+        """Cells from above whose turn it is, then ``cell`` as often as it is wide."""
+        at = F.size(line["texts"])
+        if cell is None:
+            due = line["above"]
+        else:
+            late = F.transform(line["above"], lambda held, i: held["at"] - i > at)
+            first = F.array_position(late, F.lit(True)).cast("int")
+            due = F.when(first > 0, F.slice(line["above"], 1, first - 1)).otherwise(line["above"])
+        taken = F.struct(
+            F.concat(line["texts"], F.transform(due, lambda held: held["text"])).alias("texts"),
+            F.slice(line["above"], F.size(due) + 1, F.size(line["above"])).alias("above"),
+            F.concat(line["below"], _reaching(due, at)).alias("below"),
+        )
+        return taken
+
+    def _reaching(due: Column, at: Column) -> Column:
+        moved = F.transform(
+            due, lambda held, i: F.struct((at + i).cast("int").alias("at"), held["text"].alias("text"), (held["left"] - 1).alias("left"))
+        )
+        return F.filter(moved, lambda held: held["left"] > 0)
+
+    def put(line: Column, cell: Column) -> Column:
+        at = F.size(line["texts"])
+        own = F.transform(
+            F.sequence(F.lit(0), cell["right"] - 1),
+            lambda i: F.struct((at + i).cast("int").alias("at"), cell["text"].alias("text"), (cell["down"] - 1).alias("left")),
+        )
+        return F.struct(
+            F.concat(line["texts"], F.array_repeat(cell["text"], cell["right"])).alias("texts"),
+            line["above"].alias("above"),
+            F.concat(line["below"], F.filter(own, lambda held: held["left"] > 0)).alias("below"),
+        )
+
+    def lay(state: Column, row: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("texts"), state["held"].alias("above"), none.alias("below"))
+        line = F.aggregate(row, start, lambda line, cell: put(take(line, cell), cell), lambda line: take(line, None))
+        return F.struct(F.concat(state["rows"], F.array(line["texts"])).alias("rows"), line["below"].alias("held"))
+
+    def rest(state: Column) -> Column:
+        longest = F.coalesce(F.array_max(F.transform(state["held"], lambda held: held["left"])), F.lit(0))
+        steps = F.when(longest > 0, F.sequence(F.lit(1), longest)).otherwise(F.array().cast("array<int>"))
+        behind = F.transform(
+            steps, lambda k: F.transform(F.filter(state["held"], lambda held: held["left"] >= k), lambda held: held["text"])
+        )
+        return F.concat(state["rows"], behind)
+
+    empty = F.struct(F.array().cast("array<array<string>>").alias("rows"), none.alias("held"))
+    return F.aggregate(rows, empty, lay, rest)
+
+
 def html_table(pages: DataFrame, ids: Sequence[str], html: str, columns: Mapping[str, str]) -> DataFrame:
     """Rows of the last table on each page, all columns as text.
 
-    The first row holds the headings; rows without a cell don't count.  A
+    The first row holds the headings; rows without a cell don't count.  A cell
+    that spans rows or columns stands in each of them.  A
     page without a table, or with an empty one, gives no rows; a table that
     shows something in which no row can be read, or without one of the
     headings, raises.
@@ -68,7 +159,10 @@ def html_table(pages: DataFrame, ids: Sequence[str], html: str, columns: Mapping
     cells_of = lambda row: F.transform(
         behind_first(F.split(row, _CELL_START)), lambda cell: plain_text(F.regexp_replace(cell, _CELL_END, ""))
     )
-    found = F.filter(F.transform(F.split(table, _ROW_START), cells_of), lambda cells: F.size(cells) > 0)
+    simple = F.filter(F.transform(F.split(table, _ROW_START), cells_of), lambda cells: F.size(cells) > 0)
+    spanned = F.filter(F.transform(F.split(table, _ROW_START), _spanned_cells), lambda cells: F.size(cells) > 0)
+    # Only tables with spans go through the fold.
+    found = F.when(table.rlike(_SPANS), _laid_out(spanned)).otherwise(simple)
     shown = F.regexp_replace(table, r"(?s)<[^>]*>|\s", "") != ""
     unread = F.col(html).rlike(_TABLE) & ~table.rlike(_CELL_START) & shown
     rows = F.when(unread, F.raise_error(F.lit("a table in which no row can be read"))).otherwise(found)

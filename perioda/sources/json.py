@@ -76,22 +76,27 @@ def day_activities(documents: DataFrame) -> DataFrame:
         F.col("ActivitiesForDay.payload").alias("payload"),
     )
     payload = days.select("subject_id", "has_pulse", F.explode("payload").alias("a"))
-    start = F.col("a.startTimeLocal").cast("timestamp_ntz")
-    return payload.select(
-        F.col("a.activityId").alias("activity_id"),
-        "subject_id",
-        start.alias("dt"),
-        F.to_date(start).alias("day"),
-        F.col("a.activityType.typeKey").alias("activity"),
-        F.col("a.activityName").alias("activity_name"),
-        F.col("a.distance").alias("distance"),
-        F.col("a.duration").alias("duration"),
-        F.col("a.calories").alias("calories"),
-        F.col("a.steps").alias("steps"),
-        *[column.alias(name) for name, column in zone_columns(F.col("a.zones")).items()],
-        *[F.col("a")[name].alias(name) for name in further_fields(documents)],
-        "has_pulse",
-    )
+    more = {name: F.col("a")[name] for name in further_fields(documents)}
+    return payload.select(*[value.alias(name) for name, value in activity_columns(F.col("a"), more)], "has_pulse")
+
+
+def activity_columns(activity: Column, more: dict[str, Column]) -> list[tuple[str, Column]]:
+    """Names and values of the columns of an activity, from its payload struct."""
+    start = activity["startTimeLocal"].cast("timestamp_ntz")
+    return [
+        ("activity_id", activity["activityId"]),
+        ("subject_id", F.col("subject_id")),
+        ("dt", start),
+        ("day", F.to_date(start)),
+        ("activity", activity["activityType"]["typeKey"]),
+        ("activity_name", activity["activityName"]),
+        ("distance", activity["distance"]),
+        ("duration", activity["duration"]),
+        ("calories", activity["calories"]),
+        ("steps", activity["steps"]),
+        *zone_columns(activity["zones"]).items(),
+        *more.items(),
+    ]
 
 
 def day_pulse_samples(documents: DataFrame, time_zone: str = "UTC") -> DataFrame:

@@ -2,14 +2,15 @@
 
 The section starts after a line that contains the marker and one more line,
 has a CSV heading, and ends at a line that starts with ``#`` or has at most
-one character, or at the end of the text.
+one character, or at the end of the text.  A quoted cell may go on over line
+ends; the heading may not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from perioda.operators.ordered import MAX_BROADCAST_BYTES
 from perioda.sources.html import named_cell
@@ -21,8 +22,8 @@ LOG_COLUMNS = {"mydate": "dt", "ename": "exercise", "record": "rep_max", "logs":
 MAX_TEXT_BYTES = 64 << 20
 # What the lines of a text end with; the line reader of large files ends them alike.
 _LINE_END = r"\r\n|\r|\n"
-# Stands for a comma between cells while the cells are cut; no text has it.
-_CUT = "\x00"
+# Stand for a comma between cells and a line end between records while they are cut; no text has them.
+_CUT, _NEXT = "\x00", "\x01"
 
 
 def read_csv_sections(
@@ -33,7 +34,8 @@ def read_csv_sections(
     Files up to ``max_text_bytes`` are each one row; larger ones are read
     line by line in splits, so no file has to fit a task.  Which there are is
     known from the listing, without reading any.  Both ways end lines alike,
-    and both refuse a cell whose quotes run over the end of its line.
+    and in both a quoted cell may hold line ends, which come out as ``\\n``.  A
+    quote that is still open where its section ends raises.
     """
     size = F.col("_metadata.file_size")
     source = F.col("_metadata.file_path").alias("source")
@@ -50,7 +52,7 @@ def read_csv_sections(
     lines = spark.read.text(path).filter(size > max_text_bytes)
     lines = lines.select(source, place.alias("place"), F.col("value").alias("line"))
     section = _section_of_lines(lines, found["bytes"] <= MAX_BROADCAST_BYTES)
-    return small.unionByName(_fields(section, ["source"], on_error))
+    return small.unionByName(_fields(_joined_records(section), ["source"], on_error))
 
 
 def parse_csv_sections(texts: DataFrame, ids: Sequence[str], text: str, *, on_error: str = "raise") -> DataFrame:
@@ -65,9 +67,8 @@ def parse_csv_sections(texts: DataFrame, ids: Sequence[str], text: str, *, on_er
     inside = F.when(end > 0, F.slice("body", 1, (end - 1).cast("int"))).otherwise(F.col("body"))
     section = body.select(*ids, inside.alias("section"))
     # The heading is taken before the lines are spread, or each line would carry its whole section.
-    headed = section.select(
-        *ids, csv_cells(F.get("section", 0)).alias("head"), F.slice("section", 2, F.size("section")).alias("lines")
-    )
+    body = _records_of(F.slice("section", 2, F.size("section")))
+    headed = section.select(*ids, csv_cells(F.get("section", 0)).alias("head"), body.alias("lines"))
     rows = headed.select(*ids, "head", F.explode_outer("lines").alias("line")).filter(F.col("line").isNotNull())
     return _fields(rows, ids, on_error)
 
@@ -103,14 +104,71 @@ def _section_of_lines(lines: DataFrame, few: bool) -> DataFrame:
     inside = inside.filter(
         (F.col("place") > F.col("__head")) & (F.col("__end").isNull() | (F.col("place") < F.col("__end")))
     )
-    return inside.select("source", "head", "line")
+    return inside.select("source", "head", "place", "line")
+
+
+def _odd_quotes(line: Column) -> Column:
+    """1 if the line opens a quote without closing it, or the other way round."""
+    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2
+
+
+def _records_of(lines: Column) -> Column:
+    """Lines of one text -> records: a line end between quotes is part of a cell."""
+    outside = lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit("\n"), F.lit(_NEXT))).otherwise(part)
+    text = F.array_join(lines, "\n")
+    records = F.split(F.array_join(F.transform(F.split(text, '"'), outside), '"'), _NEXT)
+    open_ = F.aggregate(lines, F.lit(0), lambda n, line: (n + _odd_quotes(line)) % 2) == 1
+    joined = F.when(open_, F.raise_error(F.lit("a quoted cell is not closed in its section"))).otherwise(records)
+    # Most texts have no such line; those stay as they are.
+    return F.when(F.exists(lines, lambda line: _odd_quotes(line) == 1), joined).otherwise(lines)
+
+
+def _joined_records(section: DataFrame) -> DataFrame:
+    """(source, head, line) from (source, head, place, line), lines of one record joined.
+
+    Whether a line starts inside quotes depends on all lines before it.  Each
+    split of a file is looked at by itself: it notes how many records start
+    in it, both for a start outside and for one inside quotes, and whether it
+    changes the state.  These notes, one a split, are composed in the order
+    of the splits; then every split numbers its records from the right state.
+    Only lines of records with several lines are moved.
+    """
+    lines = section.select("source", "head", F.col("place.start").alias("start"), F.col("place.row").alias("row"), "line")
+    lines = lines.withColumn("odd", _odd_quotes(F.col("line")))
+    if lines.filter("odd = 1").isEmpty():
+        return section.select("source", "head", "line")
+    split = Window.partitionBy("source", "start").orderBy("row")
+    before = split.rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("inside", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
+    notes = lines.groupBy("source", "start").agg(
+        (F.sum("odd") % 2).alias("turns"), F.count_if(F.col("inside") == 0).alias("from_outside"), F.count_if(F.col("inside") == 1).alias("from_inside")
+    )
+    scan = Window.partitionBy("source").orderBy("start")
+    earlier = scan.rowsBetween(Window.unboundedPreceding, -1)
+    notes = notes.withColumn("state", F.coalesce(F.sum("turns").over(earlier), F.lit(0)) % 2)
+    starts = F.when(F.col("state") == 0, F.col("from_outside")).otherwise(F.col("from_inside"))
+    notes = notes.withColumn("base", F.coalesce(F.sum(starts).over(earlier), F.lit(0)))
+    notes = notes.withColumn("end", (F.col("state") + F.col("turns")) % 2)
+    open_ = notes.groupBy("source").agg(F.max_by("end", "start").alias("end")).filter("end = 1").first()
+    if open_:
+        raise ValueError(f"a quoted cell is not closed in its section: {open_['source']}")
+    notes = notes.select(F.col("source").alias("of"), F.col("start").alias("at"), "state", "base")
+    lines = lines.join(notes, (F.col("source") == F.col("of")) & (F.col("start") == F.col("at")))
+    lines = lines.withColumn("inside", (F.col("inside") + F.col("state")) % 2)
+    lines = lines.withColumn("record", F.col("base") + F.sum(1 - F.col("inside")).over(split))
+    several = (F.col("inside") == 1) | (F.col("odd") == 1)
+    parts = lines.filter(several).groupBy("source", "record").agg(
+        F.any_value("head").alias("head"), F.array_sort(F.collect_list(F.struct("start", "row", "line"))).alias("parts")
+    )
+    joined = parts.select("source", "head", F.array_join("parts.line", "\n").alias("line"))
+    return lines.filter(~several).select("source", "head", "line").unionByName(joined)
 
 
 def csv_cells(line: Column) -> Column:
     """Cells of a CSV line; quotes are resolved, an empty cell is null.
 
-    Between an even number of quotes a comma ends a cell.  A line with an odd
-    number of them has a cell that goes on in the next line; it raises.
+    Between an even number of quotes a comma ends a cell.  A record with an odd
+    number of them is not whole; it raises.
     """
     parts = F.split(line, '"')
     outside = lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit(","), F.lit(_CUT))).otherwise(part)
