@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 import perioda
 
@@ -67,6 +67,36 @@ def utf8(name: str) -> Column:
     return as_text(name).cast("binary")
 
 
+def told_apart(value: Column, kind: T.DataType) -> Column:
+    """``value`` in a form that hashes and orders can take and that keeps all differences.
+
+    Hashes skip nulls at every depth and take -0.0 for 0.0, and neither they
+    nor orders take maps.  So nulls are marked wherever they can be, arrays
+    come with their size, floating numbers also as text, and maps as their
+    entries, in the order they have.
+    """
+    null = value.isNull().alias("null")
+    if isinstance(kind, T.ArrayType):
+        return F.struct(null, F.size(value).alias("size"), F.transform(value, lambda x: told_apart(x, kind.elementType)).alias("of"))
+    if isinstance(kind, T.StructType):
+        fields = [told_apart(value.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind)]
+        return F.struct(null, *fields)
+    if isinstance(kind, T.MapType):
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        return told_apart(F.map_entries(value), T.ArrayType(entry))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.struct(null, value.alias("value"), value.cast("string").alias("text"))
+    if isinstance(kind, T.VariantType):
+        return F.struct(null, value.cast("string").alias("value"))
+    return F.struct(null, value.alias("value"))
+
+
+def row_marks(df: DataFrame) -> tuple[Column, Column]:
+    """Two hashes over all columns of a row that only equal rows share."""
+    every = [told_apart(col(f.name), f.dataType) for f in df.schema]
+    return F.xxhash64(*every), F.xxhash64(F.lit(1), *every)
+
+
 def exploded(df: DataFrame, count: str, index: str, step: int = 4096) -> DataFrame:
     """Each row ``count`` times, numbered from 0 in ``index``.
 

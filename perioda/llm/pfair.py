@@ -17,7 +17,7 @@ from fractions import Fraction
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from perioda.llm.common import col, exploded, fresh, ship_package
+from perioda.llm.common import col, exploded, fresh, row_marks, ship_package
 from perioda.llm.sharding import add_offsets
 from perioda.session import written
 
@@ -152,7 +152,8 @@ def mix(
     counts to the power TEMPER.  A null source is a source like others.  A
     source without a weight has target 0 and is not in the mix; a weight
     without rows is left out before weights are scaled.  An empty table stays
-    empty.  Equal rows are each placed; of a row repeated beyond a block's
+    empty.  Columns may be of any type, maps included; rows that differ
+    anywhere, if only by a null inside a value, are different rows.  Equal rows are each placed; of a row repeated beyond a block's
     size the copies are numbered like different rows.
 
     Shares are met exactly, however long the mix is and however many sources
@@ -163,8 +164,7 @@ def mix(
     names = docs.columns
     block, epoch, slot, place = fresh(names, "source_block", "epoch", "slot", "place")
     one, two = fresh([*names, block, epoch, slot, place], "__one", "__two")
-    every = [*[col(c).isNull() for c in names], *map(col, names)]
-    marked = docs.withColumns({one: F.xxhash64(*every), two: F.xxhash64(F.lit(1), *every)})
+    marked = docs.withColumns(dict(zip((one, two), row_marks(docs))))
     rows = marked.select(col(source).cast("string").alias("source"), col(one).alias("one"), col(two).alias("two"))
     rows = written(rows.groupBy("source", "one", "two").agg(F.count("*").alias("copies")), "mix-rows")
     totals = rows.groupBy("source").agg(F.sum("copies").alias("rows"))

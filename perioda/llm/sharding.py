@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from perioda.llm.common import as_text, col, exploded, fresh
+from perioda.llm.common import as_text, col, exploded, fresh, row_marks
 from perioda.session import written
 
 #: What a bucket may hold: bytes of the records, and rows.
@@ -96,15 +96,14 @@ def assign(docs: DataFrame, n_shards: int = 16, *, doc_id: str = "doc_id", text:
 def shard_rows(docs: DataFrame, n_shards: int = 16, *, text: str = "text", **options) -> DataFrame:
     """``docs``, all columns, with shard and slot.
 
-    Rows are told apart by two hashes over all columns; equal rows get as many
-    places as there are of them.  A column of ``docs`` with one of the new
+    Rows are told apart by two hashes over all columns, nulls marked at every
+    depth; columns of any type will do, maps included, whose entries count in
+    their order.  Equal rows get as many places as there are of them.  A column of ``docs`` with one of the new
     names keeps it, and the new one gets an underscore.
     """
     shard, slot = fresh(docs.columns, "shard", "slot")
     one, two = fresh([*docs.columns, shard, slot], "__one", "__two")
-    # Hashes leave nulls out, so it is said apart where they are.
-    every = [*[col(c).isNull() for c in docs.columns], *map(col, docs.columns)]
-    marked = docs.withColumns({one: F.xxhash64(*every), two: F.xxhash64(F.lit(1), *every)})
+    marked = docs.withColumns(dict(zip((one, two), row_marks(docs))))
     rows = marked.select(
         col(one).alias("one"), col(two).alias("two"), (F.octet_length(as_text(text)).cast("long") + 1).alias("size")
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from perioda.llm.common import arrow_function, col, fresh, utf8
+from perioda.llm.common import arrow_function, col, fresh, told_apart, utf8
 from perioda.llm.components import component_labels
 from perioda.llm.golay import nearby_indices
 from perioda.session import written
@@ -224,24 +224,26 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     Classes are told apart by their label, not by an id, so rows without an id
     or with the same id but in different classes are not mixed up.  Of several
     rows of a class with its smallest id (null last), the one with the smallest
-    text, then the smallest other columns, stays.
+    text, then the smallest other columns (of any type, maps by their entries), stays.
     """
-    print_, label = fresh(docs.columns, "__print", "__label")
+    print_, found, label = fresh(docs.columns, "__print", "__found", "__label")
     shingle_words = options.get("shingle_words", SHINGLE_WORDS)
-    named = _named(docs, doc_id=doc_id, text=text, **options).select(F.col("fp").alias("f"), F.col("label").alias(label))
+    named = _named(docs, doc_id=doc_id, text=text, **options).select(F.col("fp").alias(found), F.col("label").alias(label))
     marked = docs.withColumn(print_, fingerprints(text, shingle_words))
-    marked = marked.join(named, col(print_) == F.col("f")).select(*map(col, docs.columns), col(label))
+    marked = marked.join(named, col(print_) == col(found)).select(*map(col, docs.columns), col(label))
     return one_row_a_class(marked, label, doc_id=doc_id, text=text)
 
 
 def one_row_a_class(marked: DataFrame, label: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of each label with the smallest id (null last), text and other columns; the label goes."""
     names = [c for c in marked.columns if c != label]
+    kinds = {f.name: f.dataType for f in marked.schema}
     of, low, row = fresh(marked.columns, "__of", "__low", "__row")
     lowest = marked.groupBy(col(label).alias(of)).agg(F.min(col(doc_id)).alias(low))
     # Before texts are compared, so that few of them are moved; ids in the key spread a large class.
     near = marked.join(lowest, (col(label) == col(of)) & col(doc_id).eqNullSafe(col(low)), "left_semi")
-    first = [col(text), *[col(c) for c in names if c not in (text, doc_id)]]
-    whole = F.struct(*[part.alias(f"c{i}") for i, part in enumerate(first)], *[col(c).alias(f"o{i}") for i, c in enumerate(names)])
-    picked = near.groupBy(col(label)).agg(F.min(whole).alias(row))
+    first = [text, *[c for c in names if c not in (text, doc_id)]]
+    order = F.struct(*[told_apart(col(c), kinds[c]).alias(f"c{i}") for i, c in enumerate(first)])
+    whole = F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(names)])
+    picked = near.groupBy(col(label)).agg(F.min_by(whole, order).alias(row))
     return picked.select(*[col(row)[f"o{i}"].alias(c) for i, c in enumerate(names)])
