@@ -1,5 +1,6 @@
 """The file format round trips, and answers like a list of tokens."""
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -92,3 +93,14 @@ def test_whole_table(spark, tokenizer):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     found = sorted((tuple(r) for r in wv.round_trip(docs, PATH).collect()), key=lambda r: r[1])
     assert found == expected(rows, tokenizer)
+
+
+def test_letters_with_marks(tokenizer):
+    """Some letters have a composed form as small letters only."""
+    marks = [chr(c) for c in range(0x300, 0x110000) if unicodedata.category(chr(c)) in ("Mn", "Mc", "Me")]
+    texts = [f"{letter}{mark}ello" for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for mark in marks]
+    pieces = wv.PieceIds(open(PATH, encoding="utf-8").read())
+    ids, ends = pieces.of_texts(pa.array(texts))
+    found = np.split(ids, ends[:-1])
+    wrong = [t for t, own, e in zip(texts, found, tokenizer.encode_batch(texts, add_special_tokens=False)) if own.tolist() != e.ids]
+    assert not wrong
