@@ -96,17 +96,16 @@ def _roots(parents: DataFrame) -> DataFrame:
     found = written(parents.select("node", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), "replies")
     while True:
         above = found.select(F.col("node").alias("root"), F.col("root").alias("top"), F.col("depth").alias("more"))
-        joined = found.join(above, "root", "left")
-        if joined.filter("top is not null").isEmpty():
-            return found
-        found = written(
-            joined.select(
-                "node",
-                F.coalesce("top", "root").alias("root"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-            ),
-            "replies",
+        joined = found.join(above, "root", "left").select(
+            "node",
+            F.coalesce("top", "root").alias("root"),
+            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+            F.col("top").isNotNull().alias("moved"),
         )
+        joined = written(joined, "replies")
+        found = joined.drop("moved")
+        if joined.filter("moved").isEmpty():
+            return found
 
 
 def link(messages: DataFrame, *, scope: Sequence[str] = (), order: str, text: str = "text") -> DataFrame:
@@ -168,13 +167,17 @@ def link(messages: DataFrame, *, scope: Sequence[str] = (), order: str, text: st
 
 
 def with_quotes(turns: DataFrame, *, scope: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
-    """``turns`` as mail programs send them: behind each text the two before it, quoted once and twice."""
-    before = turns.groupBy(col(scope).alias("__s"), col(order).alias("__o")).agg(F.min(col(text)).alias("__t"))
-    mailed, parts = turns, [as_text(text)]
-    for level in (1, 2):
-        s, o, t = f"__s{level}", f"__o{level}", f"__t{level}"
-        back = before.select(F.col("__s").alias(s), (F.col("__o") + level).alias(o), F.col("__t").alias(t))
-        mailed = mailed.join(back, (col(scope) == F.col(s)) & (col(order) == F.col(o)), "left").drop(s, o)
-        parts.append(F.regexp_replace(t, "(?dm)^", ">" * level + " "))
-    mailed = mailed.withColumn("__mail", F.concat_ws("\n", *parts))
-    return mailed.select(*[F.col("__mail").alias(c) if c == text else col(c) for c in turns.columns])
+    """``turns`` as mail programs send them: behind each text the two before it, quoted once and twice.
+
+    Of several texts at one place of a conversation, the smallest is the one that later mails quote.
+    """
+    s, o, t, mail, *quoted = fresh(turns.columns, "__s", "__o", "__t", "__mail", "__t1", "__t2")
+    before = turns.groupBy(col(scope).alias(s), col(order).alias(o)).agg(F.min(col(text)).alias(t))
+    # Each text goes to the two places behind it, so one join brings both.
+    levels = F.explode(F.array(F.lit(1), F.lit(2)))
+    back = before.withColumn(mail, levels).groupBy(col(s), (col(o) + col(mail)).alias(o))
+    back = back.agg(*[F.max(F.when(col(mail) == k, col(t))).alias(q) for k, q in enumerate(quoted, 1)])
+    mailed = turns.join(back, (col(scope) == col(s)) & (col(order) == col(o)), "left")
+    parts = [as_text(text), *[F.regexp_replace(col(q), "(?dm)^", ">" * k + " ") for k, q in enumerate(quoted, 1)]]
+    mailed = mailed.withColumn(mail, F.concat_ws("\n", *parts))
+    return mailed.select(*[col(mail).alias(c) if c == text else col(c) for c in turns.columns])

@@ -201,6 +201,7 @@ def _by_join(parts: DataFrame, known: DataFrame, host: str, path: str, state: st
         .agg(F.max_by(F.struct(F.concat("host", "path").alias("rule"), "blocked"), F.struct(size, F.length("host"))).alias("j"))
         .select("h", "p", F.col("j").alias(state))
     )
-    best = best.withColumnsRenamed({"h": "__h", "p": "__p"})
-    joined = parts.join(best, (col(host) == F.col("__h")) & (col(path) == F.col("__p")), "left")
-    return joined.drop("__h", "__p")
+    h, p = fresh([*parts.columns, state], "__h", "__p")
+    best = best.withColumnsRenamed({"h": h, "p": p})
+    joined = parts.join(best, (col(host) == col(h)) & (col(path) == col(p)), "left")
+    return joined.drop(h, p)
