@@ -92,7 +92,9 @@ def _least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _sets(text: str, shingle_words: int) -> Column:
+def sets(text: str = "text", shingle_words: int = SHINGLE_WORDS) -> Column:
+    """Size and number of a text column's sets."""
+
     @arrow_function("struct<n: long, node: long>")
     def found(texts: pa.Array) -> pa.Array:
         own = [tokens_of(v.as_py(), shingle_words) for v in texts]
@@ -165,7 +167,7 @@ def _cut(parts: int, shingle_words: int):
 
 
 def _shared_in_part(rows: list[tuple[bytes, bytes, bytes, bytes]]) -> pa.RecordBatch:
-    """(node, n, tokens, counts): the tokens of a part that several sets hold, and how many do."""
+    """(node, token, size of the set and sets that hold the token in one number), for the tokens of several sets."""
     tokens, nodes, sizes = [], [], []
     for piece, owners, held, lengths in rows:
         place = _bytes_together(owners, ">u4")
@@ -184,18 +186,9 @@ def _shared_in_part(rows: list[tuple[bytes, bytes, bytes, bytes]]) -> pa.RecordB
     counts = np.repeat(counts, counts)
     kept = counts > 1
     tokens, nodes, sizes, counts = tokens[kept], nodes[kept], sizes[kept], counts[kept]
-    order = np.argsort(nodes, kind="stable")
-    tokens, nodes, sizes, counts = tokens[order], nodes[order], sizes[order], counts[order]
-    starts = np.flatnonzero(np.diff(nodes, prepend=~nodes[:1]))
-    ends = pa.array(np.append(starts, len(nodes)).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(nodes[starts]), pa.array(sizes[starts]),
-            pa.ListArray.from_arrays(ends, pa.array(tokens.view(np.int64))),
-            pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32))),
-        ],
-        ["node", "n", "tokens", "counts"],
-    )
+    packed = (sizes.astype(np.int64) << 32) | counts
+    columns = [pa.array(nodes), pa.array(tokens.view(np.int64)), pa.array(packed)]
+    return pa.RecordBatch.from_arrays(columns, ["node", "token", "packed"])
 
 
 def _joined_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +207,7 @@ def _joined_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def shared_tokens(docs: DataFrame, *, text: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(node, n, tokens, counts) of every distinct set: its size, and its tokens that other sets hold too.
+    """(node, n, tokens, counts) of every distinct set that shares some: its size, and its tokens that other sets hold too.
 
     Every token of every set goes to its part of the token space, packed; no
     row is larger than ``FLUSH_TOKENS`` allow, and a part holds about
@@ -227,10 +220,13 @@ def shared_tokens(docs: DataFrame, *, text: str = "text", shingle_words: int = S
     size = docs.agg(F.sum(F.octet_length(utf8(text)))).first()[0] or 0
     parts = max(1, math.ceil(size / PART_BYTES))
     pieces = docs.select(utf8(text).alias("text")).mapInArrow(_cut(parts, shingle_words), _PIECES)
-    pieces = pieces.repartition(min(parts, MAX_TASKS), "part").sortWithinPartitions("part")
-    found = pieces.mapInArrow(_joined_parts, "node long, n int, tokens array<long>, counts array<int>")
-    return found.groupBy("node").agg(
-        F.max("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("counts")).alias("counts")
+    tasks = min(parts, MAX_TASKS)
+    pieces = pieces.repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part")
+    found = pieces.mapInArrow(_joined_parts, "node long, token long, packed long")
+    gathered = found.groupBy("node").agg(F.max("packed").alias("most"), F.collect_list(F.struct("token", "packed")).alias("held"))
+    return gathered.select(
+        "node", F.shiftright("most", 32).cast("int").alias("n"), F.col("held.token").alias("tokens"),
+        F.transform("held.packed", lambda p: p.bitwiseAND(0x7FFFFFFF).cast("int")).alias("counts"),
     )
 
 
@@ -398,7 +394,7 @@ def _proposed(percent: int, mode: str):
     return proposed("block")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
+def _verified(pairs: DataFrame, open_: DataFrame, percent: int, label: str) -> DataFrame:
     """The pairs (a, b) whose similarity is reached, by their tokens."""
 
     @arrow_function("boolean")
@@ -407,8 +403,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, label: str) -> Da
         sizes = n.to_numpy().astype(np.int64) + m.to_numpy()
         return pa.array((100 + percent) * np.array(common, np.int64) >= percent * sizes)
 
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
+    one = open_.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("tokens").alias("a_tokens"))
+    two = open_.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = pairs.join(one, "a").join(two, "b")
     return written(both.filter(similar("a_tokens", "b_tokens", "a_n", "b_n")).select("a", "b"), label)
@@ -445,6 +441,30 @@ def _blocks(groups: DataFrame, facts: DataFrame, labels: DataFrame, block: int)
     return rows.agg(F.collect_list(F.struct("node", "label", "side", "n", "shared", "bits")).alias("block"))
 
 
+def set_labels(
+    docs: DataFrame, *, text: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, cluster: int = CLUSTER, block: int = BLOCK
+) -> DataFrame:
+    """(node, label) of the sets that are linked with others; equal labels where links connect them."""
+    if not 50 <= percent <= 100:
+        raise ValueError("the index is made for similarities of 50 to 100 hundredths")
+    # Sets whose prefix is full of tokens of their own have no partner.
+    need = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    open_ = shared_tokens(docs, text=text, shingle_words=shingle_words)
+    open_ = written(open_.filter(F.col("n") - F.size("tokens") < need), "join-open")
+    indexed = open_.select("node", "n", F.size("tokens").alias("shared"), _indexed(percent).alias("x"))
+    indexed = written(indexed.select("node", "n", "shared", "x.entries", "x.bits"), "join-indexed")
+    groups = _groups(indexed.select("node", F.explode("entries").alias("entry")), cluster)
+    facts = indexed.select("node", "n", "shared", "bits")
+
+    links, labels = None, groups.select("node", F.col("node").alias("label")).limit(0)
+    for mode in ("forest", "closest", "all"):
+        pairs = _blocks(groups, facts, labels, block).select(F.explode(_proposed(percent, mode)).alias("l")).select("l.a", "l.b")
+        new = _verified(pairs, open_, percent, f"join-{mode}")
+        links = new if links is None else links.unionByName(new)
+        labels = component_labels(links)
+    return labels
+
+
 def classes(
     docs: DataFrame,
     *,
@@ -467,26 +487,10 @@ def classes(
     A pair is found for certain, as prefixes lose none; sets are known by
     64-bit hashes, and so are shingles.
     """
-    if not 50 <= percent <= 100:
-        raise ValueError("the index is made for similarities of 50 to 100 hundredths")
-    rows = docs.select(col(doc_id).alias("doc_id"), _sets(text, shingle_words).alias("set"))
+    rows = docs.select(col(doc_id).alias("doc_id"), sets(text, shingle_words).alias("set"))
     rows = written(rows.select("doc_id", "set.n", "set.node"), "join-rows")
 
-    # Sets whose prefix is full of tokens of their own have no partner.
-    need = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
-    open_ = shared_tokens(docs, text=text, shingle_words=shingle_words)
-    open_ = written(open_.filter(F.col("n") - F.size("tokens") < need), "join-open")
-    indexed = open_.select("node", "n", F.size("tokens").alias("shared"), _indexed(percent).alias("x"))
-    indexed = written(indexed.select("node", "n", "shared", "x.entries", "x.bits"), "join-indexed")
-    groups = _groups(indexed.select("node", F.explode("entries").alias("entry")), cluster)
-    facts = indexed.select("node", "n", "shared", "bits")
-
-    links, labels = None, groups.select("node", F.col("node").alias("label")).limit(0)
-    for mode in ("forest", "closest", "all"):
-        pairs = _blocks(groups, facts, labels, block).select(F.explode(_proposed(percent, mode)).alias("l")).select("l.a", "l.b")
-        new = _verified(pairs, open_, percent, f"join-{mode}")
-        links = new if links is None else links.unionByName(new)
-        labels = component_labels(links)
+    labels = set_labels(docs, text=text, shingle_words=shingle_words, percent=percent, cluster=cluster, block=block)
 
     named = rows.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
