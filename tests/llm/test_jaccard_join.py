@@ -1,0 +1,119 @@
+"""Components against the Jaccard similarity of all pairs, and the index against its promise."""
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from perioda.llm import jaccard_join as jj
+
+
+def shingles(text, words=4):
+    own = (text or "").translate({c: c + 32 for c in range(65, 91)}).split()
+    return {tuple(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+
+def brute(rows, percent=85):
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    lowest = {}
+    for k, (i, _) in enumerate(rows):
+        held = lowest.get(find(k))
+        lowest[find(k)] = i if held is None else held if i is None else min(i, held)
+    return sorted(((i, len(sets[k]), lowest[find(k)]) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+def edited(words, places, rng):
+    words = list(words)
+    for at in rng.sample(range(len(words)), places):
+        words[at] = f"new{rng.random()}"
+    return " ".join(words)
+
+
+def planted():
+    rng = random.Random(5)
+    rows = ["", " \t", None, "one", "One", "two words", "a b c", "a b c d", "A b c d", "a b c d e"]
+    for _ in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(5, 400))]
+        rows += [edited(words, min(places, len(words)), rng) for places in (0, 0, 1, len(words) // 60, len(words) // 40)]
+    # A loose group of near copies, and a passage in many texts of all lengths.
+    words = [f"v{k}" for k in range(220)]
+    rows += [edited(words, rng.randrange(9), rng) for _ in range(150)]
+    passage = [f"p{k}" for k in range(60)]
+    rows += [" ".join([*passage, *(f"q{rng.randrange(60)}" for _ in range(rng.randrange(40)))]) for _ in range(80)]
+    long = [f"l{k}" for k in range(9000)]
+    rows += [edited(long, places, rng) for places in (0, 5, 150, 400)]
+    rows = list(enumerate(rows))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("cluster,block", [(4096, 2048), (10, 16)])
+def test_planted_copies(make, monkeypatch, cluster, block):
+    monkeypatch.setattr(jj, "PAIRS", 3)
+    monkeypatch.setattr(jj, "TRIPLES", 30)
+    rows = planted()
+    docs = make(rows, "doc_id long, text string")
+    found = jj.classes(docs, cluster=cluster, block=block).collect()
+    assert sorted(map(tuple, found), key=repr) == brute(rows)
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert sorted(map(tuple, jj.classes(docs).collect()), key=repr) == brute(rows)
+
+
+def test_odd_rows(make):
+    schema = "node long, text string, label string, doc_id long, n int"
+    rows = [(1, "a b c d e", "x", None, 1), (1, "a b c d e", "x", None, 1), (2, "a b c d e", None, 7, None), (3, None, None, 3, 1), (3, "", "y", None, 0)]
+    found = jj.classes(make(rows, schema)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([(None, 2, 7), (None, 2, 7), (7, 2, 7), (3, 0, 3), (None, 0, None)], key=repr)
+    assert jj.classes(make([], schema)).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_no_similar_pair_without_a_common_entry(data):
+    n = data.draw(st.integers(1, 300))
+    seed = data.draw(st.integers(0, 10_000))
+    percent = data.draw(st.sampled_from([50, 80, 85, 95]))
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(1, 1 << 63, 2 * n, dtype=np.uint64)
+    counts = rng.choice([2, 20, 40, 500, 2000], 2 * n)
+    one = rng.choice(2 * n, n, replace=False)
+    misses = rng.integers(0, max(1, n * (100 - percent) // 100) + 1)
+    added = rng.integers(0, misses + 1)
+    rest = np.setdiff1d(np.arange(2 * n), one)
+    two = np.concatenate([one[misses:], rest[:added]])
+    common = len(np.intersect1d(one, two))
+    if 100 * common < percent * (len(one) + len(two) - common) or not common:
+        return
+    entries = [jj.signatures(pool[own], counts[own], len(own), percent) for own in (one, two)]
+    assert len(np.intersect1d(*entries))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, (1 << 64) - 1), max_size=50))
+def test_planes(values):
+    values = np.sort(np.array(values, np.uint64))
+    assert (jj.from_planes(jj.planes(values)) == values).all()
+
+
+def test_parity_bounds_the_overlap():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        pool = rng.integers(1, 1 << 63, 600, dtype=np.uint64)
+        a, b = pool[: rng.integers(100, 400)], pool[rng.integers(0, 100) : 500]
+        bits = [np.unpackbits(np.frombuffer(jj.parity_bits(s, 300), np.uint8)) for s in (a, b)]
+        assert (bits[0] != bits[1]).sum() <= len(np.setxor1d(a, b))

@@ -4,7 +4,8 @@ from collections import Counter
 
 import corpus_pipeline as cp
 from perioda.llm import decision_lists as dl, simhash as sh
-from plain_versions import brute_classes, brute_hits, signed_print
+from plain_versions import brute_hits
+from test_near_copies import brute
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -25,12 +26,7 @@ def test_stages(spark, tmp_path):
     judged = dl.judge(spark.createDataFrame(all_docs), rules).filter("quality.kept").collect()
     assert {r["doc_id"] for r in good} == {r["doc_id"] for r in judged} and len(good) < len(all_docs)
 
-    prints = {r["doc_id"]: signed_print(r["text"]) for r in good}
-    classes = brute_classes(sorted(set(prints.values())))
-    lowest = {}
-    for doc, p in prints.items():
-        lowest[classes[p]] = min(doc, lowest.get(classes[p], doc))
-    assert sorted(r["doc_id"] for r in single) == sorted(lowest.values())
+    assert sorted(r["doc_id"] for r in single) == brute([(r["doc_id"], r["text"]) for r in good])
 
     items = [r["text"] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     assert sorted(r["doc_id"] for r in clean) == sorted(r["doc_id"] for r in single if not brute_hits(r["text"], items))
