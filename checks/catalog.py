@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import adapters
 from perioda import schemas
-from perioda.functions import keep_range, recode, round_dp
+from perioda.functions import keep_range, period_of, recode, round_dp
 from perioda.operators import (
     align_merge,
     backfill,
+    daily_sketches,
     date_spine,
     diagonal_merge,
     merge_keep_existing,
     missing_days,
     null_profile,
+    rank_error,
     secs_in_pulse_zones,
+    sketched_quantiles,
 )
 from perioda.plans import activities as acts
 from perioda.plans import bills, coverage, ingest, metrics, strength
@@ -273,6 +276,28 @@ def zone_medians_long(spark, folder):
     return _round6(acts.zone_medians_long(_zone_medians(spark, folder)), "median_time")
 
 
+@query
+def zone_medians_sketched(spark, folder):
+    """Weekly medians and upper quartiles from daily sketches, each judged by its true rank.
+
+    Sketches draw lots, so the values differ between runs; that their ranks are near enough does not.
+    """
+    rows = adapters.activities(spark, folder).filter(F.col("activity") == ACTIVITY)
+    values = ["secs_zone1", "distance"]
+    parts = daily_sketches(rows, values)
+    wanted = {"secs_mid": ("secs_zone1", 0.5), "distance_mid": ("distance", 0.5), "distance_high": ("distance", 0.75)}
+    found = sketched_quantiles(parts, wanted, "week").withColumnRenamed("period", "of")
+    held = rows.select(period_of("dt", "week").alias("period"), *values).join(found, F.col("period") == F.col("of"))
+
+    def near(name, column, share):
+        # Ties count half way, as any of their ranks would do.
+        known = F.count(column)
+        below, upto = F.count_if(F.col(column) < F.col(name)) / known, F.count_if(F.col(column) <= F.col(name)) / known
+        return ((below <= share + 2 * rank_error()) & (upto >= share - 2 * rank_error())).alias(f"{name}_near")
+
+    return held.groupBy("period").agg(F.count("*").alias("n"), *[near(n, c, s) for n, (c, s) in wanted.items()])
+
+
 @query
 def zone_bounds(spark, folder):
     samples = adapters.pulse_samples(spark, folder)

