@@ -47,7 +47,7 @@ from perioda.sources import (
 )
 from perioda.sources.html import number
 from perioda.sources.xml import EXPORT_MEMBER, KEPT_TYPES, TYPE_PREFIX, parse_archives
-from perioda.streaming import stream_into_table
+from perioda.streaming import daily_totals, stream_daily_totals, stream_into_table, totals_by_period
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -876,3 +876,25 @@ def stream_ingest(spark, folder):
         stream = spark.readStream.schema(schemas.METRICS).parquet(arrivals)
         stream_into_table(stream, path, align_merge, schemas.METRICS, f"{path}-checkpoint").awaitTermination()
     return read_table(spark, path, schemas.METRICS)
+
+
+@query
+def stream_totals(spark, folder):
+    """Weekly totals of samples that arrive in five files, in no order of time, a third of them twice."""
+    path, out = new_shared_path(spark, "sample-arrivals"), new_shared_path(spark, "sample-days")
+    rows = adapters.timed_metrics(spark, folder).select("row_id", "subject_id", "ts", "value")
+    part = F.pmod(F.xxhash64("row_id"), F.lit(5))
+    for number in range(5):
+        again = F.pmod(F.xxhash64(F.lit(1), "row_id"), F.lit(3)) == 0
+        chosen = (part == number) | ((part == (number + 1) % 5) & again)
+        rows.filter(chosen).coalesce(1).write.mode("append").parquet(path)
+    # What comes a year later closes all days before it; its own stays open.
+    later = rows.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("bigint").alias("row_id"), F.lit(-1).cast("bigint").alias("subject_id"),
+        (F.col("ts") + F.expr("interval 365 days")).alias("ts"), F.lit(0.0).alias("value"),
+    )
+    later.write.mode("append").parquet(path)
+    arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    totals = daily_totals(arrivals, ["value"], ids=["row_id"], by=["subject_id"], column="ts", delay="90 days")
+    stream_daily_totals(totals, out, new_shared_path(spark, "totals-checkpoint")).awaitTermination()
+    return totals_by_period(spark, out, totals.schema, ["value"], "week", by=["subject_id"])

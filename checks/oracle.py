@@ -259,6 +259,12 @@ ORDER BY round(duration / 60), dt, activity_id LIMIT 10"""),
         f"SELECT CAST(date_trunc('week', dt) AS DATE) AS period, 'median_zone{n}' AS zone, "
         + r6(f"median(secs_zone{n} / 60)", "median_time") + " FROM activities WHERE activity = 'click' GROUP BY 1"
         for n in range(1, 6))),
+    "stream_totals": """SELECT user_id % 5 AS subject_id, CAST(date_trunc('week', ts) AS DATE) AS period,
+  CAST(count(*) AS BIGINT) AS rows,
+  sum(CASE event_type WHEN 'click' THEN CAST(60 + event_id % 40 AS DOUBLE)
+    WHEN 'view' THEN CAST(event_id % 32 AS DOUBLE) / 64 WHEN 'error' THEN CAST(100 + event_id % 60 AS DOUBLE)
+    WHEN 'signup' THEN CAST(60 + event_id % 40 AS DOUBLE) ELSE CAST(event_id % 50 AS DOUBLE) / 8 END) AS value
+  FROM events GROUP BY ALL""",
     "zone_medians_sketched": _with(ACTIVITIES, """SELECT CAST(date_trunc('week', dt) AS DATE) AS period, count(*) AS n,
   TRUE AS secs_mid_near, TRUE AS distance_mid_near, TRUE AS distance_high_near
   FROM activities WHERE activity = 'click' GROUP BY 1"""),

@@ -1,3 +1,4 @@
 from perioda.streaming.ingest import stream_into_table
+from perioda.streaming.totals import daily_totals, stream_daily_totals, totals_by_period
 
-__all__ = ["stream_into_table"]
+__all__ = ["daily_totals", "stream_daily_totals", "stream_into_table", "totals_by_period"]
