@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -81,6 +81,11 @@ def _spanned_cells(row: Column) -> Column:
     return F.transform(F.filter(F.split(row, _CELL_TAG), lambda _, i: i > 0), cell)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a column used twice in a lambda is computed twice."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 _HELD = "array<struct<at: int, text: string, left: int>>"
 
 
@@ -103,12 +108,14 @@ def _laid_out(rows: Column) -> Column:
             late = F.transform(line["above"], lambda held, i: held["at"] - i > at)
             first = F.array_position(late, F.lit(True)).cast("int")
             due = F.when(first > 0, F.slice(line["above"], 1, first - 1)).otherwise(line["above"])
-        taken = F.struct(
-            F.concat(line["texts"], F.transform(due, lambda held: held["text"])).alias("texts"),
-            F.slice(line["above"], F.size(due) + 1, F.size(line["above"])).alias("above"),
-            F.concat(line["below"], _reaching(due, at)).alias("below"),
+        return _let(
+            due,
+            lambda due: F.struct(
+                F.concat(line["texts"], F.transform(due, lambda held: held["text"])).alias("texts"),
+                F.slice(line["above"], F.size(due) + 1, F.size(line["above"])).alias("above"),
+                F.concat(line["below"], _reaching(due, at)).alias("below"),
+            ),
         )
-        return taken
 
     def _reaching(due: Column, at: Column) -> Column:
         moved = F.transform(
@@ -130,8 +137,8 @@ def _laid_out(rows: Column) -> Column:
 
     def lay(state: Column, row: Column) -> Column:
         start = F.struct(F.array().cast("array<string>").alias("texts"), state["held"].alias("above"), none.alias("below"))
-        line = F.aggregate(row, start, lambda line, cell: put(take(line, cell), cell), lambda line: take(line, None))
-        return F.struct(F.concat(state["rows"], F.array(line["texts"])).alias("rows"), line["below"].alias("held"))
+        line = F.aggregate(row, start, lambda line, cell: _let(take(line, cell), lambda line: put(line, cell)), lambda line: take(line, None))
+        return _let(line, lambda line: F.struct(F.concat(state["rows"], F.array(line["texts"])).alias("rows"), line["below"].alias("held")))
 
     def rest(state: Column) -> Column:
         longest = F.coalesce(F.array_max(F.transform(state["held"], lambda held: held["left"])), F.lit(0))
