@@ -228,8 +228,10 @@ class PieceIds(dict):
         Equal pieces are looked up once; their ids are then laid out in the order of the texts.
         """
         # Special strings are found before letters are lower-cased, and letters are composed with their marks before:
-        # some have a composed form as small letters only.
-        special = pc.match_substring_regex(texts, r"<\||[A-Z]\p{M}")
+        # some have a composed form as small letters only.  Marks that letters are composed with start with these bytes.
+        special = pc.match_substring(texts, "<|")
+        for lead in (b"\xcc", b"\xcd"):
+            special = pc.or_(special, pc.match_substring(texts.cast(pa.binary()), lead))
         split = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
         words = split.flatten().cast(pa.binary()).dictionary_encode()
         packed = list(map(self.__getitem__, words.dictionary.to_pylist()))
