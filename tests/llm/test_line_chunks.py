@@ -1,5 +1,6 @@
-"""Which passages go, against a plain version, and that cuts move with the text."""
+"""Which passages go, against plain versions with and without the chunks, and that cuts move with the text."""
 
+import random
 from collections import defaultdict
 
 import pytest
@@ -10,42 +11,77 @@ from perioda.llm import line_chunks as lc
 PLAIN = lc.Cutting()
 
 
-def brute(docs):
-    """doc -> text, keeping each repeated passage in its first place only; docs are (id, text) by id."""
-    places = defaultdict(list)
-    for i, (_, text) in enumerate(docs):
-        lines = (text or "").split("\n")
-        for a, b, counts in lc.chunks([x.encode() for x in lines], PLAIN):
-            if counts:
-                places["\n".join(lines[a:b])].append((i, a, b))
+def cut(docs, ranges_of):
+    """doc -> text without all ranges that stand before, and the lines gone; docs are (id, text) by id."""
+    seen, found = set(), []
+    places = [(i, a, b) for i, (_, text) in enumerate(docs) for a, b in ranges_of((text or "").split("\n"))]
     gone = defaultdict(set)
-    for own in places.values():
-        for i, a, b in sorted(own)[1:]:
+    for i, a, b in sorted(places):
+        piece = "\n".join(docs[i][1].split("\n")[a:b])
+        if piece in seen:
             gone[i] |= set(range(a, b))
-    return [
-        (name, None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[i]), len(gone[i]))
-        for i, (name, text) in enumerate(docs)
-    ]
+        seen.add(piece)
+    for i, (name, text) in enumerate(docs):
+        kept = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[i])
+        found.append((name, kept, len(gone[i])))
+    return found, gone
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from([b"a", b"bb", b"", b" ", b"c d", b"w " * 50]), max_size=30))
-def test_chunks_cover_all_lines_in_order(lines):
-    found = list(lc.chunks(lines, PLAIN))
-    assert [line for a, b, _ in found for line in lines[a:b]] == lines
-    assert all(b > a for a, b, _ in found)
-    for a, b, counts in found:
-        own = lines[a:b]
-        assert counts == (len(own) == 1 and len(own[0].split()) >= 50 or sum(bool(x.strip()) for x in own) >= 2)
+def brute(docs):
+    return cut(docs, lambda lines: lc.chunks([x.encode() for x in lines], PLAIN))[0]
 
 
-def test_cuts_move_with_the_text():
-    passage = [f"line {i} of the passage".encode() for i in range(60)]
-    bare = {tuple(passage[a:b]) for a, b, _ in lc.chunks(passage, PLAIN)}
-    for k in range(1, 8):
-        shifted = [f"other {i}".encode() for i in range(k)] + passage + [b"end"]
-        own = {tuple(shifted[a:b]) for a, b, _ in lc.chunks(shifted, PLAIN)}
-        assert len(bare - own) <= 4
+def every_two(lines):
+    """Every two lines in a row with words, and every long line: all that a repeated passage can be made of."""
+    own = [i for i, x in enumerate(lines) if x.encode().split()]
+    return [(a, b + 1) for a, b in zip(own, own[1:])] + [(i, i + 1) for i in own if len(lines[i].encode().split()) >= 50]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"bb", b"", b" ", b"c d", b"w " * 50]), max_size=30))
+def test_chunks_hold_words_and_reach_every_line(lines):
+    found = lc.chunks(lines, PLAIN)
+    own = [i for i, x in enumerate(lines) if x.strip()]
+    for a, b in found:
+        assert a in own and b - 1 in own
+        assert b - a == 1 and len(lines[a].split()) >= 50 or 2 <= sum(bool(x.strip()) for x in lines[a:b]) <= 8
+    if len(own) > 1:
+        assert {k for a, b in found for k in range(a, b)} >= set(own)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 9), st.integers(0, 9), st.integers(2, 30))
+def test_chunks_move_with_the_text(before, behind, n):
+    passage = [f"line {i} of the passage".encode() for i in range(n)]
+    rows = [f"other {i}".encode() for i in range(before)] + passage + [f"end {i}".encode() for i in range(behind)]
+    inside = {(a - before, b - before) for a, b in lc.chunks(rows, PLAIN) if before <= a and b <= before + n}
+    # Only the two chunks that the ends of the bare text cut off may differ.
+    assert len(set(lc.chunks(passage, PLAIN)) ^ inside) <= 14
+    assert inside <= set(lc.chunks(passage, PLAIN))
+
+
+@pytest.mark.parametrize("lines, words", [(2, 30), (2, 26), (3, 18), (4, 15), (6, 12), (8, 10), (10, 6), (20, 10), (1, 51)])
+def test_recall_of_planted_passages(lines, words):
+    """20 documents hold each of 50 passages in fresh surroundings; the plain version cuts them all."""
+    rng = random.Random(lines * 100 + words)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    docs, whole, copies = [], 0, 0
+    passages = [[fresh(words) for _ in range(lines)] for _ in range(50)]
+    for _ in range(20):
+        for passage in passages:
+            rows = [fresh(8) for _ in range(rng.randrange(5))] + passage + [fresh(8) for _ in range(rng.randrange(5))]
+            docs.append((len(docs), "\n".join(rows)))
+    found, _ = cut(docs, lambda rows: lc.chunks([x.encode() for x in rows], PLAIN))
+    plain, _ = cut(docs, every_two)
+    for (_, _, n), (_, _, most) in zip(found[50:], plain[50:]):
+        assert most == lines and n <= most
+        whole, copies = whole + (n == most), copies + 1
+    assert whole >= 0.9 * copies
+
+
+def test_borders_must_lie_in_their_chunk():
+    with pytest.raises(ValueError):
+        lc.Cutting(window=3, min_lines=2)
 
 
 def test_a_shared_passage_goes_from_all_but_one(make):
@@ -83,3 +119,6 @@ def test_whole_table(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     found = sorted((r["doc_id"], r["text"], r["removed_lines"]) for r in lc.remove_repeated(docs).collect())
     assert found == brute(rows) and any(gone for _, _, gone in found)
+    plain, _ = cut(rows, every_two)
+    assert all(own[2] <= most[2] for own, most in zip(found, plain))
+    assert sum(own[2] for own in found) >= 0.9 * sum(most[2] for most in plain)
