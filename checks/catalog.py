@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from checks import adapters
 from perioda import schemas
@@ -24,8 +24,8 @@ from perioda.operators import (
     sketched_quantiles,
 )
 from perioda.plans import activities as acts
-from perioda.plans import bills, coverage, ingest, metrics, strength
-from perioda.session import new_shared_path
+from perioda.plans import bills, coverage, ingest, metrics, parts, strength
+from perioda.session import file_system, new_shared_path, written_for_now
 from perioda.sources import (
     day_activities,
     html_items,
@@ -39,6 +39,7 @@ from perioda.sources import (
     read_html_tables,
     read_metrics_xml,
     read_open_activities,
+    read_readable,
     read_table,
     read_version,
     remove_old_versions,
@@ -840,6 +841,47 @@ def sink_versions(spark, folder):
     return _with_sets_text(both)
 
 
+@query
+def src_bad_files(spark, folder):
+    """All activities, though two of the folder's files are cut off; ``bad`` says how many were named."""
+    path = new_shared_path(spark, "activities")
+    rows = adapters.activities(spark, folder).select("activity_id", "subject_id", "dt", "activity", "distance")
+    rows.write.parquet(path)
+    for name in ("cut-1.parquet", "cut-2.parquet"):
+        files, place = file_system(spark, f"{path}/{name}")
+        stream = files.create(place, False)
+        stream.write(bytearray(b"PAR1" + bytes(100)))
+        stream.close()
+    found, bad = read_readable(spark, path, rows.schema)
+    return found.withColumn("bad", F.lit(bad.count()).cast("int"))
+
+
+def _merged_in_three(spark, folder, seen=None):
+    """Daily parts of the bills, brought up to date after each of three merges."""
+    path, stored = new_shared_path(spark, "bills"), new_shared_path(spark, "bill-parts")
+    normal = _normal(spark, folder)
+    bounds = [None, OLD_END, dt.date(2001, 1, 1), None]
+    series = T.StructType([normal.schema["series_id"]])
+    with written_for_now(normal, "normal-bills") as once:
+        for start, end in zip(bounds, bounds[1:]):
+            batch = keep_range(once, start and start - dt.timedelta(days=90), end and end - dt.timedelta(days=1))
+            merge_version(spark, path, batch, diagonal_merge, once.schema)
+            years = parts.refresh_parts(spark, path, stored, once.schema, parts.BILL_MEASURES, by=SERIES)
+            if seen is not None:
+                seen.append(years)
+    return parts.read_parts(spark, stored, series, parts.BILL_MEASURES)
+
+
+@query
+def cost_after_merges(spark, folder):
+    return parts.cost_of_parts(_merged_in_three(spark, folder), "month", by=SERIES)
+
+
+@query
+def coverage_after_merges(spark, folder):
+    return parts.coverage_of_parts("bills", _merged_in_three(spark, folder))
+
+
 @query
 def load_or_empty_(spark, folder):
     """A table that is there stacked on one that is not."""

@@ -383,6 +383,10 @@ WHERE {OLD_GYM} OR {NEW_GYM}"""),
     "sink_versions": _with(GYM, f"""SELECT 1 AS version, dt, exercise, rep_max, sets_text FROM gym WHERE {OLD_GYM}
 UNION ALL SELECT 2, dt, exercise, rep_max, sets_text FROM gym WHERE dt < DATE '1998-01-01'
 UNION ALL SELECT DISTINCT 2, dt, exercise, rep_max, sets_text FROM gym WHERE {NEW_GYM}"""),
+    "src_bad_files": _with(ACTIVITIES, "SELECT activity_id, subject_id, dt, activity, distance, 2 AS bad FROM activities"),
+    "cost_after_merges": _with(NORMAL, period_cost("month"), "SELECT * FROM cost"),
+    "coverage_after_merges": _with(NORMAL, """SELECT 'bills' AS source, CAST(min(dt) AS DATE) AS first_day,
+  CAST(max(dt) AS DATE) AS last_day, year(max(dt)) - year(min(dt)) AS years, count(*) AS rows FROM normal"""),
     "load_or_empty": _with(GYM, "SELECT dt, exercise, rep_max, sets_text FROM gym"),
     "ingest_metrics": _with(METRICS, "SELECT DISTINCT dt, metric, unit, value FROM metrics"),
     "ingest_gym_json": _with(GYM, "SELECT DISTINCT dt, exercise, rep_max, sets_text FROM gym"),

@@ -157,6 +157,53 @@ def merge_version(
     _publish(spark, path, before.number, [*[f for f in before.folders if f[0] not in years], *new])
 
 
+#: Column of a derived table that names the folder of the source its year was made from.
+ORIGIN = "origin"
+
+
+def refresh_derived(
+    spark: SparkSession,
+    source: str,
+    derived: str,
+    schema: T.StructType,
+    make: Callable[[DataFrame], DataFrame],
+    *,
+    column: str = "dt",
+) -> list[int]:
+    """Bring the table at ``derived`` up to the newest version of ``source``; the years that were made anew.
+
+    ``make`` turns rows of ``source`` into rows with a date in ``column``, each
+    of them from rows of its own year.  Data folders never change, and every derived
+    row names the folder its year was made from (``ORIGIN``), so the years whose folder is
+    another one by now are all that a merge has touched: only these are read
+    and made again.  Years that ``source`` has no more are left out.  A run
+    that breaks off anywhere is simply repeated.
+    """
+    now, before = dict(current_version(spark, source).folders), current_version(spark, derived)
+    if None in now:
+        raise ValueError(f"{source} was not written by years")
+    kept = list(before.folders)
+    names = T.StructType([T.StructField(ORIGIN, T.StringType()), T.StructField(column, T.DateType())])
+    made_from = {}
+    if kept:
+        recorded = read_version(spark, derived, names, version=before)
+        recorded = recorded.select(F.coalesce(F.year(column), F.lit(0)).alias(YEAR), ORIGIN).distinct()
+        made_from = {row[YEAR]: row[ORIGIN] for row in recorded.collect()}
+    stale = sorted(year for year, folder in now.items() if made_from.get(year) != folder)
+    kept = [f for f in kept if f[0] in now and f[0] not in stale]
+    if not stale and len(kept) == len(before.folders):
+        return []
+    new = []
+    if stale:
+        year_of = F.coalesce(F.year(column), F.lit(0))
+        origins = F.create_map(*[F.lit(part) for year in stale for part in (year, now[year])])
+        version = Version(0, tuple((year, now[year]) for year in stale))
+        rows = make(read_version(spark, source, schema, version=version)).withColumn(YEAR, year_of)
+        new = _put(rows.withColumn(ORIGIN, origins[F.col(YEAR)]), derived, True)
+    _publish(spark, derived, before.number, [*kept, *new])
+    return stale
+
+
 def remove_old_versions(spark: SparkSession, path: str, *, keep: int = 2, grace_seconds: float = 86_400) -> int:
     """Remove all but the newest ``keep`` versions, and data no kept one lists; the number of data folders removed.
 
