@@ -84,3 +84,36 @@ def test_whole_table(spark):
     for r in docs.collect():
         own = brute(r["text"])
         assert found[r["doc_id"]] == (*own, own[0] < 10 or 100 * own[4] > 20 * own[0])
+
+
+def plain_features(text):
+    """FEATURES by their words, of texts without odd white space."""
+    words, _, symbols, dup_lines, repeat = brute(text)
+    own = re.findall("[^\x20\x09-\x0d]+", text)
+    chars, lines = "".join(own), [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    share = lambda n, of: n / of if of else 0.0
+    return {
+        "n_words": float(words), "mean_word": share(len(chars), words), "symbol_share": share(symbols, words),
+        "dup_line_share": share(dup_lines, len(lines)), "repeat_share": share(repeat, words),
+        "words_per_line": share(words, len(lines)), "upper_share": share(len(re.findall("[A-Z]", text)), len(chars)),
+        "digit_share": share(len(re.findall("[0-9]", text)), len(chars)),
+        "mark_share": share(sum(text.count(c) for c in "!\"'(),-./:;?@[\\]^_`{}~+="), words),
+        "distinct_share": share(len(set(own)), words), "twin_share": share(sum(a == b for a, b in zip(own, own[1:])), words),
+    }
+
+
+def test_kept_over_the_whole_table(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{n}.parquet") for n in ("documents", "labels"))
+    rules = dl.fit(docs, labels)
+    assert rules
+    found = {r["doc_id"]: r["quality"] for r in dl.judge(docs, rules).collect()}
+    rejected = 0
+    for r in docs.collect():
+        own, values = found[r["doc_id"]], plain_features(r["text"] or "")
+        meets = any(
+            all(values[c.feature] > c.threshold if c.above else values[c.feature] <= c.threshold for c in rule.conditions)
+            for rule in rules
+        )
+        assert own["kept"] == (not own["base_failed"] and not meets)
+        rejected += meets and not own["base_failed"]
+    assert rejected and len(found) == docs.count()

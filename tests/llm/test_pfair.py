@@ -83,3 +83,17 @@ def test_more_sources_than_slots(make):
     with pytest.raises(ValueError):
         pfair.mix(docs, period=20)
     assert pfair.mix(docs, period=30).filter("epoch = 0").count() == 30
+
+
+def test_exact_shares_over_the_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source")
+    counts = Counter(r["source"] for r in docs.collect())
+    found = pfair.mix(docs, seed=42, block_rows=4).collect()
+    check(found, pfair.chosen_weights(counts, None, None), 4)
+    first = Counter((r["doc_id"], r["source"]) for r in found if r["epoch"] == 0)
+    assert first == Counter((r["doc_id"], r["source"]) for r in docs.collect())
+    # Blocks of a source come in turn, and again from the first one.
+    for source, n in counts.items():
+        turns = sorted({(r["slot"], r["epoch"], r["source_block"]) for r in found if r["source"] == source})
+        blocks = -(-n // 4)
+        assert [(e, b) for _, e, b in turns] == [(k // blocks, k % blocks) for k in range(len(turns))]

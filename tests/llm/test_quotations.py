@@ -72,3 +72,19 @@ def test_all_conversations(spark):
             first = min(t for (c, t), own in texts.items() if c == r["conv_id"] and key(own) == key(before))
             assert r["parent"] == first
     assert found.filter(F.col("parent").isNotNull()).count() > 0
+
+
+def test_root_and_depth_follow_the_parents_of_all_conversations(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = qt.link(qt.with_quotes(turns), scope=["conv_id"], order="turn").collect()
+    parents = {(r["conv_id"], r["turn"]): r["parent"] for r in rows}
+    assert len(parents) == len(rows)
+    deepest = 0
+    for r in rows:
+        at, steps = r["turn"], 0
+        while parents[r["conv_id"], at] is not None:
+            assert parents[r["conv_id"], at] < at
+            at, steps = parents[r["conv_id"], at], steps + 1
+        assert (r["root"], r["depth"]) == (at, steps)
+        deepest = max(deepest, steps)
+    assert deepest > 1
