@@ -411,3 +411,5 @@ FROM old o FULL JOIN new n ON o.activity_id = n.activity_id AND o.subject_id = n
   AND o.activity = n.activity AND o.distance = n.distance AND o.duration = n.duration"""),
     "stream_ingest": _with(METRICS, "SELECT DISTINCT subject_id, dt, metric, unit, value FROM metrics"),
 }
+# What differs between these is how the rows come in, not what they give.
+ORACLE["stream_hr_secs"] = ORACLE["hr_secs_in_zone"]

@@ -46,14 +46,33 @@ def secs_in_pulse_zones(
     lasts = F.coalesce(F.col("dt").isNotNull() & (F.col("duration") >= 0), F.lit(False))
     unknown = activities.filter(~lasts).select(*keys, "activity_id").distinct()
     activities = activities.filter(lasts)
-    end = F.col("dt") + F.make_dt_interval(secs=F.col("duration").cast("decimal(18,6)"))
-    bounds = activities.select(
+    spans = activities.select(*keys, "activity_id", "dt", end_of_activity().alias("end"))
+    known = secs_in_spans(spans, samples, keys=keys, plan=plan, max_group_rows=max_group_rows, block_rows=block_rows)
+    return known.unionByName(unknown, allowMissingColumns=True)
+
+
+def end_of_activity() -> Column:
+    """The instant an activity (dt, duration) ends at."""
+    return F.col("dt") + F.make_dt_interval(secs=F.col("duration").cast("decimal(18,6)"))
+
+
+def secs_in_spans(
+    spans: DataFrame,
+    samples: DataFrame,
+    *,
+    keys: Sequence[str],
+    plan: str = "auto",
+    max_group_rows: int = MAX_GROUP_ROWS,
+    block_rows: int | None = None,
+) -> DataFrame:
+    """The same for ``spans``: keys, activity_id, dt, end, with dt <= end and neither null."""
+    bounds = spans.select(
         *keys,
         "activity_id",
         F.explode(
             F.array(
                 F.struct(F.col("dt").alias("at"), F.lit(-1).alias("sign")),
-                F.struct(end.alias("at"), F.lit(1).alias("sign")),
+                F.struct(F.col("end").alias("at"), F.lit(1).alias("sign")),
             )
         ).alias("bound"),
     )
@@ -101,10 +120,9 @@ def secs_in_pulse_zones(
     }
     at_bounds = arranged.frame.withColumns(running).filter(F.col("kind") == 0)
     at_start, at_end = F.col("sign") == -1, F.col("sign") == 1
-    known = at_bounds.groupBy(*keys, "activity_id").agg(
+    return at_bounds.groupBy(*keys, "activity_id").agg(
         *[
             (F.max(F.when(at_end, F.col(name))) - F.max(F.when(at_start, F.col(name)))).alias(name)
             for name in in_zone
         ]
     )
-    return known.unionByName(unknown, allowMissingColumns=True)
