@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from perioda.schemas import RAW_ACTIVITY, RAW_DAY, RAW_GYM, ZONE_SECONDS
+from perioda.sources.json_arrays import read_json_array
 
 
 def _to(value: Column, kind: str, on_error: str) -> Column:
@@ -16,9 +17,11 @@ def _to(value: Column, kind: str, on_error: str) -> Column:
 def read_gym_json(spark: SparkSession, path: str, *, multi_line: bool = True, on_error: str = "raise") -> DataFrame:
     """Gym history files; ``multi_line`` for files that hold one array of records.
 
-    A file with one record per line (``multi_line=False``) is read in splits.
+    Both these and files with one record per line are read in splits.
     """
-    raw = spark.read.schema(RAW_GYM).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+    if multi_line:
+        return gym_history(read_json_array(spark, path, RAW_GYM), on_error=on_error)
+    raw = spark.read.schema(RAW_GYM).option("mode", "FAILFAST").json(path)
     return gym_history(raw, on_error=on_error)
 
 
