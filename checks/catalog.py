@@ -38,6 +38,7 @@ from perioda.sources import (
     read_gym_json,
     read_html_tables,
     read_metrics_xml,
+    read_metrics_zip,
     read_open_activities,
     read_readable,
     read_table,
@@ -46,6 +47,7 @@ from perioda.sources import (
     replace_table,
     replace_version,
 )
+from perioda.sources.files import create_file
 from perioda.sources.html import number
 from perioda.sources.xml import EXPORT_MEMBER, KEPT_TYPES, TYPE_PREFIX, parse_archives
 from perioda.streaming import (
@@ -732,9 +734,8 @@ def src_xml_metrics(spark, folder):
 ROWS_PER_ARCHIVE = 2000
 
 
-@query
-def src_xml_metrics_zip(spark, folder):
-    """All health samples in zipped exports, each with a long tail behind its last record."""
+def _packed_exports(spark, folder, members):
+    """(source, content) of archives of all health samples, each member with a long tail behind its last record."""
 
     def packed(groups):
         import io
@@ -743,11 +744,13 @@ def src_xml_metrics_zip(spark, folder):
         import pandas as pd
 
         for table in groups:
-            for source, body in zip(table["source"], table["body"]):
+            for source, bodies in zip(table["source"], table["bodies"]):
                 target = io.BytesIO()
                 with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
-                    text = f"<HealthData>\n{body}\n" + "<Workout a='<' />\n" * 50_000 + "</HealthData>"
-                    archive.writestr(EXPORT_MEMBER, text)
+                    for number_, body in enumerate(bodies):
+                        text = f"<HealthData>\n{body}\n" + "<Workout a='<' />\n" * 50_000 + "</HealthData>"
+                        archive.writestr(EXPORT_MEMBER.replace(".xml", f"{number_ or ''}.xml"), text)
+                        archive.writestr(f"apple_health_export/other{number_}.txt", text)
                 yield pd.DataFrame({"source": [source], "content": [target.getvalue()]})
 
     attributes = {"type": "_type", "unit": "_unit", "value": "_value", "startDate": "_startDate"}
@@ -758,12 +761,40 @@ def src_xml_metrics_zip(spark, folder):
     )
     rows = _metric_records(spark, folder, "row_id")
     # As many archives as the rows ask for.
-    number_ = F.floor(F.col("row_id") / ROWS_PER_ARCHIVE)
-    bodies = rows.groupBy(number_.alias("source")).agg(F.array_join(F.collect_list(record), "\n").alias("body"))
-    archives = bodies.select(F.col("source").cast("string").alias("source"), "body").mapInPandas(
+    part = F.floor(F.col("row_id") / ROWS_PER_ARCHIVE)
+    bodies = rows.groupBy(part.alias("part")).agg(F.array_join(F.collect_list(record), "\n").alias("body"))
+    archives = bodies.groupBy(F.floor(F.col("part") / members).alias("source")).agg(F.collect_list("body").alias("bodies"))
+    return archives.select(F.col("source").cast("string").alias("source"), "bodies").mapInPandas(
         packed, "source string, content binary"
     )
-    return parse_archives(archives).drop("source")
+
+
+@query
+def src_xml_metrics_zip(spark, folder):
+    """All health samples in zipped exports held in a table."""
+    return parse_archives(_packed_exports(spark, folder, 1)).drop("source")
+
+
+@query
+def src_xml_metrics_zip_files(spark, folder):
+    """The same from archive files with up to three exports each, which are unpacked one by one."""
+    path = new_shared_path(spark, "archives")
+    files, place = file_system(spark, path)
+    files.mkdirs(place)
+    target = files.makeQualified(place).toString()
+
+    def put(groups):
+        import pandas as pd
+
+        for table in groups:
+            for source, content in zip(table["source"], table["content"]):
+                with create_file(f"{target}/{source}.zip") as file:
+                    file.write(content)
+                yield pd.DataFrame({"bytes": [len(content)]})
+
+    # An archive that is written twice, by a repeated task, is the same one.
+    _packed_exports(spark, folder, 3).mapInPandas(put, "bytes long").agg(F.sum("bytes")).first()
+    return read_metrics_zip(spark, path, member=EXPORT_MEMBER.replace(".xml", "*.xml")).drop("source")
 
 
 @query

@@ -413,3 +413,4 @@ FROM old o FULL JOIN new n ON o.activity_id = n.activity_id AND o.subject_id = n
 }
 # What differs between these is how the rows come in, not what they give.
 ORACLE["stream_hr_secs"] = ORACLE["hr_secs_in_zone"]
+ORACLE["src_xml_metrics_zip_files"] = ORACLE["src_xml_metrics_zip"]

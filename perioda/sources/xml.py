@@ -10,10 +10,13 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from perioda.sources.files import Opener, open_file
+
 # Record types that are kept, and the prefix of their names.
 TYPE_PREFIX = "HKQuantityTypeIdentifier"
 KEPT_TYPES = (
@@ -34,6 +37,8 @@ _ATTRIBUTES = "_type string, _unit string, _value string, _startDate string"
 _START_TAG = r"""^(\s(?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>"""
 _OPEN_TAG = re.compile(RECORD + r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
 _CHUNK_CHARS = 1 << 20
+#: Packed bytes that a task unpacks, where there are more members than cores.
+_PACKED_PER_TASK = 64 << 20
 MAX_TAG_CHARS = 16 << 20
 
 
@@ -54,17 +59,53 @@ def read_metrics_zip(
     member: str = EXPORT_MEMBER,
     keep_time: bool = False,
     on_error: str = "raise",
+    opener: Opener = open_file,
 ) -> DataFrame:
-    """The same from zip archives that hold the export."""
-    archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    archives = archives.select(F.col("path").alias("source"), "content")
-    return parse_archives(archives, member=member, keep_time=keep_time, on_error=on_error)
+    """The same from zip archives that hold the export.
+
+    ``member`` may be a pattern with ``*``, ``?`` or ``[]``, for archives with
+    several exports; an archive without any raises.  Archives of any size:
+    each one's table of contents is read first, then each member is unpacked
+    as a stream by one task.  ``opener`` is how an executor opens a path.
+    """
+    return _chunk_records(zip_chunks(spark, path, member, opener), keep_time, on_error)
+
+
+def zip_chunks(spark: SparkSession, path: str, member: str, opener: Opener = open_file) -> DataFrame:
+    """(source, chunk) of the members, unpacked by as many tasks as there are members to share out."""
+    # Only the listing of the files is read, not what is in them.
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    found = archives.mapInPandas(lambda batches: _members(batches, member, opener), "source string, member string, packed long")
+    members, packed = found.agg(F.count("*"), F.sum("packed")).first()
+    # Names alone are moved.
+    tasks = max(1, min(members, max(spark.sparkContext.defaultParallelism, (packed or 0) // _PACKED_PER_TASK)))
+    shared = found.repartition(tasks, F.xxhash64("source", "member"))
+    return shared.mapInPandas(lambda batches: _unpack_members(batches, opener), "source string, chunk string")
+
+
+def _members(batches: Iterator[pd.DataFrame], member: str, opener: Opener) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path in batch["path"]:
+            with opener(path) as file, zipfile.ZipFile(file) as archive:
+                found = [i for i in archive.infolist() if i.filename == member or fnmatchcase(i.filename, member)]
+            if not found:
+                raise KeyError(f"no member {member!r} in {path}")
+            sizes = [i.compress_size for i in found]
+            yield pd.DataFrame({"source": path, "member": [i.filename for i in found], "packed": sizes})
+
+
+def _unpack_members(batches: Iterator[pd.DataFrame], opener: Opener) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, member in zip(batch["source"], batch["member"]):
+            with opener(path) as file, zipfile.ZipFile(file) as archive, archive.open(member) as packed:
+                for chunk in _whole_records(io.TextIOWrapper(packed, "utf-8")):
+                    yield pd.DataFrame({"source": [path], "chunk": [chunk]})
 
 
 def parse_archives(
     archives: DataFrame, *, member: str = EXPORT_MEMBER, keep_time: bool = False, on_error: str = "raise"
 ) -> DataFrame:
-    """The same from a table (source, content) of archives.
+    """The same from a table (source, content) of archives, of up to 2 GB each.
 
     Unpacking streams each archive in one task, since a zip member cannot be
     split, and hands on pieces of about a megabyte; those are spread out
@@ -73,6 +114,10 @@ def parse_archives(
     chunks = archives.select("source", "content").mapInPandas(
         lambda batches: _unpack(batches, member), "source string, chunk string"
     )
+    return _chunk_records(chunks, keep_time, on_error)
+
+
+def _chunk_records(chunks: DataFrame, keep_time: bool, on_error: str) -> DataFrame:
     pieces = chunks.hint("rebalance").select("source", F.explode(F.split("chunk", RECORD)).alias("piece"))
     return parse_records(pieces, keep_time=keep_time, on_error=on_error)
 

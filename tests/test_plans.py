@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 WRITING = {
     "src_json_gym", "src_csv_section_lines", "src_json_activities", "src_xml_metrics", "sink_roundtrip",
     "sink_merge_years", "load_or_empty", "ingest_gym_json", "ingest_activities", "ingest_metrics", "stream_ingest",
-    "src_json_gym_array", "src_xml_metrics_zip", "src_html_table",
+    "src_json_gym_array", "src_xml_metrics_zip", "src_xml_metrics_zip_files", "src_html_table",
 }
 # Ends in a handful of rows: one total over all groups, or a sort of them.
 ONE_ROW = {"cost_share", "null_profile", "pace_bounds", "source_coverage", "bp_extremes", "longest_runs",

@@ -1,0 +1,50 @@
+"""Archives with several exports, unpacked member by member."""
+
+import zipfile
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from perioda.sources import read_metrics_zip
+from perioda.sources import xml as xml_source
+
+RECORD = '<Record type="HKQuantityTypeIdentifierBodyMass" unit="kg" value="{}" startDate="2024-01-0{} 08:00:00 +0100"/>'
+
+
+def archive(path, members, **more):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as packed:
+        for name, values in members.items():
+            with packed.open(name, "w", **more) as file:
+                file.write(("<HealthData>\n" + "\n".join(RECORD.format(v, 1) for v in values) + "\n</HealthData>").encode())
+
+
+def test_members_are_unpacked_by_several_tasks(spark, tmp_path):
+    # Names with what addresses would quote, and members in the 64-bit form.
+    archive(tmp_path / "a b%20å.zip", {f"in/export{k}.xml": [k, k + 0.5] for k in range(8)} | {"in/other.xml": [99]}, force_zip64=True)
+    (tmp_path / "sub").mkdir()
+    archive(tmp_path / "sub" / "c.zip", {"in/export.xml": [50], "in/export_empty.xml": []})
+    found = read_metrics_zip(spark, str(tmp_path), member="in/export*.xml")
+    assert rows(found, "value") == sorted([(50.0,), *((float(v),) for k in range(8) for v in (k, k + 0.5))], key=repr)
+    assert {row["source"].rsplit("/", 1)[1] for row in found.collect()} == {"a b%20å.zip", "c.zip"}
+    chunks = xml_source.zip_chunks(spark, str(tmp_path), "in/export*.xml")
+    assert chunks.filter("source like '%å.zip'").select(F.spark_partition_id()).distinct().count() > 1
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "[path#" in plan and "content#" not in chunks._jdf.queryExecution().executedPlan().toString().replace("Location", "")
+    # Without a pattern the name is taken as it is.
+    assert rows(read_metrics_zip(spark, f"{tmp_path}/sub", member="in/export.xml"), "value") == [(50.0,)]
+
+
+def test_an_archive_without_the_export_raises(spark, tmp_path):
+    archive(tmp_path / "a.zip", {"x.xml": [1]})
+    with pytest.raises(Exception, match="no member"):
+        read_metrics_zip(spark, str(tmp_path)).collect()
+
+
+def test_an_opener_of_ones_own(spark, tmp_path):
+    archive(tmp_path / "a.zip", {"x.xml": [1]})
+
+    def opener(path):
+        return open(path.removeprefix("file:"), "rb")
+
+    assert rows(read_metrics_zip(spark, str(tmp_path), member="x.xml", opener=opener), "value") == [(1.0,)]
