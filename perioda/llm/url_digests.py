@@ -2,13 +2,14 @@
 
 The rules' keys are hashed to 64 bits and sorted; the array is memory-mapped
 and probed for all candidate keys of a batch by one binary search.  A match of
-digests counts only if the stored key is the same string.
+digests counts only if the stored key is the same string.  Rules beyond the
+size of one array are probed in blocks, an array and a pass each.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from perioda.llm.common import arrow_function, col, fresh
+from perioda.session import new_shared_path, remove, written
 
 ALLOW, BLOCK = "allow", "block"
-#: Rules up to this size, keys and digests, go to the workers as one array; above it they are joined.
+#: Size of an array, keys and digests; more rules than fit in one are probed block by block.
 MAX_ARRAY_BYTES = 32 << 20
 #: Between host and path; a rule that holds it itself is void.
 _BAR = "\x00"
 
-_JUDGED = pa.struct([("rule", pa.string()), ("blocked", pa.bool_())])
+# In the order in which rules of several blocks win.
+_JUDGED = pa.struct([("size", pa.int32()), ("host_size", pa.int32()), ("rule", pa.string()), ("blocked", pa.bool_())])
 
 
 def _behind_scheme(url: Column) -> Column:
@@ -117,11 +120,12 @@ def judge_batch(array: DigestArray, hosts: list[str], paths: list[str]) -> list[
         own = candidates(host, path, array.host_lengths, array.path_lengths)
         keys += own
         owner += [i] * len(own)
-    rows: list[dict] = [{"rule": None, "blocked": None} for _ in hosts]
+    rows: list[dict] = [dict.fromkeys(_JUDGED.names) for _ in hosts]
     found = array.find([key.encode() for key in keys])
     for j in np.flatnonzero(found >= 0).tolist():
         if rows[owner[j]]["rule"] is None:
-            rows[owner[j]] = {"rule": keys[j].replace(_BAR, ""), "blocked": bool(array.blocked[found[j]])}
+            rule, size = keys[j].replace(_BAR, ""), keys[j].index(_BAR)
+            rows[owner[j]] = {"size": len(rule), "host_size": size, "rule": rule, "blocked": bool(array.blocked[found[j]])}
     return rows
 
 
@@ -142,6 +146,11 @@ def judge_urls(
     empty host and path and no rule.  Rules with an empty or null host, a null
     path or verdict, or a null character are void.  Rows and columns stay; a column that has
     one of the new names keeps it, and the new one gets an underscore.
+
+    ``max_array_bytes`` bounds the array that a worker and the driver hold.
+    Rules beyond it are cut into blocks by a hash of their keys, half that
+    size on average; each block is one pass over the distinct hosts and paths,
+    whose best rule so far is written in between.
     """
     host, path, rule, verdict = fresh(pages.columns, "host", "path", "rule", "verdict")
     (state,) = fresh([*pages.columns, host, path, rule, verdict], "__judged")
@@ -149,9 +158,10 @@ def judge_urls(
     known = _clean(rules)
     total = known.agg(F.sum(F.octet_length("key") + 32)).first()[0] or 0
     if total <= max_array_bytes:
-        judged = parts.withColumn(state, _by_array(known, col(host), col(path)))
+        rows = known.select("key", "blocked").collect()
+        judged = parts.withColumn(state, _by_array(pages.sparkSession, rows)(col(host), col(path)))
     else:
-        judged = _by_join(parts, known, host, path, state)
+        judged = _in_blocks(parts, known, host, path, state, -(-2 * total // max(1, max_array_bytes)))
     return judged.select(
         *map(col, pages.columns),
         col(host),
@@ -164,44 +174,45 @@ def judge_urls(
     )
 
 
-def _by_array(known: DataFrame, host: Column, path: Column) -> Column:
-    image = DigestArray.image([(row["key"], row["blocked"]) for row in known.select("key", "blocked").collect()])
-    shared, key = known.sparkSession.sparkContext.broadcast(image), xxhash.xxh128_hexdigest(image)
+def _by_array(spark: SparkSession, rows: Sequence, shared: list | None = None) -> Callable[[Column, Column], Column]:
+    """The best of ``rows`` for a host and path; the broadcast is put in ``shared`` if it is one of several."""
+    image = DigestArray.image([(row["key"], row["blocked"]) for row in rows])
+    sent, key, alone = spark.sparkContext.broadcast(image), xxhash.xxh128_hexdigest(image), shared is None
+    if not alone:
+        shared.append(sent)
 
-    @arrow_function("rule string, blocked boolean")
+    @arrow_function("size int, host_size int, rule string, blocked boolean")
     def judged(hosts: pa.Array, paths: pa.Array) -> pa.Array:
         if key not in _OPEN:
-            _OPEN[key] = DigestArray(shared.value)
+            if not alone:
+                _OPEN.clear()
+            _OPEN[key] = DigestArray(sent.value)
         return pa.array(judge_batch(_OPEN[key], hosts.to_pylist(), paths.to_pylist()), _JUDGED)
 
-    return judged(host, path)
+    return judged
 
 
-def _by_join(parts: DataFrame, known: DataFrame, host: str, path: str, state: str) -> DataFrame:
-    """The same with the rules joined on the candidates of each distinct host and path."""
-    # Bounded by the longest host and path of a rule, so these lists are short.
-    lengths = {
-        part: sorted(row[0] for row in known.select(F.length(part)).distinct().collect()) for part in ("host", "path")
-    }
-    distinct = parts.select(col(host).alias("h"), col(path).alias("p")).distinct()
-    own = F.filter(
-        F.lit(lengths["host"]),
-        lambda n: (n == F.length("h")) | ((n < F.length("h")) & (F.substring(F.col("h"), F.length("h") - n, 1) == ".")),
-    )
-    starts = F.filter(F.lit(lengths["path"]), lambda n: n <= F.length("p"))
-    keyed = (
-        distinct.withColumn("m", F.explode(own))
-        .withColumn("n", F.explode(starts))
-        .select("h", "p", F.concat(F.expr("right(h, m)"), F.lit(_BAR), F.expr("left(p, n)")).alias("key"))
-    )
-    size = F.length("host") + F.length("path")
-    best = (
-        keyed.join(known, "key")
-        .groupBy("h", "p")
-        .agg(F.max_by(F.struct(F.concat("host", "path").alias("rule"), "blocked"), F.struct(size, F.length("host"))).alias("j"))
-        .select("h", "p", F.col("j").alias(state))
-    )
+def _in_blocks(parts: DataFrame, known: DataFrame, host: str, path: str, state: str, blocks: int) -> DataFrame:
+    """``parts`` with the best rule of all blocks."""
+    spark = parts.sparkSession
+    known = written(known.select("key", "blocked"), "url-rules")
+    blocks = max(1, min(blocks, known.count()))
     h, p = fresh([*parts.columns, state], "__h", "__p")
-    best = best.withColumnsRenamed({"h": h, "p": p})
+    none = F.lit(None).cast("struct<size: int, host_size: int, rule: string, blocked: boolean>")
+    best = parts.select(col(host).alias(h), col(path).alias(p)).distinct().withColumn(state, none)
+    earlier = None
+    for block in range(blocks):
+        rows = known.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).collect()
+        if not rows and block + 1 < blocks:
+            continue
+        shared: list = []
+        found = _by_array(spark, rows, shared)(col(h), col(p))
+        place = new_shared_path(spark, "url-verdicts")
+        best.withColumn(state, F.greatest(col(state), found)).write.parquet(place)
+        best = spark.read.schema(best.schema).parquet(place)
+        shared[0].destroy()
+        if earlier:
+            remove(spark, earlier)
+        earlier = place
     joined = parts.join(best, (col(host) == col(h)) & (col(path) == col(p)), "left")
     return joined.drop(h, p)

@@ -1,4 +1,4 @@
-"""Verdicts against a plain search over all rules, by array and by join."""
+"""Verdicts against a plain search over all rules, by one array and in blocks."""
 
 import re
 
@@ -29,7 +29,7 @@ def brute(url, rules):
 RULES = [*URL_RULES, ("b.com", "/de/", "allow"), ("b.com", "/de/", "block"), ("", "/", "block"), (None, "/", "block"), ("x.com", None, "block")]
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 0, 300])
 def test_verdicts(spark, make, limit):
     pages = make([(i, u, "c") for i, u in enumerate(URLS)], "page_id long, url string, Host string")
     rules = make(RULES, "host string, path string, verdict string")
@@ -54,3 +54,15 @@ def test_whole_table(spark):
     found = ud.judge_urls(pages, ud.rules_table(spark, URL_RULES))
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found.collect()}
     assert got == {r["page_id"]: brute(r["url"], URL_RULES) for r in pages.collect()}
+
+
+def test_the_longest_rule_wins_over_blocks(spark, make):
+    rules = [(f"{'a.' * (k % 3)}b.com", "/" + "x" * (k // 3), "block" if k % 2 else "allow") for k in range(60)]
+    # Equally long with another split between host and path.
+    rules += [("com", "/xx/yy", "allow"), ("b.com", "/xx/y", "block")]
+    urls = [f"http://{'a.' * (k % 4)}b.com/{'x' * (k % 25)}{'/yy' * (k % 2)}" for k in range(200)]
+    pages = make(list(enumerate(urls)), "page_id long, url string")
+    table = make(rules, "host string, path string, verdict string")
+    found = ud.judge_urls(pages, table, max_array_bytes=1000)
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in found.collect()}
+    assert got == {i: brute(u, rules) for i, u in enumerate(urls)}
