@@ -88,24 +88,48 @@ def _parsed(text: str) -> Column:
 
 
 def _roots(parents: DataFrame) -> DataFrame:
-    """(node, root, depth) of all nodes with a parent, by doubling the steps upwards.
+    """(node, o, root, top, depth) from (node, parent, o), ``o`` being the parent's order and ``top`` the root's.
 
-    Parents come before their children, so there is no circle, and a
+    Only messages that are answered have somebody below them; their steps
+    upwards are doubled, and all others take their parent's root at the end.
+    A row that has reached its root leaves, and of the rest only what somebody
+    still points to is looked up, so a round is no larger than what lies that
+    deep.  Parents come before their children, so there is no circle, and a
     conversation n replies deep takes log2(n) rounds, each a written table.
     """
-    found = written(parents.select("node", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), "replies")
-    while True:
-        above = found.select(F.col("node").alias("root"), F.col("root").alias("top"), F.col("depth").alias("more"))
-        joined = found.join(above, "root", "left").select(
+    answered = parents.select(F.col("parent").alias("node")).distinct()
+    inner = parents.join(answered, "node", "left_semi")
+    rows = inner.select(
+        "node", F.col("parent").alias("root"), F.col("o").alias("top"), F.lit(1).cast("long").alias("depth"), F.lit(False).alias("done")
+    )
+    active = above = written(rows, "replies")
+    settled = active.limit(0).drop("done")
+    while not active.isEmpty():
+        steps = above.select(
+            F.col("node").alias("root"), F.col("root").alias("up"), F.col("top").alias("up_top"), F.col("depth").alias("more"), F.col("done").alias("last")
+        )
+        known = F.col("up").isNotNull()
+        joined = active.drop("done").join(steps, "root", "left").select(
             "node",
-            F.coalesce("top", "root").alias("root"),
+            F.coalesce("up", "root").alias("root"),
+            F.when(known, F.col("up_top")).otherwise(F.col("top")).alias("top"),
             (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-            F.col("top").isNotNull().alias("moved"),
+            F.coalesce("last", F.lit(True)).alias("done"),
         )
         joined = written(joined, "replies")
-        found = joined.drop("moved")
-        if joined.filter("moved").isEmpty():
-            return found
+        settled = settled.unionByName(joined.filter("done").drop("done"))
+        active = joined.filter("not done")
+        pointed = active.select(F.col("root").alias("node")).distinct()
+        above = above.filter("done").unionByName(joined).join(pointed, "node", "left_semi")
+        above = written(above, "replies-above")
+    own = settled.select(F.col("node").alias("parent"), "root", "top", "depth")
+    return parents.join(own, "parent", "left").select(
+        "node",
+        "o",
+        F.coalesce("root", "parent").alias("root"),
+        F.when(F.col("root").isNotNull(), F.col("top")).otherwise(F.col("o")).alias("top"),
+        (F.coalesce("depth", F.lit(0).cast("long")) + 1).alias("depth"),
+    )
 
 
 def link(messages: DataFrame, *, scope: Sequence[str] = (), order: str, text: str = "text") -> DataFrame:
@@ -151,13 +175,12 @@ def link(messages: DataFrame, *, scope: Sequence[str] = (), order: str, text: st
         F.max_by("origin", F.struct(-F.col("level"), -F.col("rank"), "origin")).alias("origin"),
     )
     parents = written(best.select("node", F.col("origin.n").alias("parent"), F.col("origin.o").alias("o")), "parents")
-    tops = _roots(parents)
+    named = _roots(parents).select(
+        F.col("node").alias(node), F.col("o").alias(up), F.col("top").alias(top), F.col("depth").alias(deep)
+    )
 
-    orders = rows.select(F.col("node").alias("root"), F.col("at.o").alias("root_order")).dropDuplicates(["root"])
-    named = tops.join(orders, "root").select(F.col("node").alias(node), F.col("root_order").alias(top), F.col("depth").alias(deep))
-    linked = parents.select(F.col("node").alias(node), F.col("o").alias(up))
     texts = rows.select(F.col("node").alias(node), F.col("own").alias(own)).dropDuplicates([node])
-    joined = marked.join(texts, node).join(linked, node, "left").join(named, node, "left")
+    joined = marked.join(texts, node).join(named, node, "left")
     return joined.select(
         *[F.when(col(c).isNotNull(), col(own)).alias(c) if c == text else col(c) for c in messages.columns],
         col(up).alias(parent),

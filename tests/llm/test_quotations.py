@@ -1,5 +1,7 @@
 """Levels, links and reply order of small mailboxes, and of all conversations."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,26 @@ def test_root_and_depth_follow_the_parents_of_all_conversations(spark):
         assert (r["root"], r["depth"]) == (at, steps)
         deepest = max(deepest, steps)
     assert deepest > 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_roots_of_any_trees(make, seed):
+    pick = random.Random(seed)
+    # Chains of many lengths with leaves at their nodes, a star, and trees without a shape.
+    up = {}
+    for chain, length in enumerate([1, 2, 3, 7, 8, 9, 40]):
+        up |= {f"{chain}-{k}": f"{chain}-{k - 1}" for k in range(1, length + 1)}
+        up |= {f"{chain}-leaf-{k}": f"{chain}-{pick.randrange(length + 1)}" for k in range(12)}
+    up |= {f"s-{k}": "s" for k in range(30)} | {f"t-{k}": f"t-{pick.randrange(k)}" for k in range(1, 200)}
+    order = lambda node: None if node in ("s", "t-0") else len(node) * 1000 + hash(node) % 1000
+
+    def of(node):
+        root, depth = node, 0
+        while root in up:
+            root, depth = up[root], depth + 1
+        return node, order(up[node]), root, order(root), depth
+
+    parents = make([(node, parent, order(parent)) for node, parent in up.items()], "node string, parent string, o long")
+    found = qt._roots(parents).select("node", "o", "root", "top", "depth")
+    assert sorted(map(tuple, found.collect())) == sorted(map(of, up))
+    assert qt._roots(parents.limit(0)).count() == 0
