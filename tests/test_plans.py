@@ -20,7 +20,7 @@ WRITING = {
 }
 # Ends in a handful of rows: one total over all groups, or a sort of them.
 ONE_ROW = {"cost_share", "null_profile", "pace_bounds", "source_coverage", "bp_extremes", "longest_runs",
-           "fastest_in_band", "date_spine"}
+           "fastest_in_band", "date_spine", "coverage_after_merges"}
 
 
 def plan_of(df):
