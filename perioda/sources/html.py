@@ -17,7 +17,8 @@ _CELL_TAG = r"(?i)<t[hd]\b"
 _SPANS = r"(?i)<t[hd]\b[^>]*\b(row|col)span"
 #: Standard limits of the two spans.
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65_534
-_CELL_END = r"(?is)</(?:t[hdr]|thead|tbody|tfoot)\b.*$"
+_CELL_END, _END = r"(?i)</(?:t[hdr]|thead|tbody|tfoot)\b", "</td "
+_SPACES = r"[\s\xa0]{2,}|[\t\n\x0B\f\r\xa0]"
 _ITEM = r'(?is)<li\b[^>]*>\s*<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
 
 # Named entities as Python's standard library lists them, in one literal: pairs end with one sign, names with another.
@@ -66,19 +67,44 @@ def _span(attributes: Column, name: str, limit: int) -> Column:
     return F.least(F.greatest(value, F.lit(1)), F.lit(limit))
 
 
-def _spanned_cells(row: Column) -> Column:
-    """(text, down, right) of a row's cells: how many rows and columns each covers."""
+def _texts(cells: Column) -> Column:
+    """Texts of cells of a table in which ``_prepared`` has been; most have no markup, and need no pattern."""
+    bodies = F.transform(cells, lambda cell: F.substring_index(cell, _END, 1))
+    marked = lambda body: F.contains(body, F.lit("<")) | F.contains(body, F.lit("&"))
+    return F.transform(bodies, lambda body: F.when(marked(body), plain_text(body)).otherwise(F.trim(body)))
 
-    def cell(piece: Column) -> Column:
-        attributes = F.substring_index(piece, ">", 1)
-        body = F.substring(piece, F.length(attributes) + 2, F.length(piece))
-        return F.struct(
-            plain_text(F.regexp_replace(body, _CELL_END, "")).alias("text"),
-            _span(attributes, "rowspan", MAX_ROWSPAN).alias("down"),
-            _span(attributes, "colspan", MAX_COLSPAN).alias("right"),
+
+def _prepared(table: Column) -> Column:
+    """White space as single spaces, and all that ends a cell as ``_END``, which nothing else is then."""
+    return F.regexp_replace(F.regexp_replace(table, _SPACES, " "), _CELL_END, _END)
+
+
+def _columns_of(row: Column) -> Column:
+    """A row's own columns in order: (key, kind, idx, text, left).
+
+    A cell is as many columns as it is wide; ``key`` is where the first of
+    them stands if nothing reaches down from above, and ``left`` how many
+    rows further down it reaches.
+    """
+    pieces = F.filter(F.split(row, _CELL_TAG), lambda _, i: i > 0)
+    attributes = F.transform(pieces, lambda piece: F.substring_index(piece, ">", 1))
+    # One column per piece without its start tag.
+    bodies = F.transform(pieces, lambda piece: F.when(F.contains(piece, F.lit(">")), F.substring(piece, F.locate(">", piece) + 1, F.length(piece))).otherwise(""))
+    cells = F.arrays_zip(attributes.alias("attributes"), _texts(bodies).alias("text"))
+
+    def units(cell: Column) -> Column:
+        plain = F.array(F.struct(F.lit(0).alias("k"), cell["text"].alias("text"), F.lit(0).alias("left")))
+        down = _span(cell["attributes"], "rowspan", MAX_ROWSPAN) - 1
+        wide = F.transform(
+            F.sequence(F.lit(0), _span(cell["attributes"], "colspan", MAX_COLSPAN) - 1),
+            lambda k: F.struct(k.alias("k"), cell["text"].alias("text"), down.alias("left")),
         )
+        return F.when(F.contains(F.lower(cell["attributes"]), F.lit("span")), wide).otherwise(plain)
 
-    return F.transform(F.filter(F.split(row, _CELL_TAG), lambda _, i: i > 0), cell)
+    return F.transform(
+        F.flatten(F.transform(cells, units)),
+        lambda unit, i: F.struct((i - unit["k"]).alias("key"), F.lit(1).alias("kind"), i.alias("idx"), unit["text"].alias("text"), unit["left"].alias("left")),
+    )
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -90,55 +116,29 @@ _HELD = "array<struct<at: int, text: string, left: int>>"
 
 
 def _laid_out(rows: Column) -> Column:
-    """Rows of cells with spans -> rows of texts, every cell repeated wherever it reaches.
+    """Rows of own columns -> rows of texts, every cell repeated wherever it reaches.
 
-    A fold over the rows.  Its state is the list of cells that reach further
-    down, by column; a row takes from it what belongs before each of its own
-    cells, and the rest at its end.  What reaches beyond the last row makes
-    rows of its own.
+    A fold over the rows.  Its state is the list of columns that reach further
+    down, in order.  The k-th of them stands before a row's own cell if its
+    place, less k, is no larger than the widths of the row's cells before that
+    one; so one sort by these keys puts both in order.  What reaches beyond
+    the last row makes rows of its own.
     """
     none = F.array().cast(_HELD)
 
-    def take(line: Column, cell: Column | None) -> Column:
-        """Cells from above whose turn it is, then ``cell`` as often as it is wide."""
-        at = F.size(line["texts"])
-        if cell is None:
-            due = line["above"]
-        else:
-            late = F.transform(line["above"], lambda held, i: held["at"] - i > at)
-            first = F.array_position(late, F.lit(True)).cast("int")
-            due = F.when(first > 0, F.slice(line["above"], 1, first - 1)).otherwise(line["above"])
-        return _let(
-            due,
-            lambda due: F.struct(
-                F.concat(line["texts"], F.transform(due, lambda held: held["text"])).alias("texts"),
-                F.slice(line["above"], F.size(due) + 1, F.size(line["above"])).alias("above"),
-                F.concat(line["below"], _reaching(due, at)).alias("below"),
-            ),
-        )
-
-    def _reaching(due: Column, at: Column) -> Column:
-        moved = F.transform(
-            due, lambda held, i: F.struct((at + i).cast("int").alias("at"), held["text"].alias("text"), (held["left"] - 1).alias("left"))
+    def lay(state: Column, row: Column) -> Column:
+        above = F.transform(
+            state["held"],
+            lambda held, k: F.struct((held["at"] - k).alias("key"), F.lit(0).alias("kind"), k.alias("idx"), held["text"].alias("text"), (held["left"] - 1).alias("left")),
         )
-        return F.filter(moved, lambda held: held["left"] > 0)
+        line = F.when(F.size(state["held"]) == 0, row).otherwise(F.array_sort(F.concat(above, row)))
 
-    def put(line: Column, cell: Column) -> Column:
-        at = F.size(line["texts"])
-        own = F.transform(
-            F.sequence(F.lit(0), cell["right"] - 1),
-            lambda i: F.struct((at + i).cast("int").alias("at"), cell["text"].alias("text"), (cell["down"] - 1).alias("left")),
-        )
-        return F.struct(
-            F.concat(line["texts"], F.array_repeat(cell["text"], cell["right"])).alias("texts"),
-            line["above"].alias("above"),
-            F.concat(line["below"], F.filter(own, lambda held: held["left"] > 0)).alias("below"),
-        )
+        def put(line: Column) -> Column:
+            placed = F.transform(line, lambda column, i: F.struct(i.alias("at"), column["text"].alias("text"), column["left"].alias("left")))
+            below = F.filter(placed, lambda column: column["left"] > 0)
+            return F.struct(F.concat(state["rows"], F.array(line["text"])).alias("rows"), below.alias("held"))
 
-    def lay(state: Column, row: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("texts"), state["held"].alias("above"), none.alias("below"))
-        line = F.aggregate(row, start, lambda line, cell: _let(take(line, cell), lambda line: put(line, cell)), lambda line: take(line, None))
-        return _let(line, lambda line: F.struct(F.concat(state["rows"], F.array(line["texts"])).alias("rows"), line["below"].alias("held")))
+        return _let(line, put)
 
     def rest(state: Column) -> Column:
         longest = F.coalesce(F.array_max(F.transform(state["held"], lambda held: held["left"])), F.lit(0))
@@ -161,19 +161,19 @@ def html_table(pages: DataFrame, ids: Sequence[str], html: str, columns: Mapping
     shows something in which no row can be read, or without one of the
     headings, raises.
     """
-    table = F.regexp_replace(F.regexp_extract(html, _LAST_TABLE, 1), _COMMENT, "")
-    behind_first = lambda parts: F.filter(parts, lambda _, i: i > 0)
-    cells_of = lambda row: F.transform(
-        behind_first(F.split(row, _CELL_START)), lambda cell: plain_text(F.regexp_replace(cell, _CELL_END, ""))
-    )
-    simple = F.filter(F.transform(F.split(table, _ROW_START), cells_of), lambda cells: F.size(cells) > 0)
-    spanned = F.filter(F.transform(F.split(table, _ROW_START), _spanned_cells), lambda cells: F.size(cells) > 0)
+    # Each step is a column of its own: a pattern in an expression that is used twice runs twice over the page.
+    table = F.regexp_replace(F.regexp_extract(html, _LAST_TABLE, 1), _COMMENT, "").alias("table")
+    tables = pages.select(*ids, F.col(html).rlike(_TABLE).alias("has_table"), table)
+    tables = tables.select(*ids, "has_table", "table", _prepared(F.col("table")).alias("clean"))
+    cells_of = lambda row: _texts(F.filter(F.split(row, _CELL_START), lambda _, i: i > 0))
+    simple = F.filter(F.transform(F.split("clean", _ROW_START), cells_of), lambda cells: F.size(cells) > 0)
+    spanned = F.filter(F.transform(F.split("clean", _ROW_START), _columns_of), lambda columns: F.size(columns) > 0)
     # Only tables with spans go through the fold.
-    found = F.when(table.rlike(_SPANS), _laid_out(spanned)).otherwise(simple)
-    shown = F.regexp_replace(table, r"(?s)<[^>]*>|\s", "") != ""
-    unread = F.col(html).rlike(_TABLE) & ~table.rlike(_CELL_START) & shown
+    found = F.when(F.col("table").rlike(_SPANS), _laid_out(spanned)).otherwise(simple)
+    shown = F.regexp_replace("table", r"(?s)<[^>]*>|\s", "") != ""
+    unread = F.col("has_table") & ~F.col("table").rlike(_CELL_START) & shown
     rows = F.when(unread, F.raise_error(F.lit("a table in which no row can be read"))).otherwise(found)
-    tables = pages.select(*ids, rows.alias("rows"))
+    tables = tables.select(*ids, rows.alias("rows"))
     # The headings are taken before the rows are spread, or each row would carry its whole table.
     headed = tables.select(*ids, F.get("rows", 0).alias("head"), F.slice("rows", 2, F.size("rows")).alias("body"))
     # An outer explode, since a plain one filters on the size and would parse the page twice.
