@@ -761,21 +761,24 @@ ROWS_PER_ARCHIVE = 2000
 def _packed_exports(spark, folder, members):
     """(source, content) of archives of all health samples, each member with a long tail behind its last record."""
 
-    def packed(groups):
+    def packed(batches):
         import io
         import zipfile
+        from itertools import groupby
 
         import pandas as pd
 
-        for table in groups:
-            for source, bodies in zip(table["source"], table["bodies"]):
-                target = io.BytesIO()
-                with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
-                    for number_, body in enumerate(bodies):
-                        text = f"<HealthData>\n{body}\n" + "<Workout a='<' />\n" * 50_000 + "</HealthData>"
-                        archive.writestr(EXPORT_MEMBER.replace(".xml", f"{number_ or ''}.xml"), text)
-                        archive.writestr(f"apple_health_export/other{number_}.txt", text)
-                yield pd.DataFrame({"source": [source], "content": [target.getvalue()]})
+        # No more than an archive and a member's text is held, however many a task has.
+        samples = (row for table in batches for row in zip(table["source"], table["part"], table["record"]))
+        for source, of in groupby(samples, key=lambda row: row[0]):
+            target = io.BytesIO()
+            with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+                for number_, (_, own) in enumerate(groupby(of, key=lambda row: row[1])):
+                    body = "\n".join(record for _, _, record in own)
+                    text = f"<HealthData>\n{body}\n" + "<Workout a='<' />\n" * 50_000 + "</HealthData>"
+                    archive.writestr(EXPORT_MEMBER.replace(".xml", f"{number_ or ''}.xml"), text)
+                    archive.writestr(f"apple_health_export/other{number_}.txt", text)
+            yield pd.DataFrame({"source": [source], "content": [target.getvalue()]})
 
     attributes = {"type": "_type", "unit": "_unit", "value": "_value", "startDate": "_startDate"}
     record = F.concat(
@@ -786,11 +789,10 @@ def _packed_exports(spark, folder, members):
     rows = _metric_records(spark, folder, "row_id")
     # As many archives as the rows ask for.
     part = F.floor(F.col("row_id") / ROWS_PER_ARCHIVE)
-    bodies = rows.groupBy(part.alias("part")).agg(F.array_join(F.collect_list(record), "\n").alias("body"))
-    archives = bodies.groupBy(F.floor(F.col("part") / members).alias("source")).agg(F.collect_list("body").alias("bodies"))
-    return archives.select(F.col("source").cast("string").alias("source"), "bodies").mapInPandas(
-        packed, "source string, content binary"
-    )
+    source = F.floor(part / members).cast("string").alias("source")
+    # A record with a null in it is left out.
+    rows = rows.select(source, part.cast("string").alias("part"), record.alias("record")).filter(F.col("record").isNotNull())
+    return rows.repartition("source").sortWithinPartitions("source", "part").mapInPandas(packed, "source string, content binary")
 
 
 @query
@@ -802,22 +804,7 @@ def src_xml_metrics_zip(spark, folder):
 @query
 def src_xml_metrics_zip_files(spark, folder):
     """The same from archive files with up to three exports each, which are unpacked one by one."""
-    path = new_shared_path(spark, "archives")
-    files, place = file_system(spark, path)
-    files.mkdirs(place)
-    target = files.makeQualified(place).toString()
-
-    def put(groups):
-        import pandas as pd
-
-        for table in groups:
-            for source, content in zip(table["source"], table["content"]):
-                with create_file(f"{target}/{source}.zip") as file:
-                    file.write(content)
-                yield pd.DataFrame({"bytes": [len(content)]})
-
-    # An archive that is written twice, by a repeated task, is the same one.
-    _packed_exports(spark, folder, 3).mapInPandas(put, "bytes long").agg(F.sum("bytes")).first()
+    path = _put_files(spark, _packed_exports(spark, folder, 3).withColumnRenamed("source", "name"), "archives", ".zip")
     return read_metrics_zip(spark, path, member=EXPORT_MEMBER.replace(".xml", "*.xml")).drop("source")
 
 
