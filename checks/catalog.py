@@ -654,10 +654,10 @@ def src_csv_section(spark, folder):
 
 @query
 def src_csv_section_lines(spark, folder):
-    path = new_shared_path(spark, "gym-exports")
-    _gym_exports(spark, folder).repartition("export").write.partitionBy("export").text(path)
+    exports = _gym_exports(spark, folder).select(F.col("export").cast("string").alias("name"), F.col("text").cast("binary").alias("content"))
+    path = _put_files(spark, exports, "gym-exports", ".csv")
     # Every file is taken for a large one, so all go through the line-by-line reader.
-    return _with_sets_text(read_csv_sections(spark, f"{path}/*", max_text_bytes=0)).drop("source")
+    return _with_sets_text(read_csv_sections(spark, path, max_text_bytes=0)).drop("source")
 
 
 ROWS_PER_DAY_DOCUMENT = 50

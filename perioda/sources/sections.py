@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from perioda.operators.ordered import MAX_BROADCAST_BYTES
+from perioda.session import written
 from perioda.sources.html import named_cell
 
 # Section marker and the columns read from it.
@@ -87,26 +88,30 @@ def _section_of_lines(lines: DataFrame, few: bool) -> DataFrame:
     """
     note = F.broadcast if few else lambda rows: rows
     is_marker = F.col("line").contains(MARKER)
-    markers = lines.filter(is_marker).groupBy(F.col("source").alias("__m")).agg(F.min("place").alias("__marker"))
+    markers = _firsts(lines.filter(is_marker), "__m", "__marker")
     behind = lines.join(note(markers), F.col("source") == F.col("__m")).filter(F.col("place") > F.col("__marker"))
     # The smallest two places: the line that is skipped and the heading, unless the section ends there.
-    firsts = behind.groupBy("source").agg(F.min("place").alias("__skipped"))
     behind = behind.drop("__m", "__marker")
-    firsts = firsts.withColumnRenamed("source", "__f")
+    firsts = _firsts(behind, "__f", "__skipped")
     body = behind.join(note(firsts), F.col("source") == F.col("__f")).filter(F.col("place") > F.col("__skipped"))
-    marks = body.groupBy(F.col("source").alias("__b")).agg(
-        F.min_by("line", "place").alias("__head_line"),
-        F.min("place").alias("__head"),
-        F.min(F.when(_ends(F.col("line")), F.col("place"))).alias("__end"),
-    )
-    marks = marks.select("__b", csv_cells(F.col("__head_line")).alias("head"), "__head", "__end")
-    inside = body.drop("__f", "__skipped").join(note(marks), F.col("source") == F.col("__b"))
+    body = body.drop("__f", "__skipped")
+    heads, ends = _firsts(body, "__h", "__head"), _firsts(body.filter(_ends(F.col("line"))), "__e", "__end")
+    heads = body.join(note(heads), F.col("source") == F.col("__h")).filter(F.col("place") == F.col("__head"))
+    heads = heads.select(F.col("source").alias("__b"), csv_cells(F.col("line")).alias("head"), "__head")
+    marks = heads.join(ends, F.col("__b") == F.col("__e"), "left").drop("__e")
+    inside = body.join(note(written(marks, "section-marks")), F.col("source") == F.col("__b"))
     inside = inside.filter(
         (F.col("place") > F.col("__head")) & (F.col("__end").isNull() | (F.col("place") < F.col("__end")))
     )
     return inside.select("source", "head", "place", "line")
 
 
+def _firsts(lines: DataFrame, source: str, place: str) -> DataFrame:
+    """The first place of each source; of each split first, by its number alone, which needs no sort."""
+    splits = lines.groupBy(F.col("source").alias(source), F.col("place.start").alias("start")).agg(F.min("place.row").alias("row"))
+    return splits.groupBy(source).agg(F.min(F.struct("start", "row")).alias(place))
+
+
 def _odd_quotes(line: Column) -> Column:
     """1 if the line opens a quote without closing it, or the other way round."""
     return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2
@@ -134,28 +139,31 @@ def _joined_records(section: DataFrame) -> DataFrame:
     Only lines of records with several lines are moved.
     """
     lines = section.select("source", "head", F.col("place.start").alias("start"), F.col("place.row").alias("row"), "line")
-    lines = lines.withColumn("odd", _odd_quotes(F.col("line")))
+    lines = written(lines.withColumn("odd", _odd_quotes(F.col("line"))), "section-lines")
     if lines.filter("odd = 1").isEmpty():
-        return section.select("source", "head", "line")
+        return lines.select("source", "head", "line")
     split = Window.partitionBy("source", "start").orderBy("row")
     before = split.rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("inside", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
+    # Records so far, this line included, for both states that the split may start in.
+    lines = lines.withColumns({"outs": F.sum(1 - F.col("inside")).over(split), "ins": F.sum("inside").over(split)})
+    lines = written(lines, "section-states")
     notes = lines.groupBy("source", "start").agg(
-        (F.sum("odd") % 2).alias("turns"), F.count_if(F.col("inside") == 0).alias("from_outside"), F.count_if(F.col("inside") == 1).alias("from_inside")
+        (F.sum("odd") % 2).alias("turns"), F.max("outs").alias("from_outside"), F.max("ins").alias("from_inside")
     )
     scan = Window.partitionBy("source").orderBy("start")
     earlier = scan.rowsBetween(Window.unboundedPreceding, -1)
     notes = notes.withColumn("state", F.coalesce(F.sum("turns").over(earlier), F.lit(0)) % 2)
     starts = F.when(F.col("state") == 0, F.col("from_outside")).otherwise(F.col("from_inside"))
     notes = notes.withColumn("base", F.coalesce(F.sum(starts).over(earlier), F.lit(0)))
-    notes = notes.withColumn("end", (F.col("state") + F.col("turns")) % 2)
+    notes = written(notes.withColumn("end", (F.col("state") + F.col("turns")) % 2), "section-notes")
     open_ = notes.groupBy("source").agg(F.max_by("end", "start").alias("end")).filter("end = 1").first()
     if open_:
         raise ValueError(f"a quoted cell is not closed in its section: {open_['source']}")
     notes = notes.select(F.col("source").alias("of"), F.col("start").alias("at"), "state", "base")
     lines = lines.join(notes, (F.col("source") == F.col("of")) & (F.col("start") == F.col("at")))
     lines = lines.withColumn("inside", (F.col("inside") + F.col("state")) % 2)
-    lines = lines.withColumn("record", F.col("base") + F.sum(1 - F.col("inside")).over(split))
+    lines = lines.withColumn("record", F.col("base") + F.when(F.col("state") == 0, F.col("outs")).otherwise(F.col("ins")))
     several = (F.col("inside") == 1) | (F.col("odd") == 1)
     parts = lines.filter(several).groupBy("source", "record").agg(
         F.any_value("head").alias("head"), F.array_sort(F.collect_list(F.struct("start", "row", "line"))).alias("parts")
