@@ -619,10 +619,9 @@ def src_json_gym_array(spark, folder):
         F.floor(F.col("row_id") / ROWS_PER_ARRAY).alias("file"),
     )
     arrays = raw.groupBy("file").agg(F.array_join(F.collect_list("record"), ",\n").alias("records"))
-    path = new_shared_path(spark, "gym-arrays")
     text = F.concat(F.lit("[\n"), "records", F.lit("\n]"))
-    arrays.select("file", text.alias("value")).repartition("file").write.partitionBy("file").text(path)
-    return _with_sets_text(read_gym_json(spark, f"{path}/*", multi_line=True))
+    path = _put_files(spark, arrays.select(F.col("file").cast("string").alias("name"), text.cast("binary").alias("content")), "gym-arrays", ".json")
+    return _with_sets_text(read_gym_json(spark, path, multi_line=True))
 
 
 ROWS_PER_TEXT = 2000
