@@ -995,29 +995,34 @@ def stream_totals(spark, folder):
 
 @query
 def stream_hr_secs(spark, folder):
-    """Pulse-zone seconds with samples and activities in five files by time, which overlap by four days."""
+    """Pulse-zone seconds with samples and activities in five arrivals by time, which overlap by four days."""
     workouts, samples = _by_day(spark, folder)
     places = {name: new_shared_path(spark, f"{name}-arrivals") for name in ("workouts", "samples")}
     first, last = samples.agg(F.min("ts").cast("string"), F.max("ts").cast("string")).first()
     start, end = (F.to_timestamp_ntz(F.lit(text)) for text in (first, last))
 
-    def file_of(time):
+    def arrival_of(time):
         share = F.timestamp_diff("MICROSECOND", start, time) / (F.timestamp_diff("MICROSECOND", start, end) + 1)
         return F.least(F.floor(5 * share), F.lit(4))
 
-    for name, (rows, column, row_id) in {"workouts": (workouts, "dt", "activity_id"), "samples": (samples, "ts", "sample_id")}.items():
-        # Rows of a file's last four days come with it, with the next one, or with both.
-        own, late = file_of(F.col(column)), file_of(F.col(column) + F.expr("interval 4 days"))
+    def arrive(rows, column, row_id, number_, name):
+        # Rows of an arrival's last four days come with it, with the next one, or with both.
+        own, late = arrival_of(F.col(column)), arrival_of(F.col(column) + F.expr("interval 4 days"))
         turn = F.pmod(F.xxhash64(row_id), F.lit(3))
-        for number_ in range(5):
-            chosen = F.when(turn == 0, late == number_).when(turn == 1, own == number_).otherwise((own == number_) | (late == number_))
-            rows.filter(chosen).coalesce(1).write.mode("append").parquet(places[name])
-    # What comes a year later closes all activities.
-    beyond = samples.limit(1).withColumn("ts", end + F.expr("interval 365 days")).withColumn("day", F.to_date("ts"))
-    beyond.coalesce(1).write.mode("append").parquet(places["samples"])
-    read = lambda name, rows: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(places[name])
+        chosen = F.when(turn == 0, late == number_).when(turn == 1, own == number_).otherwise((own == number_) | (late == number_))
+        rows.filter(chosen).write.mode("append").parquet(places[name])
+
     keys = ["subject_id", "day"]
-    line = pulse_time_line(read("workouts", workouts), read("samples", samples), keys=keys)
     path, state, check = (new_shared_path(spark, f"pulse-{name}") for name in ("answers", "state", "checkpoint"))
-    stream_pulse_seconds(line, path, state, check, keys=keys, delay="5 days").awaitTermination()
+    read = lambda name, rows: spark.readStream.schema(rows.schema).parquet(places[name])
+    # Each arrival is a batch, of as many files as tasks wrote; the sixth one comes a year later and closes all activities.
+    for number_ in range(6):
+        if number_ < 5:
+            arrive(workouts, "dt", "activity_id", number_, "workouts")
+            arrive(samples, "ts", "sample_id", number_, "samples")
+        else:
+            beyond = samples.limit(1).withColumn("ts", end + F.expr("interval 365 days")).withColumn("day", F.to_date("ts"))
+            beyond.write.mode("append").parquet(places["samples"])
+        line = pulse_time_line(read("workouts", workouts), read("samples", samples), keys=keys)
+        stream_pulse_seconds(line, path, state, check, keys=keys, delay="5 days").awaitTermination()
     return answered(spark, path, line.schema, keys=keys).drop("day")
