@@ -442,9 +442,14 @@ def _blocks(groups: DataFrame, facts: DataFrame, labels: DataFrame, block: int)
 
 
 def set_labels(
-    docs: DataFrame, *, text: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, cluster: int = CLUSTER, block: int = BLOCK
+    docs: DataFrame, *, text: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT, cluster: int = CLUSTER, block: int = BLOCK,
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
-    """(node, label) of the sets that are linked with others; equal labels where links connect them."""
+    """(node, label) of the sets that are linked with others; equal labels where links connect them.
+
+    ``candidates``, pairs (a, b) of nodes found by other means, are verified
+    first; what they connect is not compared again.
+    """
     if not 50 <= percent <= 100:
         raise ValueError("the index is made for similarities of 50 to 100 hundredths")
     # Sets whose prefix is full of tokens of their own have no partner.
@@ -457,6 +462,9 @@ def set_labels(
     facts = indexed.select("node", "n", "shared", "bits")
 
     links, labels = None, groups.select("node", F.col("node").alias("label")).limit(0)
+    if candidates is not None:
+        links = _verified(candidates, open_, percent, "join-candidates")
+        labels = component_labels(links)
     for mode in ("forest", "closest", "all"):
         pairs = _blocks(groups, facts, labels, block).select(F.explode(_proposed(percent, mode)).alias("l")).select("l.a", "l.b")
         new = _verified(pairs, open_, percent, f"join-{mode}")

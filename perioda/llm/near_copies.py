@@ -1,10 +1,10 @@
 """One document of each class of texts whose sets of word shingles are alike.
 
 Texts are linked where their sets of five-word shingles have a Jaccard
-similarity of 0.8 or more, found by the join over token combinations.  (Keys of
-SimHash fingerprints don't reach this: at 0.8 about 15 of 100 bits differ, so
-two segments of 23 bits have the same nearest Golay codeword with probability
-0.12 only, and a pair of segments with 0.015.)
+similarity of 0.8 or more.  SimHash fingerprints with a Golay key in common
+propose the first pairs, which are verified on the sets.  Near copies whose
+fingerprints differ in more bits share no key (at 0.8 about 15 of 100 bits
+differ); the exact join over token combinations finds what they leave.
 
 Who stays is decided on ids and digests.  The texts themselves stay where they
 are: a bit map of the rows that go is sent to all, rows whose bit is not set
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from perioda.llm import jaccard_join
+from perioda.llm import jaccard_join, simhash
 from perioda.llm.common import col, fresh, utf8
 from perioda.llm.simhash import one_row_a_class
 from perioda.session import written
@@ -55,6 +55,21 @@ def with_bit(docs: DataFrame, pages: DataFrame, bits: int, *, doc_id: str, text:
     return marked.withColumn(out, bit).drop(at, page, held)
 
 
+def simhash_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) nodes that fingerprints propose, from (node, fp): equal ones, and those linked through Golay keys.
+
+    A fingerprint stands for its sets by the smallest node; the others are
+    paired with that one.
+    """
+    nodes = written(rows.filter("node <> 0").select("node", "fp").distinct(), "near-prints")
+    lows = written(nodes.groupBy("fp").agg(F.min("node").alias("low")), "near-lows")
+    equal = nodes.join(lows, "fp").filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    links = simhash.links_between(lows.select("fp"))
+    low = lambda of, name: lows.select(F.col("fp").alias(of), F.col("low").alias(name))
+    near = links.withColumnsRenamed({"a": "f", "b": "g"}).join(low("f", "a"), "f").join(low("g", "b"), "g")
+    return equal.unionByName(near.select("a", "b"))
+
+
 def keep_one(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -64,9 +79,11 @@ def keep_one(
     with one id in different classes, are not mixed up.  Columns may have any
     names and be of any type.
     """
-    rows = docs.select(col(doc_id).alias("id"), _digest(text).alias("digest"), jaccard_join.sets(text, shingle_words)["node"].alias("node"))
-    rows = written(rows, "near-rows")
-    labels = jaccard_join.set_labels(docs, text=text, shingle_words=shingle_words, percent=percent).withColumnRenamed("node", "l_node")
+    node, fp = jaccard_join.sets(text, shingle_words)["node"].alias("node"), simhash.fingerprints(text, shingle_words).alias("fp")
+    rows = written(docs.select(col(doc_id).alias("id"), _digest(text).alias("digest"), node, fp), "near-rows")
+    labels = jaccard_join.set_labels(
+        docs, text=text, shingle_words=shingle_words, percent=percent, candidates=simhash_pairs(rows)
+    ).withColumnRenamed("node", "l_node")
     named = rows.join(labels, F.col("node") == F.col("l_node"), "left")
     named = written(named.select("id", "digest", F.coalesce("label", "node").alias("label")), "near-labels")
 

@@ -56,3 +56,23 @@ def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert sorted(r["doc_id"] for r in cp.near_duplicates(spark, docs, "").collect()) == brute(rows)
+
+
+def test_fingerprints_propose_near_copies(spark, make, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows += [" ".join(words), " ".join(words[:-1]), " ".join(words).upper()]
+    rows = [(i, t) for i, t in enumerate([*rows, "", None])]
+    docs = make(rows, "doc_id long, text string")
+    node, fp = nc.jaccard_join.sets("text", 5)["node"].alias("node"), nc.simhash.fingerprints("text", 5).alias("fp")
+    nodes = docs.select("doc_id", node, fp)
+    of = {r["node"]: r["doc_id"] // 3 for r in nodes.collect()}
+    found = [(of[r["a"]], of[r["b"]]) for r in nc.simhash_pairs(nodes).collect()]
+    assert len(found) > 30 and all(a == b for a, b in found)
+    seen = []
+    links = nc.simhash.links_between
+    monkeypatch.setattr(nc.simhash, "links_between", lambda *a, **k: seen.append(1) or links(*a, **k))
+    assert sorted(r["doc_id"] for r in cp.near_duplicates(spark, docs, "").collect()) == brute(rows)
+    assert seen
